@@ -20,6 +20,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +33,11 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: Signs that end words and form one pre-token together; none starts a contraction.
 PUNCTUATION = ".,;:!?*&%#$|"
-CACHE_ENTRIES = 200_000
+#: Words in one generation of a cache; a worker keeps two, about 150 MB.
+CACHE_ENTRIES = 400_000
 _FOREVER = 1 << 60
+#: Makes bytes of so many ids.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
 
 
 def byte_letters() -> list[str]:
@@ -85,6 +89,12 @@ class Vocabulary:
                 when[at] = get((ids[at], ids[at + 1]), _FOREVER)
         return ids
 
+    @staticmethod
+    def bare_word(text: str) -> tuple[str, bool]:
+        """A text without the punctuation behind it, and whether that is a run of Latin letters."""
+        word = text.rstrip(PUNCTUATION)
+        return word, word.isalpha() and max(word) < "\u0250"
+
     def pretokens(self, text: str) -> list[str]:
         """What the pattern cuts a text into. The usual word, a run of Latin
         letters with punctuation behind it, needs no pattern."""
@@ -174,9 +184,9 @@ class TextCodec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.encoder = Encoder(self.vocab)
-        self.piece = BoundedCache(lambda p: np.array(self.encoder.encode(p), "<u4").tobytes(), CACHE_ENTRIES)
-        self.first = BoundedCache(self._chunk, CACHE_ENTRIES)
-        self.later = BoundedCache(lambda c: self._chunk(" " + c), CACHE_ENTRIES)
+        self.piece = BoundedCache(lambda p: np.array(self.encoder.encode(p), "<u4").tobytes(), CACHE_ENTRIES // 8)
+        self.first = BoundedCache(self._chunk, CACHE_ENTRIES // 8)
+        self.later = BoundedCache(self._word, CACHE_ENTRIES)
         self.newline = self._chunk("\n")
         specials = sorted(self.vocab.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
@@ -188,6 +198,17 @@ class TextCodec:
     def _chunk(self, text: str) -> bytes:
         return b"".join(map(self.piece.__getitem__, self.vocab.pretokens(text)))
 
+    def _word(self, chunk: str) -> bytes:
+        """Of a chunk with a space before it. A word keeps its ids in the cache
+        of chunks, where the same word with punctuation behind it finds them."""
+        word, bare = self.vocab.bare_word(chunk)
+        if not bare:
+            return self._chunk(" " + chunk)
+        if len(word) < len(chunk):
+            return self.later[word] + self.piece[chunk[len(word) :]]
+        ids = self.encoder.encode((" " + word).encode().decode("latin-1"))
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
+
     def _plain(self, text: str) -> bytes:
         """Ids, as little-endian 32-bit numbers, of a text without special strings.
         A lone space before a word starts a pre-token and a lone line break is

@@ -82,7 +82,7 @@ class BoundedCache(dict):
         if value is None:
             value = self.compute(key)
         if len(self) >= self.limit:
-            self.older = dict(self)
+            self.older = self.copy()
             self.clear()
         self[key] = value
         return value

@@ -31,15 +31,25 @@ class TokenCounter:
     def __init__(self, path: str):
         self.vocab: Vocabulary = vocabulary(path)
         self.whole = whole_tokens(path)
-        self.merged = BoundedCache(lambda p: len(self.vocab.merge(p)), CACHE_ENTRIES)
-        self.first = BoundedCache(self._chunk, CACHE_ENTRIES)
-        self.later = BoundedCache(lambda c: self._chunk(" " + c), CACHE_ENTRIES)
+        self.merged = BoundedCache(lambda p: len(self.vocab.merge(p)), CACHE_ENTRIES // 8)
+        self.first = BoundedCache(self._chunk, CACHE_ENTRIES // 8)
+        self.later = BoundedCache(self._word, CACHE_ENTRIES)
         self.special = re.compile("|".join(map(re.escape, sorted(self.vocab.special, key=len, reverse=True))) or r"(?!)")
 
     def _chunk(self, text: str) -> int:
         whole, merged = self.whole, self.merged
         return sum(1 if p in whole else merged[p] for p in self.vocab.pretokens(text))
 
+    def _word(self, chunk: str) -> int:
+        """Of a chunk with a space before it; with punctuation behind, the word's own count is looked up."""
+        word, bare = self.vocab.bare_word(chunk)
+        if not bare:
+            return self._chunk(" " + chunk)
+        if len(word) < len(chunk):
+            return self.later[word] + self._chunk(chunk[len(word) :])
+        piece = (" " + word).encode().decode("latin-1")
+        return 1 if piece in self.whole else len(self.vocab.merge(piece))
+
     def _plain(self, text: str) -> int:
         if not text:
             return 0
