@@ -3,16 +3,19 @@ shared folder for tables between steps, and bounded caches for Python tasks."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python task turns into strings at a time.
-ROWS_AT_A_TIME = 512
+#: Rows, and bytes about, that a Python task turns into Python values at a time.
+ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 8_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,19 +52,37 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % divisor, F.lit(0))
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to Python workers that would not find it by themselves,
+    once for each Spark application."""
+    root = Path(__file__).resolve().parents[2]
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    context = spark.sparkContext
+    if str(root) in known or getattr(context, "_hearthline_shipped", False):
+        return
+    archive = f"{tempfile.mkdtemp(prefix='spark-')}/hearthline-package.zip"  # the driver serves it from there
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted((root / "hearthline").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    context.addPyFile(archive)
+    context._hearthline_shipped = True
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """mapInArrow over small slices of rows. make() is called once in each task
     and returns a function from columns (lists) to columns (lists or arrays)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
+    ship_package(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                part = batch.slice(at, ROWS_AT_A_TIME)
+            rows = max(1, min(ROWS_AT_A_TIME, BYTES_AT_A_TIME * batch.num_rows // max(1, batch.nbytes)))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 out = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 

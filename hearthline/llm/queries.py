@@ -16,6 +16,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_digests
+
+    return media_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import round_trip_digests
 
@@ -28,9 +34,24 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_digests
+
+    return secret_digests(read_table(spark, sf_dir, "documents"))
+
+
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import licence_digests
+
+    return licence_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_media_columns": op3_media_columns,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
+    "op10_licence_scan": op10_licence_scan,
 }
 
 #: Only what DuckDB can express as a whole.
