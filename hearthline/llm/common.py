@@ -107,3 +107,19 @@ class BoundedCache(dict):
             self.clear()
         self[key] = value
         return value
+
+
+def bounded_rows(rows: DataFrame, key: Column, bound: int) -> DataFrame:
+    """About bound rows at most, chosen by a hash of the key: all of them where
+    there are no more. Its size is proven, so it may be broadcast or learned from."""
+    share = min(1.0, bound / max(1, rows.count()))
+    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+
+def sum_vectors(df: DataFrame, key: str, vector: str) -> dict[str, list[float]]:
+    """Sums of equally long vectors by a key with few values, added up on the executors."""
+    parts = df.select(F.col(key).alias("k"), F.posexplode(vector).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))
+    out: dict[str, dict[int, float]] = {}
+    for k, i, v in parts.collect():
+        out.setdefault(k, {})[i] = v
+    return {k: [v[i] for i in range(len(v))] for k, v in out.items()}
