@@ -16,6 +16,12 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packing_digests
+
+    return packing_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_of_held_out
 
@@ -59,6 +65,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_media_columns": op3_media_columns,
     "op4_bpe_round_trip": op4_bpe_round_trip,
