@@ -52,6 +52,12 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest_neighbours
+
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import language_of_held_out
 
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_language_id": op7_language_id,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
