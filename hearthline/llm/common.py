@@ -68,6 +68,15 @@ def ship_package(spark: SparkSession) -> None:
     context._hearthline_shipped = True
 
 
+def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+    """Batches in slices of bounded rows and bytes, columns as lists."""
+    for batch in batches:
+        rows = max(1, min(ROWS_AT_A_TIME, BYTES_AT_A_TIME * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
+
+
 def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
     """mapInArrow over small slices of rows. make() is called once in each task
     and returns a function from columns (lists) to columns (lists or arrays)."""
@@ -79,12 +88,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            rows = max(1, min(ROWS_AT_A_TIME, BYTES_AT_A_TIME * batch.num_rows // max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                out = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+        for rows in row_slices(batches):
+            out = step(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

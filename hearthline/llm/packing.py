@@ -15,7 +15,7 @@ empty table; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import functools
-import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,15 +24,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, ship_package
+from .common import id_and_text, row_slices, ship_package
 
 WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
-GROUP_PIECES, GROUP_BYTES = 100_000, 128_000_000
-CACHE_ENTRIES = 400_000
+GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 2_000
+#: Chunks in one generation of the cache; a worker keeps two, about 180 MB.
+CACHE_ENTRIES = 500_000
+#: Texts whose unknown chunks are learned together.
+TEXTS_AT_A_TIME = 128
 PUNCTUATION = ".,;:!?*&%#$|"
 #: Python takes these for white space; tokenizers does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 class ChunkIds:
@@ -75,7 +78,7 @@ class ChunkIds:
         fresh = list(words)
         for at in range(0, len(fresh), 512):
             part = fresh[at : at + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             known.update((c, data[a:b]) for c, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
         for c, word, tail in marked:
@@ -83,19 +86,21 @@ class ChunkIds:
                 known[tail] = self._whole(tail)
             known[c] = known[word] + known[tail]
 
-    def encode(self, text: str) -> bytes:
-        """The ids as unsigned 32-bit numbers, little-endian."""
-        if any(s in text for s in self.special) or _SEPARATORS.search(text):
-            return self._whole(text)
-        chunks = text.split()
-        distinct = set(chunks)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as unsigned 32-bit numbers, little-endian."""
+        return [ids for at in range(0, len(texts), TEXTS_AT_A_TIME) for ids in self._encode(texts[at : at + TEXTS_AT_A_TIME])]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [None if any(s in t for s in self.special) or any(s in t for s in SEPARATORS) else t.split() for t in texts]
+        distinct = set().union(*(c for c in cut if c))
         lacking = distinct.difference(self.known)
         if lacking:
             if len(self.known) > CACHE_ENTRIES:
                 self.older, self.known = self.known, {}
                 lacking = distinct
             self._learn(lacking)
-        return b"".join(map(self.known.__getitem__, chunks))
+        get = self.known.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 @functools.cache
@@ -103,28 +108,6 @@ def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
 
-def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most a window: doc_id, start, length, doc_tokens, and ids
-    (binary, unsigned 32-bit little-endian). Only a document's last piece is shorter."""
-
-    def make():
-        encode, end, size = chunk_ids(path).encode, np.array([end_id], "<u4").tobytes(), 4 * window
-
-        def step(rows):
-            out: dict[str, list] = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids": []}
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                ids = encode(text) + end
-                for at in range(0, len(ids), size):
-                    piece = ids[at : at + size]
-                    for name, value in zip(out, (doc_id, at // 4, len(piece) // 4, len(ids) // 4, piece)):
-                        out[name].append(value)
-            return out
-
-        return step
-
-    return map_rows(id_and_text(docs), "doc_id long, start long, length long, doc_tokens long, ids binary", make)
-
-
 class RoomTree:
     """Open windows by remaining capacity: leaves hold stacks of windows, inner
     nodes whether anything lies below."""
@@ -181,37 +164,44 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
     return which, place, made
 
 
-def pack_pieces(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The pieces, with all their columns, and sequence_id and offset. Needs
-    length, from 1 to the window; pieces of other or null length raise an error."""
-    ship_package(pieces.sparkSession)
+def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+    """Pieces of at most a window and where they lie: doc_id, start, length,
+    doc_tokens, ids (binary, unsigned 32-bit little-endian; or instead of them
+    ids_crc32, their checksum), sequence_id and offset. Only a document's last
+    piece is shorter than a window."""
+    ship_package(docs.sparkSession)
+    last = pa.field("ids_crc32", pa.int64()) if checksum else pa.field("ids", pa.binary())
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")] + [last] + [(n, pa.int64()) for n in ("sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, first, held, size, rows = 0, TaskContext.get().partitionId() << 40, [], 0, 0
+        encode, end, size = chunk_ids(path).encode, np.array([end_id], "<u4").tobytes(), 4 * window
+        made, first, held = 0, TaskContext.get().partitionId() << 40, 0
+        pieces: list[tuple] = []
 
         def placed() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            table = pa.Table.from_batches(held)
-            lengths = table["length"].to_numpy()
-            if not ((lengths >= 1) & (lengths <= window)).all():
-                raise ValueError("a piece has from 1 token to a window")
-            which, place, count = best_fit_decreasing(lengths, window)
-            table = table.append_column("sequence_id", pa.array(which + first + made)).append_column("offset", pa.array(place))
-            made += count
-            yield from table.to_batches(max_chunksize=10_000)
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size, rows = size + batch.nbytes, rows + batch.num_rows
-            if rows >= GROUP_PIECES or size >= GROUP_BYTES:
+            which, place, count = best_fit_decreasing(np.array([p[2] for p in pieces], np.int64), window)
+            which, made = which + first + made, made + count
+            for at in range(0, len(pieces), PIECES_AT_A_TIME):
+                stop = at + PIECES_AT_A_TIME
+                columns = [*zip(*pieces[at:stop]), which[at:stop], place[at:stop]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        for rows in row_slices(batches):
+            for doc_id, ids in zip(rows["doc_id"], encode(rows["text"])):
+                ids += end
+                for at in range(0, len(ids), size):
+                    piece = ids[at : at + size]
+                    pieces.append((doc_id, at // 4, len(piece) // 4, len(ids) // 4, zlib.crc32(piece) if checksum else piece))
+                    held += 0 if checksum else len(piece)
+            if len(pieces) >= GROUP_PIECES or held >= GROUP_BYTES:
                 yield from placed()
-                held, size, rows = [], 0, 0
-        if held:
+                pieces, held = [], 0
+        if pieces:
             yield from placed()
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return pieces.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    columns = "doc_id long, start long, length long, doc_tokens long, " + ("ids_crc32 long" if checksum else "ids binary")
+    return id_and_text(docs).mapInArrow(run, f"{columns}, sequence_id long, offset long")
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:
@@ -220,9 +210,3 @@ def packed_sequences(packed: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     joined = F.aggregate(parts, F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), joined.alias("ids"))
-
-
-def packing_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Pieces and where they lie, with a checksum in place of their ids."""
-    pieces = cut_documents(docs, path).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return pack_pieces(pieces)

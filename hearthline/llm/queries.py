@@ -17,9 +17,9 @@ def vocabulary_path(name: str) -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .packing import packing_digests
+    from .packing import pack_documents
 
-    return packing_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), checksum=True)
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
