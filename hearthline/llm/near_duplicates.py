@@ -7,12 +7,15 @@ at once, and stops when no later rank can lower any place. Bands of the signatur
 make buckets. Documents with one set are one class, known by the set's digest;
 only the smallest id of a class goes on.
 
-Buckets don't emit all their pairs. Each class is tested against its buckets'
-smallest one; then, where a bucket still holds several components, against a few
-random others; then what stands outside a bucket's largest component is tested
-against all in that bucket outside its own component. So every two classes of a
-bucket are either connected by confirmed links or tested themselves. Tests use the
-full sets. Components are joined on the executors.
+Buckets don't emit their pairs: each links its classes with its smallest one, and
+the components of these loose links are the candidate groups. A group meets, with
+its full sets, in blocks of bounded size, every block with itself and with every
+other block of its group. There a class is tested against those that share a
+bucket with it, aren't joined with it yet, and whose sizes and signatures allow
+it (DEVIATIONS standard deviations below the agreement expected at the
+threshold); only confirmed links leave the block, and union-find joins those in it.
+So every two classes of a bucket are connected by confirmed links or tested
+themselves. Components of all links are joined on the executors.
 
 Null texts count as empty; documents without words have an empty set and are
 linked with nothing, as are rows with a null doc_id. Texts shorter than a shingle
@@ -24,18 +27,21 @@ by `keep_one_of_each` and not read by the rest.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import id_and_text, map_rows, materialize
 from .components import component_labels
 
 #: At a similarity of 0.8, 24 bands of 4 miss a link three times in a million.
 BANDS, ROWS = 24, 4
-RANDOM_PARTNERS, SUB_BUCKET = 8, 256
+#: Classes of one side of a block.
+BLOCK = 2048
+DEVIATIONS = 6
 _ELEMENTS = 8192
 _U64 = np.uint64
 _RANK = _U64(52)
@@ -101,72 +107,85 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty) and bands of every text."""
+    """doc_id, n_shingles, digest (of the set; null if empty), bands, and marks
+    (a byte of each place of the signature) of every text."""
 
     def make():
         def step(table):
             sets = [shingle_set(t, shingle) for t in table["text"]]
+            signed = [superminhash(s, bands * rows) if len(s) else None for s in sets]
             return {
                 "doc_id": table["doc_id"],
                 "n_shingles": [len(s) for s in sets],
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "bands": [band_keys(superminhash(s, bands * rows), bands, rows) if len(s) else [] for s in sets],
+                "bands": [[] if g is None else band_keys(g, bands, rows) for g in signed],
+                "marks": [b"" if g is None else g.astype(np.uint8).tobytes() for g in signed],
             }
 
         return step
 
-    return map_rows(id_and_text(docs), "doc_id long, n_shingles long, digest binary, bands array<long>", make)
+    return map_rows(id_and_text(docs), "doc_id long, n_shingles long, digest binary, bands array<long>, marks binary", make)
 
 
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and set (sorted array) of every text."""
+    """doc_id and set (sorted 64-bit numbers) of every text."""
 
     def make():
-        return lambda table: {"doc_id": table["doc_id"], "set": [shingle_set(t, shingle).view(np.int64) for t in table["text"]]}
-
-    return map_rows(id_and_text(docs), "doc_id long, `set` array<long>", make)
-
-
-def _alike(n: Column, m: Column, common: Column, percent: int) -> Column:
-    return 100 * common >= percent * (n + m - common)
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are alike. Sets meet at the pair's
-    smaller id, so that a much used one is not sent along with each pair."""
-    one, other = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(other, "b").join(one, "a")
-    return both.where(_alike(F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b")), percent)).select("a", "b")
-
-
-def _pairs(x: str, y: str) -> list[Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def _sizes_allow(percent: int) -> Column:
-    return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("rep") != F.col("other"))
-
-
-def _random_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Each entry with those that follow it, in a random order, in a part of its
-    bucket of bounded size."""
-    parts = F.pmod(F.xxhash64("rep", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("count") / SUB_BUCKET)))
-    w = Window.partitionBy("key", "part").orderBy(F.xxhash64("rep", "key"), "rep")
-    follow = F.array(*[F.lead(F.struct(F.col("rep").alias("other"), F.col("n").alias("m"), F.col("label").alias("theirs")), i).over(w) for i in range(1, RANDOM_PARTNERS + 1)])
-    found = entries.withColumn("part", parts).withColumn("follow", follow).select("rep", "n", "label", F.explode("follow").alias("x")).where("x is not null")
-    return found.select("rep", "n", "label", "x.*").where((F.col("label") != F.col("theirs")) & _sizes_allow(percent)).select(*_pairs("rep", "other")).distinct()
-
-
-def _outside_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Every entry outside its bucket's largest component with all in the bucket outside its own."""
-    shares = entries.groupBy("key", "label").count()
-    largest = shares.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    marked = entries.join(largest, "key")
-    outside = marked.where("label <> main").select("key", "rep", "n", "label", "main")
-    others = entries.select(F.col("key").alias("there"), F.col("rep").alias("other"), F.col("n").alias("m"), F.col("label").alias("theirs"))
-    once = (F.col("theirs") == F.col("main")) | (F.col("rep") < F.col("other"))
-    meet = (F.col("key") == F.col("there")) & (F.col("label") != F.col("theirs")) & once & _sizes_allow(percent)
-    return outside.join(others, meet).select(*_pairs("rep", "other")).distinct()
+        return lambda table: {"doc_id": table["doc_id"], "set": [shingle_set(t, shingle).tobytes() for t in table["text"]]}
+
+    return map_rows(id_and_text(docs), "doc_id long, `set` binary", make)
+
+
+def block_links(ids: np.ndarray, bands: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join the classes of a block. Where side holds both 0
+    and 1, only classes of different sides are tested against each other."""
+    n = np.array([len(s) for s in sets])
+    places = marks.shape[1]
+    share = percent / 100
+    least = places * share - DEVIATIONS * math.sqrt(places * share * (1 - share))
+    group, links, two = np.arange(len(ids)), [], side.any() and not side.all()
+    rest = np.flatnonzero(side == 1) if two else None
+    for x in range(len(ids)):
+        if two and side[x]:
+            continue
+        others = rest if two else np.arange(x + 1, len(ids))
+        others = others[(group[others] != group[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
+        others = others[(bands[others] == bands[x]).any(1)]
+        agree = (marks[others] == marks[x]).sum(1)
+        likely = agree >= least
+        for y in others[likely][np.argsort(-agree[likely], kind="stable")].tolist():
+            if group[y] == group[x]:
+                continue
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (n[x] + n[y] - common):
+                links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
+                group[group == group[y]] = group[x]
+    return links
+
+
+def _confirmed_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) within candidate groups. Small groups share a block; a large
+    group's parts meet in pairs."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    small = max(1, math.ceil(sizes.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / BLOCK))
+    sized = members.join(sizes, "group")
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    few = sized.where(F.col("size") <= BLOCK).withColumn("one", F.lit(0)).withColumn("two", F.lit(0)).withColumn("side", F.lit(0))
+    few = few.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(small)).cast("long"))
+    many = sized.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("block", F.col("group"))
+    many = many.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
+    columns = ["size", "block", "one", "two", "side", "rep", "bands", "marks", "set"]
+    placed = few.select(columns).unionByName(many.select(columns)).withColumn("large", F.col("size") > BLOCK)
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rep")
+        sets = [np.frombuffer(s, _U64) for s in rows["set"]]
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
+        found = block_links(rows["rep"].to_numpy(), np.stack(rows["bands"].to_list()), marks, sets, rows["side"].to_numpy(), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("large", "block", "one", "two").applyInPandas(link, "a long, b long")
 
 
 def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -174,29 +193,17 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links reach) of every document."""
     signed = materialize(signatures(docs, shingle, bands, rows), "signatures")
     known = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
-
-    keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min(F.struct("rep", "n")).alias("pivot")).where("count > 1")
-    entries = materialize(keyed.join(shared, "key"), "entries")
-    wanted = entries.select(F.col("rep").alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id"])
-    sets = materialize(sets.withColumnRenamed("doc_id", "rep"), "sets")
-
-    star = entries.select("rep", "n", F.col("pivot.rep").alias("other"), F.col("pivot.n").alias("m")).where(_sizes_allow(percent)).select(*_pairs("rep", "other")).distinct()
-    tested = materialize(star, "pairs")
-    links = materialize(_confirmed(tested, sets, percent), "links")
-    labels = component_labels(links)
-    crowded = entries.where("count > 2").select("key", "rep", "n", "count")
-    for more in (_random_pairs, _outside_pairs):
-        labelled = crowded.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        several = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-        pairs = materialize(more(labelled.join(several, "key", "left_semi"), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = materialize(_confirmed(pairs, sets, percent), "links")
-        tested = tested.unionAll(pairs)
-        labels = component_labels(links.unionAll(labels.select(F.col("label").alias("a"), F.col("node").alias("b"))))
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("rep").alias("pivot")).where("count > 1").select("key", "pivot")
+    loose = materialize(keyed.join(shared, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "loose")
+    grouped = component_labels(loose)
+    grouped = grouped.unionAll(grouped.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    wanted = grouped.select(F.col("rep").alias("doc_id"))
+    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).withColumnRenamed("doc_id", "rep")
+    members = classes.select("rep", "bands", "marks").join(grouped, "rep").join(sets.dropDuplicates(["rep"]), "rep")
+    labels = component_labels(materialize(_confirmed_links(materialize(members, "members"), percent), "links"))
 
     joined = classes.select("digest", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     moved = joined.where("copies > 1 or label is not null").select("digest", F.coalesce("label", "rep").alias("label"))
