@@ -200,7 +200,7 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     loose = materialize(keyed.join(shared, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "loose")
     grouped = component_labels(loose)
     grouped = grouped.unionAll(grouped.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("rep"), F.col("label").alias("group"))
-    wanted = grouped.select(F.col("rep").alias("doc_id"))
+    wanted = grouped.select(F.col("rep").alias("doc_id")).hint("merge")  # it grows with the table, so it is never sent whole
     sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).withColumnRenamed("doc_id", "rep")
     members = classes.select("rep", "bands", "marks").join(grouped, "rep").join(sets.dropDuplicates(["rep"]), "rep")
     labels = component_labels(materialize(_confirmed_links(materialize(members, "members"), percent), "links"))
