@@ -9,7 +9,7 @@ by a scale and a shift on the rows learned from.
 
 Null and empty texts have the statistics of a text without characters and are
 scored like any other. Where a class has no labelled text, every score is the
-share of label 1 (0.5 without any label). Labels with nulls are not learned from.
+share of label 1 (0.5 without any label). Labels with nulls are not learned from; of several for an id the larger counts.
 Learning takes at most about TRAIN_ROWS labels, chosen by a hash of doc_id.
 Repeated rows stay repeated; an empty table gives an empty table; further
 columns, whatever their names, are kept by `keep_quality`, never used as inputs.
@@ -139,7 +139,7 @@ class Discriminant:
 def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, train_rows: int = TRAIN_ROWS) -> Discriminant:
     """Learns `quality` from labels of ids where may_learn (over doc_id) holds."""
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(may_learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    chosen = bounded_rows(known, F.col("doc_id"), train_rows).dropDuplicates(["doc_id"])
+    chosen = bounded_rows(known, F.col("doc_id"), train_rows).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most about train_rows pairs of numbers: small enough to send to every executor
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
@@ -147,7 +147,7 @@ def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, train_r
         return lambda rows: {"quality": rows["quality"], "x": [statistics(t) for t in rows["text"]]}
 
     found = map_rows(labelled, "quality int, x array<double>", make).toPandas()
-    x = np.array(found["x"].tolist(), np.float64).reshape(len(found), -1)
+    x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(statistics("")))
     y = found["quality"].to_numpy(np.float64)
     order = np.lexsort(np.vstack([x.T, y]))  # the sums, too, don't depend on the order of arrival
     return Discriminant.fit(x[order], y[order])
