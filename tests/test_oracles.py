@@ -1,10 +1,11 @@
 """Every registered query with SQL gives DuckDB's rows on the smallest tables."""
 
-import oracle
 import pytest
 
 from hearthline.plans.queries import ORACLE_SQL, QUERIES
 
+from . import oracle
+
 SF = "/root/testdata/sf0.001"
 
 
