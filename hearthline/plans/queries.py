@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import comparables, enrichment, learning, matching, spatial, valuation
+from ..sources import tables
+from . import api
 from . import oracle_text as O
 from .proxies import AS_OF, proxy, table, with_proxies
 
@@ -585,3 +588,92 @@ def api9_estimate(spark, sf_dir):
     from .valuation_run import value_proxies
 
     return value_proxies(spark, sf_dir).select("id", "estimated_price", "price_min", "price_max", "comparable.source", "explanations")
+
+
+# --- what else the engine's surface offers ----------------------------------------------------------------
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    """Dwellings as the endpoints see them."""
+    props = proxy(spark, sf_dir, "props")
+    return props.select("id", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), F.col("address").alias("full_address"), T.house_number_of_address(F.col("address")).alias("house_number"), F.when(F.col("id") % 3 == 0, F.col("floor_area")).alias("last_sold_price"))
+
+
+_LISTED = f", l AS (SELECT id, upper(replace(postcode, ' ', '')) AS postcode_clean, address AS full_address, {O.house_of_normalized(O.normalize('address'))} AS house_number, CASE WHEN id % 3 = 0 THEN floor_area END AS last_sold_price FROM props)"
+
+
+@query(with_proxies("props", _LISTED + " SELECT id, full_address, CASE WHEN last_sold_price IS NOT NULL THEN 'exact_matched_sale' ELSE 'area_fallback' END AS sale_price_source FROM l WHERE postcode_clean = 'SW53AB' AND (full_address ILIKE '%flat%' OR house_number ILIKE '%flat%') ORDER BY id LIMIT 50"))
+def api4_property_search(spark, sf_dir):
+    return api.property_search(_listed(spark, sf_dir), "sw5 3ab", "flat", 80).select("id", "full_address", "sale_price_source")
+
+
+@query(with_proxies("props", _LISTED + " SELECT id, house_number FROM l WHERE postcode_clean = 'SW53AB' AND house_number ILIKE '%1%' ORDER BY id LIMIT 20"))
+def api2_address_suggestions(spark, sf_dir):
+    return api.address_suggestions(_listed(spark, sf_dir), "SW5 3AB", "1").select("id", "house_number")
+
+
+@query(with_proxies("props", _LISTED + " SELECT DISTINCT postcode_clean FROM l WHERE postcode_clean LIKE 'SW3%' ORDER BY 1 LIMIT 10"))
+def api5_postcode_suggestions(spark, sf_dir):
+    return api.postcode_suggestions(_listed(spark, sf_dir), " sw3 ", 40)
+
+
+@query(with_proxies("props", _LISTED + ", p AS (SELECT CASE WHEN id % 11 <> 0 THEN postcode_clean END AS p FROM l) SELECT (SELECT count(*) FROM (SELECT DISTINCT p FROM p)) AS postcodes, count(*) AS rows, string_agg(DISTINCT left(p, length(p) - 3), ',' ORDER BY left(p, length(p) - 3)) AS prefixes FROM p"))
+def api6_data_coverage(spark, sf_dir):
+    some = _listed(spark, sf_dir).withColumn("postcode_clean", F.when(F.col("id") % 11 != 0, F.col("postcode_clean")))
+    found = api.data_coverage(some)
+    return found.select(F.col("postcodes").cast("long").alias("postcodes"), "rows", F.array_join("prefixes", ",").alias("prefixes"))
+
+
+@query(with_proxies("props", _LISTED + " SELECT id, full_address FROM l ORDER BY id LIMIT 25"))
+def api8_features_preview(spark, sf_dir):
+    return api.features_preview(_listed(spark, sf_dir), 25).select("id", "full_address")
+
+
+@query(with_proxies("valued", ", c AS (SELECT id, CASE WHEN id % 4 = 0 THEN NULL ELSE floor_area * 2 END AS v FROM valued WHERE id % 3 = 0) SELECT v.id, CASE WHEN c.id IS NOT NULL THEN c.v ELSE v.floor_area END AS floor_area, v.crime_level FROM valued v LEFT JOIN c USING (id)"))
+def snk5_keyed_update(spark, sf_dir):
+    v = proxy(spark, sf_dir, "valued").select("id", "floor_area", "crime_level")
+    changes = v.where("id % 3 = 0").select("id", F.when(F.col("id") % 4 != 0, F.col("floor_area") * 2).alias("floor_area"))
+    return tables.updated(v, changes)
+
+
+@query(with_proxies("valued", f"SELECT id, round(coalesce(CASE WHEN floor_area > 0 THEN floor_area * postcode_average_per_sqm END, indexed_last_sold_price, last_sold_price, postcode_average_price) * ({_FACTORS}), 6) AS training, round(coalesce(CASE WHEN floor_area > 0 THEN floor_area * postcode_average_per_sqm END, postcode_average_price) * ({_FACTORS}), 6) AS serving FROM valued"))
+def val10_feature_baseline(spark, sf_dir):
+    v = proxy(spark, sf_dir, "valued")
+    return v.select("id", _r(valuation.feature_baseline(True)).alias("training"), _r(valuation.feature_baseline(False)).alias("serving"))
+
+
+@query(with_proxies("valued", "SELECT id, CAST((floor_area IS NULL)::INT + (postcode_average_price IS NULL)::INT + (postcode_average_per_sqm IS NULL)::INT + (nearest_station_distance_km IS NULL)::INT + (epc_rating IS NULL)::INT + (crime_level IS NULL)::INT + 16 AS INT) AS missing FROM valued"))
+def val15_missing_features(spark, sf_dir):
+    v = proxy(spark, sf_dir, "valued").withColumn("base_estimator_prediction", F.lit(None).cast("double"))
+    return tables.with_schema(v.drop("comparable"), schemas.FEATURES + ", base_estimator_prediction double").select("id", valuation.missing_features().alias("missing"))
+
+
+@query(f"WITH t AS ({_TWO}) SELECT id, round(0.4::DOUBLE * knn + 0.6::DOUBLE * forest, 6) AS prediction, round((knn * 0.1::DOUBLE + forest * 0.2::DOUBLE + abs(knn - forest)) / 3, 6) AS uncertainty FROM t")
+def ml5_blended_models(spark, sf_dir):
+    x = valuation.blended_models(F.col("knn"), F.col("knn") * 0.1, F.col("forest"), F.col("forest") * 0.2)
+    return _two_models(spark, sf_dir).withColumn("x", x).select("id", _r(F.col("x.prediction")).alias("prediction"), _r(F.col("x.uncertainty")).alias("uncertainty"))
+
+
+@query(_PARTS + ", t AS (SELECT count(*) AS total FROM s), q AS (SELECT p.*, place > greatest(1, round_even(n * 1000::DOUBLE / total, 0)) AS over FROM p, t) SELECT o_orderkey FROM q ORDER BY over, " + _SPLIT_HASH + ", o_orderkey LIMIT 1000")
+def ml7_stratified_sample(spark, sf_dir):
+    return learning.stratified_sample(_stratified(spark, sf_dir), "o_orderkey", "stratum", 1000).select("o_orderkey")
+
+
+@query("WITH q AS (SELECT a.vec_id AS id, a.label AS actual, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM q), k AS (SELECT unnest([2, 5, 12]) AS k), p AS (SELECT id, k, any_value(actual) AS actual, sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS p FROM r, k WHERE n <= k GROUP BY id, k) SELECT k, round(avg(abs(actual - p) / greatest(actual, 1)), 6) AS mape FROM p GROUP BY k")
+def ml10_neighbour_grid(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("double").alias("y"))
+    near = learning.nearest_rows(asked.select("id", "vec"), v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), F.col("label").alias("y")), 12)
+    return learning.score_of_k(near, asked, [2, 5, 12]).select("k", _r(F.col("mape")).alias("mape"))
+
+
+@query("SELECT count(*) AS n, sum(CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS unmatched FROM orders")
+def agg16_match_counts(spark, sf_dir):
+    flag = F.col("o_orderkey") % 3 != 0
+    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(flag).alias("matched"), F.count_if(~flag).alias("unmatched"))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1 UNION ALL SELECT p_type, count(*) FROM part GROUP BY 1")
+def set3_union_all(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return part.where("p_size > 10").groupBy("p_brand").agg(F.count("*").alias("n")).unionAll(part.groupBy("p_type").agg(F.count("*").alias("n")))
