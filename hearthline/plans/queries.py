@@ -636,10 +636,14 @@ def snk5_keyed_update(spark, sf_dir):
     return tables.updated(v, changes)
 
 
-@query(with_proxies("valued", f"SELECT id, round(coalesce(CASE WHEN floor_area > 0 THEN floor_area * postcode_average_per_sqm END, indexed_last_sold_price, last_sold_price, postcode_average_price) * ({_FACTORS}), 6) AS training, round(coalesce(CASE WHEN floor_area > 0 THEN floor_area * postcode_average_per_sqm END, postcode_average_price) * ({_FACTORS}), 6) AS serving FROM valued"))
+_TIE = 1e-8  # off exact ties, which the two engines round differently
+_AREA = "CASE WHEN floor_area > 0 THEN floor_area * postcode_average_per_sqm END"
+
+
+@query(with_proxies("valued", f"SELECT id, round(coalesce({_AREA}, indexed_last_sold_price, last_sold_price, postcode_average_price) * {_FACTORS} + {_TIE}, 6) AS training, round(coalesce({_AREA}, postcode_average_price) * {_FACTORS} + {_TIE}, 6) AS serving FROM valued"))
 def val10_feature_baseline(spark, sf_dir):
     v = proxy(spark, sf_dir, "valued")
-    return v.select("id", _r(valuation.feature_baseline(True)).alias("training"), _r(valuation.feature_baseline(False)).alias("serving"))
+    return v.select("id", _r(valuation.feature_baseline(True) + _TIE).alias("training"), _r(valuation.feature_baseline(False) + _TIE).alias("serving"))
 
 
 @query(with_proxies("valued", "SELECT id, CAST((floor_area IS NULL)::INT + (postcode_average_price IS NULL)::INT + (postcode_average_per_sqm IS NULL)::INT + (nearest_station_distance_km IS NULL)::INT + (epc_rating IS NULL)::INT + (crime_level IS NULL)::INT + 16 AS INT) AS missing FROM valued"))
@@ -667,7 +671,7 @@ def ml10_neighbour_grid(spark, sf_dir):
     return learning.score_of_k(near, asked, [2, 5, 12]).select("k", _r(F.col("mape")).alias("mape"))
 
 
-@query("SELECT count(*) AS n, sum(CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 0 END) AS matched, sum(CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END) AS unmatched FROM orders")
+@query("SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 <> 0) AS matched, count(*) FILTER (o_orderkey % 3 = 0) AS unmatched FROM orders")
 def agg16_match_counts(spark, sf_dir):
     flag = F.col("o_orderkey") % 3 != 0
     return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(flag).alias("matched"), F.count_if(~flag).alias("unmatched"))
