@@ -14,7 +14,7 @@ empty table; columns other than doc_id and text are not read.
 
 from __future__ import annotations
 
-import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, row_slices, ship_package
+from .common import begin_task, id_and_text, row_slices, ship_package, small_batches, worker_cache
 
 WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
@@ -53,9 +53,22 @@ class ChunkIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words = self._word_tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @staticmethod
+    def _word_tokenizer(path: str):
+        """The same vocabulary for lower-case Latin words with blanks between
+        them: those need neither the normaliser nor the splitting pattern."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        to_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        spec |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, to_bytes]}}
+        return Tokenizer.from_str(json.dumps(spec))
+
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -78,7 +91,7 @@ class ChunkIds:
         fresh = list(words)
         for at in range(0, len(fresh), 512):
             part = fresh[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(part).lower()], add_special_tokens=False)[0].ids, "<u4")
             data, stops = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             known.update((c, data[a:b]) for c, a, b in zip(part, [0, *stops[:-1]], stops, strict=True))
         for c, word, tail in marked:
@@ -103,7 +116,7 @@ class ChunkIds:
         return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
-@functools.cache
+@worker_cache
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
 
@@ -170,10 +183,12 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
     ids_crc32, their checksum), sequence_id and offset. Only a document's last
     piece is shorter than a window."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     last = pa.field("ids_crc32", pa.int64()) if checksum else pa.field("ids", pa.binary())
     schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")] + [last] + [(n, pa.int64()) for n in ("sequence_id", "offset")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(chunk_ids)
         encode, end, size = chunk_ids(path).encode, np.array([end_id], "<u4").tobytes(), 4 * window
         made, first, held = 0, TaskContext.get().partitionId() << 40, 0
         pieces: list[tuple] = []
