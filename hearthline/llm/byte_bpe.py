@@ -25,7 +25,7 @@ import struct
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, id_and_text, map_rows
+from .common import BoundedCache, id_and_text, map_rows, worker_cache
 
 #: The pattern that splits text before byte-level merges.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -242,7 +242,7 @@ class TextCodec:
         return self.bytes[place].tobytes()
 
 
-@functools.cache
+@worker_cache
 def text_codec(path: str) -> TextCodec:
     """One codec in each Python worker; workers are used again by later tasks."""
     return TextCodec(path)
@@ -255,7 +255,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
         codec = text_codec(path)
         return lambda rows: {"doc_id": rows["doc_id"], "ids": [codec.encode(t).astype(np.int32) for t in rows["text"]]}
 
-    return map_rows(id_and_text(docs), "doc_id long, ids array<int>", make)
+    return map_rows(id_and_text(docs), "doc_id long, ids array<int>", make, (text_codec,))
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
@@ -266,7 +266,7 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
         say = lambda ids: None if ids is None else codec.decode(np.array(ids, "<u4")).decode("utf-8", "replace")
         return lambda rows: {"doc_id": rows["doc_id"], "text": [say(x) for x in rows["ids"]]}
 
-    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make)
+    return map_rows(encoded.select("doc_id", "ids"), "doc_id long, text string", make, (text_codec,))
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -287,4 +287,4 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
         return step
 
-    return map_rows(id_and_text(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    return map_rows(id_and_text(docs), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", make, (text_codec,))

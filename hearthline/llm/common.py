@@ -3,6 +3,7 @@ shared folder for tables between steps, and bounded caches for Python tasks."""
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Rows, and bytes about, that a Python task turns into Python values at a time.
 ROWS_AT_A_TIME, BYTES_AT_A_TIME = 512, 8_000_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,29 @@ def ship_package(spark: SparkSession) -> None:
     context._hearthline_shipped = True
 
 
+_worker_caches: list[Callable] = []
+
+
+def worker_cache(f: Callable) -> Callable:
+    """Like functools.cache, for large values that Python workers keep between tasks."""
+    cached = functools.cache(f)
+    _worker_caches.append(cached)
+    return cached
+
+
+def begin_task(*used: Callable) -> None:
+    """Lets go of what other operators left in this worker."""
+    for cached in _worker_caches:
+        if cached not in used:
+            cached.cache_clear()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long: fewer of them go to a Python worker at once than Spark's default."""
+    if spark.conf.get(_BATCH_ROWS) == "10000":
+        spark.conf.set(_BATCH_ROWS, str(4 * ROWS_AT_A_TIME))
+
+
 def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Batches in slices of bounded rows and bytes, columns as lists."""
     for batch in batches:
@@ -77,16 +102,19 @@ def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
             yield {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dict]], uses: tuple[Callable, ...] = ()) -> DataFrame:
     """mapInArrow over small slices of rows. make() is called once in each task
-    and returns a function from columns (lists) to columns (lists or arrays)."""
+    and returns a function from columns (lists) to columns (lists or arrays);
+    uses: the worker caches that it needs."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task(*uses)
         step = make()
         for rows in row_slices(batches):
             out = step(rows)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, map_rows, materialize
+from .common import begin_task, id_and_text, map_rows, materialize
 from .components import component_labels
 
 #: At a similarity of 0.8, 24 bands of 4 miss a link three times in a million.
@@ -179,6 +179,7 @@ def _confirmed_links(members: DataFrame, percent: int) -> DataFrame:
     placed = few.select(columns).unionByName(many.select(columns)).withColumn("large", F.col("size") > BLOCK)
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
+        begin_task()
         rows = rows.sort_values("rep")
         sets = [np.frombuffer(s, _U64) for s in rows["set"]]
         marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)

@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 
 from .byte_bpe import CACHE_ENTRIES, _IRREGULAR, Vocabulary, vocabulary
-from .common import BoundedCache, id_and_text, map_rows
+from .common import BoundedCache, id_and_text, map_rows, worker_cache
 
 
 @functools.cache
@@ -67,7 +67,7 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self._plain, parts))
 
 
-@functools.cache
+@worker_cache
 def token_counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
@@ -84,4 +84,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
         return step
 
-    return map_rows(id_and_text(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make)
+    return map_rows(id_and_text(docs), "doc_id long, n_bytes long, n_tokens long, over_limit boolean", make, (token_counter,))
