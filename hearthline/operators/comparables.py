@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import staged
+
 WANTED = 3
 #: What another type costs; the least area and price that count.
 OTHER_TYPE, LEAST_AREA, LEAST_PRICE = 0.25, 10.0, 50_000.0
@@ -71,10 +73,10 @@ def comparable_estimates(features: DataFrame) -> DataFrame:
     """id, estimate, average_per_sqm, count, source and addresses, for dwellings
     with an area and a comparable. The sector replaces the postcode where that has
     fewer than two candidates and the sector is known."""
-    sold = sold_dwellings(features)
-    targets = features.where("floor_area > 0")
+    slim = staged(features.select("id", "postcode_clean", "postcode_sector", "floor_area", "property_subtype", "full_address", "indexed_last_sold_price"), "comparables")
+    sold, targets = sold_dwellings(slim), slim.where("floor_area > 0")
     level = F.when((F.col("n") < 2) & (F.coalesce("postcode_sector", F.lit("")) != ""), "postcode sector").otherwise("same postcode")
-    leveled = targets.join(_candidates(targets, sold, "postcode_clean"), "id").withColumn("source", level)
+    leveled = staged(targets.join(_candidates(targets, sold, "postcode_clean"), "id").withColumn("source", level), "leveled")
     found = _comparables_at(leveled.where("source = 'same postcode'"), sold, "postcode_clean").withColumn("source", F.lit("same postcode"))
     found = found.unionByName(_comparables_at(leveled.where("source = 'postcode sector'"), sold, "postcode_sector").withColumn("source", F.lit("postcode sector")))
     mean = F.avg(F.col("price") / F.col("area"))

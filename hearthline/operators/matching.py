@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.dates import date_key
+from ..sources.tables import staged
 
 #: Points for each part that is equal, and for one that differs.
 POINTS = {"core": (8, 0), "unit": (6, -4), "house": (5, -3), "street": (3, -1), "building": (3, -1)}
@@ -99,8 +100,9 @@ def best_candidates(scored: DataFrame) -> DataFrame:
 
 def match_sales(certificates: DataFrame, sales: DataFrame) -> DataFrame:
     """id, sale_id and match_kind (exact, scored; null without a match) of every certificate."""
-    dwellings, sold = describe_dwellings(certificates), describe_sales(sales)
-    exact = dwellings.join(latest_sale_by_core(sold), ["postcode_clean", "core"], "left")
+    # text is normalised once for each side; all the joins below start from these tables
+    dwellings, sold = staged(describe_dwellings(certificates), "dwellings"), staged(describe_sales(sales), "sold")
+    exact = staged(dwellings.join(latest_sale_by_core(sold), ["postcode_clean", "core"], "left"), "exact")
     scored = best_candidates(score_candidates(choose_pools(exact.where("exact_id is null and postcode_clean is not null").drop("exact_id"), sold), sold))
     both = exact.select("id", "exact_id").join(scored.withColumnRenamed("sale_id", "scored_id"), "id", "left")
     kind = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("scored_id").isNotNull(), "scored")

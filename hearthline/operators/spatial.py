@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import CELL_DEGREES, EARTH_KM, REACH, haversine_km
+from ..sources.tables import staged
 
 LEVELS = 7
 
@@ -53,9 +54,9 @@ def _farther(points: DataFrame, places: DataFrame, columns: list[str]) -> DataFr
         side = CELL_DEGREES * 4**level
         near = _seen(left, places, side).groupBy("id", "latitude").agg(F.min_by(F.struct(*columns, "km"), F.struct("km", "src_ord")).alias("x"))
         sure = F.lit(0.5 * REACH * side * math.pi / 180 * EARTH_KM) * F.cos(F.radians("latitude"))  # well inside the window's edge
-        settled = near.where((F.col("x.km") <= sure) | F.lit(level == LEVELS - 1)).select("id", "x.*")
+        settled = staged(near.where((F.col("x.km") <= sure) | F.lit(level == LEVELS - 1)).select("id", "x.*"), "settled")
         found = settled if found is None else found.unionByName(settled)
-        left = left.join(settled.select("id"), "id", "left_anti")
+        left = staged(left.join(settled.select("id"), "id", "left_anti"), "unsettled")
         if left.isEmpty():
             break
     return found
@@ -66,7 +67,7 @@ def nearest_place(points: DataFrame, places: DataFrame, columns: list[str]) -> D
     are left out, as all are where there is no place."""
     here, there = _located(points), _placed(places)
     near = _seen(here, there, CELL_DEGREES).groupBy("id").agg(F.min_by(F.struct(*columns, "km"), tie_order()).alias("x")).select("id", "x.*")
-    blind = here.join(near.select("id"), "id", "left_anti")
+    blind = staged(here.join(near.select("id"), "id", "left_anti"), "blind")
     return near.unionByName(_farther(blind, there, columns))
 
 
@@ -85,7 +86,7 @@ def school_summary(points: DataFrame, schools: DataFrame) -> DataFrame:
         count("SECONDARY", 2.0).alias("nearby_secondary_schools_2km"),
     )
     here = _located(points)
-    blind = here.join(summed.select("id"), "id", "left_anti")
+    blind = staged(here.join(summed.select("id"), "id", "left_anti"), "blind")
     there = _placed(schools)
     far = _farther(blind, there, ["name", "school_type"]).select("id", F.struct("name", "school_type", "km").alias("far"))
     joined = points.select("id", "latitude", "longitude").join(summed, "id", "left").join(far, "id", "left")
