@@ -125,7 +125,7 @@ def predict_language(docs: DataFrame, learned: tuple[list[str], np.ndarray]) ->
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, lang_pred string, score double", make)
 
 
-def keep_languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.05) -> DataFrame:
+def keep_languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.0) -> DataFrame:
     """The rows, with all columns, whose language is known with the least score or more."""
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
