@@ -44,6 +44,19 @@ PROXIES: dict[str, str] = {
           CAST(51.40 AS DOUBLE) + CAST(p_partkey * 29 % 200 AS DOUBLE) / CAST(1000 AS DOUBLE) AS latitude,
           CAST(-0.30 AS DOUBLE) + CAST(p_partkey * 43 % 300 AS DOUBLE) / CAST(1000 AS DOUBLE) AS longitude
         FROM {part} WHERE p_partkey % 10 = 0""",
+    # every part as a school
+    "all_schools": """
+        SELECT p_partkey AS src_ord, p_name AS name,
+          CASE p_size % 3 WHEN 0 THEN 'PRIMARY' WHEN 1 THEN 'SECONDARY' ELSE 'OTHER' END AS school_type,
+          CAST(51.40 AS DOUBLE) + CAST(p_partkey * 29 % 200 AS DOUBLE) / CAST(1000 AS DOUBLE) AS latitude,
+          CAST(-0.30 AS DOUBLE) + CAST(p_partkey * 43 % 300 AS DOUBLE) / CAST(1000 AS DOUBLE) AS longitude
+        FROM {part}""",
+    # hospitals: one at each supplier's place in reverse, so not the stations
+    "hospitals": """
+        SELECT s_suppkey AS src_ord, concat('Hospital of ', s_name) AS name,
+          CAST(51.40 AS DOUBLE) + CAST(s_suppkey * 113 % 200 AS DOUBLE) / CAST(1000 AS DOUBLE) AS latitude,
+          CAST(-0.30 AS DOUBLE) + CAST(s_suppkey * 59 % 300 AS DOUBLE) / CAST(1000 AS DOUBLE) AS longitude
+        FROM {supplier}""",
     "hpi": """
         SELECT concat(CAST(year(o_orderdate) AS STRING), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0')) AS month_key,
           round(avg(o_totalprice), 4) AS idx
