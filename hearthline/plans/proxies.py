@@ -7,6 +7,7 @@ import datetime
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = datetime.date(2001, 8, 1)
 
@@ -51,7 +52,7 @@ PROXIES: dict[str, str] = {
           CAST(51.40 AS DOUBLE) + CAST(p_partkey * 29 % 200 AS DOUBLE) / CAST(1000 AS DOUBLE) AS latitude,
           CAST(-0.30 AS DOUBLE) + CAST(p_partkey * 43 % 300 AS DOUBLE) / CAST(1000 AS DOUBLE) AS longitude
         FROM {part}""",
-    # hospitals: one at each supplier's place in reverse, so not the stations
+    # hospitals, at other places than the stations
     "hospitals": """
         SELECT s_suppkey AS src_ord, concat('Hospital of ', s_name) AS name,
           CAST(51.40 AS DOUBLE) + CAST(s_suppkey * 113 % 200 AS DOUBLE) / CAST(1000 AS DOUBLE) AS latitude,
@@ -102,3 +103,11 @@ def with_proxies(names: str, body: str) -> str:
     """SQL in which the named proxies are common tables."""
     views = ", ".join(f"{n} AS ({proxy_sql(n)})" for n in names.split())
     return f"WITH {views}{', ' if body.lstrip().startswith(',') else ' '}{body.lstrip().lstrip(',')}"
+
+
+def wide_crime(spark, sf_dir) -> DataFrame:
+    """Monthly counts in one column each, as the raw file has them."""
+    crime = proxy(spark, sf_dir, "crime")
+    months = [str(r["ym"]) for r in crime.select("ym").distinct().collect()]  # calendar months
+    wide = crime.groupBy(F.col("lsoa").cast("string").alias("LSOA Code"), F.concat(F.lit("Area "), F.col("lsoa")).alias("LSOA Name"))
+    return wide.pivot("ym", [int(m) for m in sorted(months)]).agg(F.sum("crimes"))

@@ -15,7 +15,7 @@ from ..operators import comparables, enrichment, learning, matching, spatial, va
 from ..sources import tables
 from . import api
 from . import oracle_text as O
-from .proxies import AS_OF, proxy, table, with_proxies
+from .proxies import AS_OF, proxy, table, wide_crime, with_proxies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,23 +185,15 @@ _CRIME = ", w AS (SELECT lsoa, sum(crimes)::DOUBLE AS total FROM crime WHERE ym
 _LEVELS = _CRIME + ", q AS (SELECT quantile_cont(total / 12, 0.33) AS low, quantile_cont(total / 12, 0.66) AS high FROM w), v AS (SELECT lsoa, total, total / 12 AS mean, CASE WHEN total / 12 <= low THEN 'LOW' WHEN total / 12 >= high THEN 'HIGH' ELSE 'AVERAGE' END AS level FROM w, q)"
 
 
-def _wide_crime(spark, sf_dir) -> DataFrame:
-    """Monthly counts in one column each, as the raw file has them."""
-    crime = proxy(spark, sf_dir, "crime")
-    months = [str(r["ym"]) for r in crime.select("ym").distinct().collect()]  # calendar months
-    wide = crime.groupBy(F.col("lsoa").cast("string").alias("LSOA Code"), F.concat(F.lit("Area "), F.col("lsoa")).alias("LSOA Name"))
-    return wide.pivot("ym", [int(m) for m in sorted(months)]).agg(F.sum("crimes"))
-
-
 @query(with_proxies("crime", _CRIME + " SELECT CAST(lsoa AS VARCHAR) AS area, total FROM w"))
 def agg2_last12_sum(spark, sf_dir):
-    found = enrichment.crime_by_area(_wide_crime(spark, sf_dir))
+    found = enrichment.crime_by_area(wide_crime(spark, sf_dir))
     return found.where("crime_total_12m > 0").select(F.col("crime_lsoa_code").alias("area"), F.col("crime_total_12m").alias("total"))
 
 
 @query(with_proxies("crime", _LEVELS + " SELECT CAST(lsoa AS VARCHAR) AS area, round(mean, 6) AS mean, level FROM v"))
 def agg4_quantile_bands(spark, sf_dir):
-    found = enrichment.crime_levels(enrichment.crime_by_area(_wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
+    found = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
     return found.select(F.col("crime_lsoa_code").alias("area"), _r(F.col("crime_avg_monthly_12m")).alias("mean"), F.col("crime_level").alias("level"))
 
 
@@ -210,7 +202,7 @@ def jn5_two_hop(spark, sf_dir):
     props = proxy(spark, sf_dir, "props")
     raw = props.where("id % 4 <> 0").select(F.col("postcode").alias("pcd"), (F.col("id") % 120).cast("string").alias("lsoa11")).withColumn("ord", F.col("lsoa11"))
     areas = enrichment.area_of_postcode(raw)
-    leveled = enrichment.crime_levels(enrichment.crime_by_area(_wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
+    leveled = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
     keyed = props.withColumn("postcode_clean", T.clean_postcode(F.col("postcode")))
     return enrichment.attach_crime(keyed, areas, leveled).select("id", F.col("crime_lsoa_code").alias("area"), F.col("crime_level").alias("level"))
 

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.comparables import comparable_estimates
-from ..operators.enrichment import attach_crime, attach_index, sector_averages
+from ..operators.enrichment import area_of_postcode, attach_crime, attach_index, crime_by_area, crime_levels, sector_averages
 from ..operators.matching import match_sales
 from ..operators.spatial import nearest_place, school_summary
 from ..operators.valuation import estimates
 from ..sources.tables import staged
-from .proxies import AS_OF, proxy
+from .proxies import AS_OF, proxy, wide_crime
 
 
 def base_features(certificates: DataFrame, sales: DataFrame) -> DataFrame:
@@ -33,20 +33,24 @@ def enriched_features(base: DataFrame, stations: DataFrame, schools: DataFrame,
     return rows.join(sector_averages(base, as_of), "postcode_sector", "left")
 
 
-def value_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run over the proxy views."""
+def proxy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all dwellings from all sales, schools, hospitals and crimes of the proxy views."""
     props = proxy(spark, sf_dir, "props")
     none = F.lit(None).cast("string")
     certificates = props.select("*", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), none.alias("address1"), none.alias("house_number"), F.col("address").alias("full_address"), F.element_at(F.array(*map(F.lit, "ABCDEFG")), (F.col("id") % 7 + 1).cast("int")).alias("epc_rating"))
     full = T.full_address(F.col("saon"), F.col("paon"), F.col("street"), F.col("postcode"))
-    sales = proxy(spark, sf_dir, "sales").where("sale_id % 23 = 0")
-    sales = sales.select("sale_id", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), F.col("paon").alias("house_number"), none.alias("building_name"), F.col("saon").alias("unit"), "street", full.alias("full_address"), "price", "transfer_date")
-    stations, schools = proxy(spark, sf_dir, "stations").withColumn("zone", F.lit("1")), proxy(spark, sf_dir, "schools")
+    sales = proxy(spark, sf_dir, "sales").select("sale_id", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), F.col("paon").alias("house_number"), none.alias("building_name"), F.col("saon").alias("unit"), "street", full.alias("full_address"), "price", "transfer_date")
+    stations, schools, hospitals = proxy(spark, sf_dir, "stations").withColumn("zone", F.lit("1")), proxy(spark, sf_dir, "all_schools"), proxy(spark, sf_dir, "hospitals")
     month = proxy(spark, sf_dir, "hpi")
     day = F.to_date(F.concat("month_key", F.lit("-01")))
     series = month.select(day.alias("day"), "month_key", F.explode(F.array(F.lit("HOUSE"), F.lit("FLAT"))).alias("index_type"), "idx", F.lit(None).cast("double").alias("annual_change"))
-    areas = certificates.select("postcode_clean").distinct().withColumn("crime_lsoa_code", F.pmod(F.xxhash64("postcode_clean"), F.lit(100)).cast("string"))
-    crime = proxy(spark, sf_dir, "crime").groupBy(F.col("lsoa").cast("string").alias("crime_lsoa_code")).agg((F.sum("crimes") / 12.0).alias("crime_avg_monthly_12m")).withColumn("crime_level", F.lit("AVERAGE"))
+    areas = area_of_postcode(props.select(F.col("postcode").alias("pcd"), (F.col("id") % 120).cast("string").alias("lsoa11"), F.col("id").alias("ord")))
+    crime = crime_levels(crime_by_area(wide_crime(spark, sf_dir)))
     base = staged(base_features(certificates, sales), "base")
-    features = staged(enriched_features(base, stations, schools, stations, areas, crime, series, AS_OF), "features")
+    return enriched_features(base, stations, schools, hospitals, areas, crime, series, AS_OF)
+
+
+def value_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the proxy views."""
+    features = staged(proxy_features(spark, sf_dir), "features")
     return estimates(features, comparable_estimates(features), AS_OF)

@@ -1,9 +1,14 @@
 """Queries over the whole input: nothing is thinned before the operator sees it."""
 
+import datetime
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from hearthline.plans.proxies import proxy
+from hearthline.plans.proxies import AS_OF, proxy
 from hearthline.plans.queries import QUERIES
+from hearthline.plans.valuation_run import proxy_features
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,3 +30,57 @@ def test_all_schools_and_the_whole_fold(spark):
     assert proxy(spark, SF, "all_schools").count() == spark.read.parquet(f"{SF}/part.parquet").count()
     held = spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") % 5 == 0).count()
     assert QUERIES["ml2_knn_all"](spark, SF).count() == held
+
+
+def test_valuation_features_match_brute_force(spark):
+    got = {r["id"]: r for r in proxy_features(spark, SF).collect()}
+    props, sales = proxy(spark, SF, "props").collect(), proxy(spark, SF, "sales").collect()
+    assert set(got) == {p["id"] for p in props}
+    owner = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    key = lambda postcode, c, house: (postcode, c % 3, house, c % 5 if c % 3 == 0 else 0)
+    latest = {}
+    for s in sales:
+        at = key(s["postcode"], owner[s["sale_id"]], int(s["paon"]))
+        latest[at] = max(latest.get(at, ("", 0, 0)), (s["transfer_date"], s["sale_id"], s["price"]))
+    exact = 0
+    for p in props:
+        sold = latest.get(key(p["postcode"], p["id"], p["id"] % 40 + 1))
+        exact += sold is not None
+        if sold:
+            assert (got[p["id"]]["match_kind"], got[p["id"]]["last_transfer_date"]) == ("exact", sold[0]) and abs(got[p["id"]]["last_sold_price"] - sold[2]) < 1e-6
+    assert exact > len(props) / 2
+
+    crimes = proxy(spark, SF, "crime").collect()
+    last = sorted({r["ym"] for r in crimes})[-12:]
+    mean = {str(r["lsoa"]): 0.0 for r in crimes}
+    for r in crimes:
+        mean[str(r["lsoa"])] += r["crimes"] / 12 * (r["ym"] in last)
+    low, high = np.quantile(list(mean.values()), [0.33, 0.66])
+    area = {p["postcode"]: str(p["id"] % 120) for p in sorted(props, key=lambda p: p["id"])}
+    known = 0
+    for p in props:
+        m = mean.get(area[p["postcode"]])
+        level = None if m is None else "LOW" if m <= low + 1e-9 else "HIGH" if m >= high - 1e-9 else "AVERAGE"
+        assert got[p["id"]]["crime_level"] == level
+        assert m is None or abs(got[p["id"]]["crime_avg_monthly_12m"] - m) < 1e-9
+        known += m is not None
+    assert known
+
+    cell = lambda x: math.floor(x / 0.02)
+    km = lambda a, b, c, d: 6371 * 2 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
+    for view, column in (("hospitals", "nearest_hospital_distance_km"), ("all_schools", "nearest_school_distance_km")):
+        places = [(q["latitude"], q["longitude"]) for q in proxy(spark, SF, view).collect()]
+        for p in props:
+            a, b = p["latitude"], p["longitude"]
+            seen = [q for q in places if abs(cell(q[0]) - cell(a)) <= 2 and abs(cell(q[1]) - cell(b)) <= 2] or places
+            assert abs(got[p["id"]][column] - min(km(a, b, *q) for q in seen)) < 1e-6
+    assert all(r["nearest_hospital_name"].startswith("Hospital of ") for r in got.values())
+
+    total, weight = {}, {}
+    for r in got.values():
+        if r["last_sold_price"] is not None:
+            days = (AS_OF - datetime.date.fromisoformat(r["last_transfer_date"])).days
+            w = 1.0 if days <= 365 else 0.7 if days <= 1095 else 0.5 if days <= 1825 else 0.25
+            total[r["postcode_sector"]] = total.get(r["postcode_sector"], 0) + w * r["last_sold_price"]
+            weight[r["postcode_sector"]] = weight.get(r["postcode_sector"], 0) + w
+    assert all(abs(r["postcode_average_price"] - total[r["postcode_sector"]] / weight[r["postcode_sector"]]) < 1e-4 for r in got.values() if r["postcode_sector"] in weight)
