@@ -7,6 +7,11 @@ documents' unit vectors. A document gets the language whose prototype has the
 largest cosine, and that cosine, 0 at least, as its score. Ties go to the first
 label in alphabetical order.
 
+To keep or drop a text, its score is held against the lowest that labelled texts of
+its length get for their own language (a low quantile, each text left out of its
+prototype). Texts of fewer than SHORT trigrams say too little and are kept; where
+nothing was learned, all with a letter are kept.
+
 Texts that are null or hold no letter are `und` with a score of 0, and so is all
 where nothing could be learned. Prototypes come from a bounded number of labelled
 texts (TRAIN_TEXTS), chosen by a hash of doc_id. Repeated rows stay repeated; an
@@ -27,6 +32,10 @@ from .common import bounded_rows, id_remainder, map_rows, sum_vectors
 DIMENSIONS = 1024
 TRAIN_TEXTS = 20_000
 UNKNOWN = "und"
+#: Texts of fewer trigrams are never rejected by their score; bands of length are powers of two up to the last.
+SHORT, LAST_BAND = 16, 12
+#: The quantile that is the limit, and how many labelled texts it takes.
+LOW_QUANTILE, FEWEST = 0.001, 20
 #: Letters have signs of their own up to Latin Extended-A; others share the rest.
 _OWN, _BITS = 0x180, 10
 _CODES = 0x40000
@@ -62,12 +71,12 @@ def trigrams(text: str) -> np.ndarray:
     return (sign[:-2] << 2 * _BITS) | (sign[1:-1] << _BITS) | sign[2:]
 
 
-def document_vectors(texts: list[str | None]) -> np.ndarray:
-    """Unit vectors of the texts; zeros where there is no letter."""
+def _vectors_and_sizes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of the texts (zeros where there is no letter), and their numbers of trigrams."""
     grams = [trigrams(t) if t else np.empty(0, np.int64) for t in texts]
     sizes = np.array([len(g) for g in grams])
     if not sizes.sum():
-        return np.zeros((len(texts), DIMENSIONS), np.float32)
+        return np.zeros((len(texts), DIMENSIONS), np.float32), sizes
     key, count = np.unique((np.repeat(np.arange(len(texts)), sizes) << 3 * _BITS) | np.concatenate(grams), return_counts=True)
     gram, place = np.unique(key & ((1 << 3 * _BITS) - 1), return_inverse=True)
     mask, (one, two, three) = (1 << _BITS) - 1, _letters()
@@ -79,13 +88,27 @@ def document_vectors(texts: list[str | None]) -> np.ndarray:
             stop = min(b, at + 4096)
             out[i] += weight[at:stop] @ bound[place[at:stop]].astype(np.float32)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1)
+    return out / np.where(norm > 0, norm, 1), sizes
 
 
-def learn_prototypes(docs: DataFrame, may_learn: Column, train_texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
-    """Labels, sorted, and unit prototypes, from documents with a label where may_learn holds."""
+def document_vectors(texts: list[str | None]) -> np.ndarray:
+    """Unit vectors of the texts; zeros where there is no letter."""
+    return _vectors_and_sizes(texts)[0]
+
+
+def _band(sizes: np.ndarray) -> np.ndarray:
+    """The band of each length; -1 for texts that are too short to be rejected."""
+    return np.where(sizes < SHORT, -1, np.minimum(np.log2(np.maximum(sizes, 1)).astype(np.int64), LAST_BAND))
+
+
+def _labelled(docs: DataFrame, may_learn: Column, train_texts: int) -> DataFrame:
+    """A bounded number of documents with a label where may_learn holds."""
     labelled = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = bounded_rows(labelled, F.col("doc_id"), train_texts)
+    return bounded_rows(labelled, F.col("doc_id"), train_texts).select("text", "lang")
+
+
+def _label_sums(chosen: DataFrame) -> dict[str, np.ndarray]:
+    """The sum of the unit vectors of each label that has a letter."""
 
     def make():
         def step(rows):
@@ -95,16 +118,59 @@ def learn_prototypes(docs: DataFrame, may_learn: Column, train_texts: int = TRAI
 
         return step
 
-    sums = sum_vectors(map_rows(chosen.select("text", "lang"), "lang string, vector array<double>", make), "lang", "vector")
-    known = sorted(k for k, v in sums.items() if np.any(v))
-    p = np.array([sums[k] for k in known], np.float32).reshape(len(known), DIMENSIONS)
-    return known, p / np.linalg.norm(p, axis=1, keepdims=True) if known else p
+    sums = sum_vectors(map_rows(chosen, "lang string, vector array<double>", make), "lang", "vector")
+    return {k: np.array(sums[k]) for k in sorted(sums) if np.any(sums[k])}
+
+
+def _prototypes(sums: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    p = np.array(list(sums.values()), np.float32).reshape(len(sums), DIMENSIONS)
+    return list(sums), p / np.linalg.norm(p, axis=1, keepdims=True) if sums else p
+
+
+def _limits(chosen: DataFrame, sums: dict[str, np.ndarray]) -> dict[int, float]:
+    """The least score of each band: the low quantile of labelled texts' cosine with the
+    prototype of the others of their language; over all bands where a band has too few,
+    none where all have."""
+
+    def make():
+        def step(rows):
+            vectors, sizes = _vectors_and_sizes(rows["text"])
+            band, cosine = _band(sizes), np.full(len(sizes), np.nan)
+            for i in np.flatnonzero(band >= 0):
+                others = sums[rows["lang"][i]] - vectors[i]
+                norm = np.linalg.norm(others)
+                if norm > 1e-3:  # else it is the only text of its language
+                    cosine[i] = others @ vectors[i] / norm
+            known = ~np.isnan(cosine)
+            return {"band": band[known].tolist(), "cosine": cosine[known].tolist()}
+
+        return step
+
+    own = map_rows(chosen, "band long, cosine double", make)
+    found = own.rollup("band").agg(F.percentile("cosine", F.lit(LOW_QUANTILE)).alias("low"), F.count("*").alias("n")).collect()
+    low = {r["band"]: max(0.0, r["low"]) for r in found if r["n"] >= FEWEST}
+    return {b: low.get(b, low.get(None, 0.0)) for b in range(int(np.log2(SHORT)), LAST_BAND + 1)}
+
+
+def learn_prototypes(docs: DataFrame, may_learn: Column, train_texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
+    """Labels, sorted, and unit prototypes, from documents with a label where may_learn holds."""
+    return _prototypes(_label_sums(_labelled(docs, may_learn, train_texts)))
+
+
+def learn_prototypes_and_limits(docs: DataFrame, may_learn: Column, train_texts: int = TRAIN_TEXTS) -> tuple[tuple[list[str], np.ndarray], dict[int, float]]:
+    """The prototypes, and the least score by band that keep_languages takes."""
+    chosen = _labelled(docs, may_learn, train_texts)
+    sums = _label_sums(chosen)
+    return _prototypes(sums), _limits(chosen, sums) if sums else {}
 
 
 def _predict(labels: list[str], prototypes: np.ndarray, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    vectors = document_vectors(texts)
+    return _predict_vectors(labels, prototypes, document_vectors(texts))
+
+
+def _predict_vectors(labels: list[str], prototypes: np.ndarray, vectors: np.ndarray) -> tuple[list[str], list[float]]:
     if not labels:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return [UNKNOWN] * len(vectors), [0.0] * len(vectors)
     cosine = vectors @ prototypes.T
     best = cosine.argmax(1)
     some = vectors.any(1)
@@ -125,15 +191,18 @@ def predict_language(docs: DataFrame, learned: tuple[list[str], np.ndarray]) ->
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, lang_pred string, score double", make)
 
 
-def keep_languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.0) -> DataFrame:
-    """The rows, with all columns, whose language is known with the least score or more."""
+def keep_languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.0, limits: dict[int, float] | None = None) -> DataFrame:
+    """The rows, with all columns, that have a letter and whose language is known with the
+    least score or more; limits by band of length hold besides. Where nothing was learned, all with a letter."""
     names = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make():
         def step(rows):
-            lang, score = _predict(*learned, rows["text"])
-            keep = [x != UNKNOWN and s >= least for x, s in zip(lang, score)]
+            vectors, sizes = _vectors_and_sizes(rows["text"])
+            _, score = _predict_vectors(*learned, vectors)
+            floor = [max(least, (limits or {}).get(b, 0.0)) for b in _band(sizes).tolist()]
+            keep = [some and (not learned[0] or s >= f) for some, s, f in zip(vectors.any(1), score, floor)]
             return {n: [v for v, k in zip(rows[n], keep) if k] for n in names}
 
         return step
