@@ -2,7 +2,8 @@
 network over every other candidate and what surrounds it.
 
 Base kinds are `assign`, `access` and `hex`; their matches always stay. Further
-candidates are runs of 16 or more key characters that no base match overlaps.
+candidates are runs of 16 or more key characters that no base match contains: a
+run that one only touches is scored as a whole, but for a leading name and `=`.
 The network (numpy) sees each whole candidate in windows, with the characters
 before and after it, and gives a probability; those at or over the threshold of
 their alphabet are spans of kind `learned`. It is trained on labelled findings
@@ -31,6 +32,8 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 #: Runs as a whole, so that shorter ones drop out by their length alone.
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]{14,}"), re.compile(r"[0-9a-f]{16,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: The name before a value within a run.
+NAME = re.compile(r"[A-Za-z_-]{1,15}=+")
 ASSIGN_LEAST = 12
 SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
 
@@ -64,14 +67,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters that no base match overlaps. Both lists ascend."""
-    found, at = [], 0
-    by_end = sorted((end, start) for start, _, end in base)
+    """Runs of key characters that no base match contains; of those that one touches,
+    what stands behind a name. base ascends by start."""
+    found, live, at = [], [], 0
     for m in CANDIDATE.finditer(text):
-        while at < len(by_end) and by_end[at][0] <= m.start():
+        start, end = m.span()
+        while at < len(base) and base[at][0] < end:
+            live.append((base[at][0], base[at][2]))
             at += 1
-        if not any(start < m.end() for _, start in by_end[at:]):
-            found.append(m.span())
+        live = [s for s in live if s[1] > start]
+        if live and (name := NAME.match(text, start, end)):
+            start = name.end()
+        if start < end and not any(a <= start and end <= b for a, b in live):
+            found.append((start, end))
     return found
 
 
