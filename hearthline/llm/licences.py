@@ -6,6 +6,9 @@ there; maximal pieces of LEAST_MATCH words or more are chained, in the order of
 text and template, into spans, and a span that covers COVERED of its template
 carries the template's label. Words that no template pair contains reset the
 automaton, so only stretches of template pairs are streamed word by word.
+Templates of up to SHORT words must stand there in full and without a gap, others
+must hold the words that tell their licence apart (TELLING). Of overlapping spans
+with different labels the one that covers more words stays.
 
 Words: letters A-Z are lower-cased; ASCII signs other than letters and digits
 separate. Null texts count as empty: no words, places, labels, and a score of 0.
@@ -41,8 +44,38 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("apache-1.1", "Licensed under the Apache License, Version 1.1"),
+    ("gpl-2", "licensed under the GNU General Public License, version 2"),
+    ("gpl-2", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."""),
+    ("lgpl-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
+    ("lgpl-2.1", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("lgpl-3", "licensed under the GNU Lesser General Public License, version 3"),
+    ("lgpl-3", """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details."""),
+    ("agpl-3", "licensed under the GNU Affero General Public License, version 3"),
+    ("agpl-3", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details."""),
+    ("bsd-2-clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-sa", "licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-nd", "licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
 )
-LEAST_MATCH, COVERED = 4, 0.6
+LEAST_MATCH, COVERED, SHORT = 4, 0.6, 20
+
+#: Words that a span of a long template must hold, by label.
+TELLING = {
+    "mit": ("the above copyright notice and this permission notice",),
+    "apache-2": ("version 2 0",),
+    "gpl-2": ("gnu general public license", "version 2 of the license"),
+    "gpl-3": ("gnu general public license", "version 3 of the license"),
+    "lgpl-2.1": ("gnu lesser general public license", "version 2 1 of the license"),
+    "lgpl-3": ("gnu lesser general public license", "version 3 of the license"),
+    "agpl-3": ("gnu affero general public license", "version 3 of the license"),
+    "bsd-2-clause": ("redistributions in binary form",),
+    "bsd-3-clause": ("neither the name of",),
+    "isc": ("provided that the above copyright notice",),
+    "mpl-2": ("license v 2 0",),
+    "unlicense": ("released into the public domain",),
+}
 
 #: Upper case to lower case, and each separating ASCII sign to a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -116,6 +149,10 @@ class SuffixAutomaton:
         return found
 
 
+def _holds(sequence: list[int], words: list[int]) -> bool:
+    return any(sequence[i : i + len(words)] == words for i in range(len(sequence) - len(words) + 1))
+
+
 class LicenceScanner:
     def __init__(self, templates=TEMPLATES, phrases=PHRASES):
         self.labels = [label for label, _ in templates]
@@ -125,6 +162,7 @@ class LicenceScanner:
         sequences = [[self.ids[w] for w in ws] for ws in split]
         self.phrases = [(label, np.array([self.ids[w] for w in ws])) for (_, label), ws in zip(phrases, spoken)]
         self.sizes = [len(s) for s in sequences]
+        self.telling = [[] if len(s) <= SHORT else [[self.ids.get(w, -1) for w in text.encode().split()] for text in TELLING.get(label, ())] for label, s in zip(self.labels, sequences)]
         self.automaton = SuffixAutomaton(sequences)
         n = len(self.ids) + 1
         self.pair = np.zeros((n, n), bool)
@@ -155,8 +193,25 @@ class LicenceScanner:
                 for end, length, state in self.automaton.maximal_matches(ids[first : first + len(run) + 1].tolist(), LEAST_MATCH):
                     for k, there in self.automaton.ends[state].items():
                         matches.setdefault(k, []).append((first + end + 1 - length, there + 1 - length, length))
-        spans = [(a, b, self.labels[k], c) for k, found in matches.items() for a, b, c in self._chain(found, self.sizes[k])]
-        return len(ids), sorted(places), sorted(spans)
+        spans = []
+        for k, found in matches.items():
+            size = self.sizes[k]
+            if size <= SHORT:
+                chains = [(a, a + size, 1.0) for a, _, n in found if n == size]
+            else:
+                chains = [x for x in self._chain(found, size) if all(_holds(ids[x[0] : x[1]].tolist(), words) for words in self.telling[k])]
+            spans += [(a, b, self.labels[k], c, c * size) for a, b, c in chains]
+        return len(ids), sorted(places), sorted(self._best(spans))
+
+    @staticmethod
+    def _best(spans: list[tuple[int, int, str, float, float]]) -> list[tuple[int, int, str, float]]:
+        """The spans without those that overlap one of another label with more covered words, or as many and a larger share."""
+        kept, owner = [], {}  # the label that each word of the text belongs to
+        for a, b, label, c, _ in sorted(spans, key=lambda x: (-round(x[4], 6), -x[3], x)):
+            if all(owner.get(i, label) == label for i in range(a, b)):
+                kept.append((a, b, label, c))
+                owner.update(dict.fromkeys(range(a, b), label))
+        return kept
 
     @staticmethod
     def _chain(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
