@@ -1,5 +1,6 @@
 """What the operators of this subpackage share: the columns they read, the
-shared folder for tables between steps, and bounded caches for Python tasks."""
+shared folder for tables between steps, joins that spread hot keys, and bounded
+caches for Python tasks."""
 
 from __future__ import annotations
 
@@ -25,10 +26,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share. Only where the
-    session names none (in tests) one of our own is made and set."""
+    """The folder that all executors and the driver share. A local session that
+    names none (in tests) gets one of its own; a cluster has to name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -123,23 +126,31 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[dict], dic
     return df.mapInArrow(run, schema)
 
 
+#: Keys longer than this are computed each time they are met; an entry's bytes besides its key.
+LONGEST_KEY, ENTRY_BYTES = 64, 200
+
+
 class BoundedCache(dict):
     """A dict that computes what it lacks and keeps two generations of at most
-    limit entries: what is asked for again survives, and a task's memory does
-    not follow the number of distinct words."""
+    about limit bytes: what is asked for again survives, and a task's memory
+    follows neither the number nor the length of distinct keys (texts or pairs)."""
 
     def __init__(self, compute: Callable, limit: int):
         super().__init__()
-        self.compute, self.limit, self.older = compute, limit, {}
+        self.compute, self.limit, self.older, self.held = compute, limit, {}, 0
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.compute(key)
         value = self.older.get(key)
         if value is None:
             value = self.compute(key)
-        if len(self) >= self.limit:
-            self.older = self.copy()
+        size = ENTRY_BYTES + 4 * len(key)
+        if self.held + size > self.limit:
+            self.older, self.held = self.copy(), 0
             self.clear()
         self[key] = value
+        self.held += size
         return value
 
 
@@ -150,6 +161,46 @@ def bounded_rows(rows: DataFrame, key: Column, bound: int) -> DataFrame:
     return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
+#: A key with more than this part of all rows (and more than FEW of them) is hot; it is dealt over SALTS places.
+HOT_PART, FEW, SALTS = 1000, 256, 64
+
+
+def join_spread(rows: DataFrame, one: DataFrame, key: str, total: int, by: str, count: str = "count", how: str = "inner") -> DataFrame:
+    """Joins rows with the one row of their key, hot keys dealt over many tasks by
+    the column `by`. one counts the rows of its keys, which add up to total at
+    most: so fewer than HOT_PART keys are hot, and these few may be sent to all tasks."""
+    hot = (F.col(count) * HOT_PART > total) & (F.col(count) > FEW)
+    heavy = F.broadcast(one.where(hot).select(key, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = rows.join(heavy, key, "left").withColumn("_salt", salt).drop("_hot")
+    places = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(one.withColumn("_salt", F.explode(places)), [key, "_salt"], how).drop("_salt")
+
+
+def column_udf(result: str, make: Callable[[], Callable[[pa.Array], list]], uses: tuple[Callable, ...] = ()) -> Callable[..., Column]:
+    """A function of one column that runs on Arrow batches, while all other columns
+    stay where they are. make() is called once in each task and returns a function
+    from an Arrow array to as many values."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    spark = SparkSession.active()
+    ship_package(spark)
+    small_batches(spark)
+    kind = to_arrow_type(_parse_datatype_string(result))
+
+    @F.arrow_udf(result)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        begin_task(*uses)
+        step = make()
+        for batch in batches:
+            rows = max(1, min(ROWS_AT_A_TIME, BYTES_AT_A_TIME * len(batch) // max(1, batch.nbytes)))
+            parts = [pa.array(step(batch.slice(at, rows)), type=kind) for at in range(0, len(batch), rows)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], type=kind)
+
+    return run
+
+
 def sum_vectors(df: DataFrame, key: str, vector: str) -> dict[str, list[float]]:
     """Sums of equally long vectors by a key with few values, added up on the executors."""
     parts = df.select(F.col(key).alias("k"), F.posexplode(vector).alias("i", "v")).groupBy("k", "i").agg(F.sum("v").alias("v"))

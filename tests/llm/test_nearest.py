@@ -68,3 +68,45 @@ def test_ties_and_unusable(spark):
         assert found == [(1, 2.0)] + [(j, 1.0) for j in range(0, 200, 4) if j != q][:4]
     assert A.nearest_neighbours(spark.createDataFrame([], SCHEMA)).count() == 0
     assert A.nearest_neighbours(spark.createDataFrame(odd[1:4], SCHEMA)).count() == 0
+
+
+def test_small_places_and_several_rotations(spark, monkeypatch):
+    """Places, turns and buckets of two rotations: blocks of 64 vectors make all of them."""
+    monkeypatch.setattr(A, "BLOCK", 64)
+    monkeypatch.setattr(A, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30, 8))[rng.integers(0, 30, 1500)] + 0.2 * rng.normal(size=(1500, 8))
+    assert A.Hashing(1.0, 0.1, 8, 1500).hashes == 1 and A.Hashing(1.0, 0.1, 8, 5000).hashes == 2
+    monkeypatch.setattr(A, "BLOCK", 32)
+    assert A.Hashing(10.0, 0.1, 8, 1500).hashes == 2
+    check(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)], 20, 5, 0.9)
+
+
+def test_queries_meet_only_the_places_they_probe(spark):
+    x = np.random.default_rng(4).normal(size=(300, 16))
+    hashing = A.Hashing(float(np.linalg.norm(x, axis=1).max()), 0.5, 16, 10**6)
+    assert hashing.places > 100
+    wanted = hashing.probes(x, 1, 12)
+    assert all(len(set(hashing.place(1, w).tolist())) <= 12 for w in wanted)
+    own = A.Hashing(1.0, 1.0, 16, 10**6)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (own.probes(unit, 0, 3)[:, 0] == own.bucket(unit, 0)).all()  # a vector's own bucket comes first
+    need = own.needed(unit[0], unit[:20])
+    probed = [own.probes(unit[:1], t, own.buckets)[0].tolist() for t in range(A.TABLES)]
+    want = [min(probed[t].index(own.bucket(unit[i : i + 1], t)[0]) for t in range(A.TABLES)) for i in range(20)]
+    assert np.abs(need - np.array(want)).max() <= 2  # sums in single precision may change places
+
+
+def test_hot_copies_and_double_vectors(spark):
+    """A third of all rows are one vector, queries among them; doubles keep their precision."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [0.1, 0.2, 1.0 / 3.0]) if i % 3 == 0 else (i, rng.normal(size=3).tolist()) for i in range(3000)]
+    got = collected(A.nearest_neighbours(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA.replace("float", "double")), 20, 20))
+    want = brute_force(rows, 20, 20)
+    assert got.keys() == want.keys() and len(got) == 150
+    hits = 0
+    for q, found in got.items():
+        vectors = dict(rows)
+        assert all(abs(s - float(np.dot(vectors[q], vectors[j]))) < 1e-15 * 100 for j, s in found)
+        hits += len({j for j, _ in found} & {j for j, _ in want[q]})
+    assert hits >= 0.9 * 20 * len(want)
