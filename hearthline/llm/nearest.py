@@ -42,6 +42,9 @@ TABLES, ROUNDS = 4, 3
 FIT_QUERIES, FIT_RECALL = 128, 0.95
 #: Vectors of a place, and queries, that meet in one step.
 BLOCK, QUERY_BLOCK = 8192, 8192
+#: A table has this many places at least: about as many as a query probes buckets, so
+#: that what a query brings back doesn't grow with the table.
+LEAST_PLACES = 16
 #: Rotations of which a bucket may be made: enough for 10^12 vectors of 64 components.
 MOST_HASHES = 4
 
@@ -76,7 +79,7 @@ class Hashing:
         while self.hashes < MOST_HASHES and classes > BLOCK * self.axes**self.hashes:
             self.hashes += 1
         self.buckets = self.axes**self.hashes
-        self.places = min(self.buckets, max(1, -(-classes // BLOCK)))
+        self.places = min(self.buckets, max(LEAST_PLACES, -(-classes // BLOCK)))
 
     def place(self, table: int, bucket: np.ndarray) -> np.ndarray:
         return table * self.places + bucket * self.places // self.buckets
