@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_spread, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """One step: every node's neighbours (the larger, or else the smaller ones and
-    itself) are linked with the smallest of its neighbours and itself."""
+    itself) are linked with the smallest of its neighbours and itself. total: rows
+    of both directions, at most; nodes with a large part of them are dealt over many tasks."""
     if large:
         around = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        moved = around.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = around.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("count"))
+        moved = join_spread(around, least, "u", total, "v").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
         around = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = around.groupBy("u").agg(F.min("v").alias("m"))
-        moved = around.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        least = around.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("count"))
+        moved = join_spread(around, least, "u", total, "v").select(F.col("m").alias("a"), F.col("v").alias("b")).unionAll(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
     return moved.where("a < b").distinct()
 
 
@@ -28,10 +29,10 @@ def component_labels(links: DataFrame) -> DataFrame:
     alternate until nothing changes, a logarithmic number of times; each result is
     a table in the shared folder. Self-links, repeated links and nulls don't matter."""
     edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    before = None
+    before, rows = None, edges.count()
     while True:
-        edges = materialize(_star(_star(edges, True), False), "stars")
+        edges = materialize(_star(_star(edges, True, 2 * rows), False, 2 * rows), "stars")
         now = edges.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or now[0] == 0:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-        before = now
+        before, rows = now, now[0]

@@ -7,15 +7,22 @@ at once, and stops when no later rank can lower any place. Bands of the signatur
 make buckets. Documents with one set are one class, known by the set's digest;
 only the smallest id of a class goes on.
 
-Buckets don't emit their pairs: each links its classes with its smallest one, and
-the components of these loose links are the candidate groups. A group meets, with
-its full sets, in blocks of bounded size, every block with itself and with every
-other block of its group. There a class is tested against those that share a
-bucket with it, aren't joined with it yet, and whose sizes and signatures allow
-it (DEVIATIONS standard deviations below the agreement expected at the
-threshold); only confirmed links leave the block, and union-find joins those in it.
-So every two classes of a bucket are connected by confirmed links or tested
-themselves. Components of all links are joined on the executors.
+Buckets don't emit their pairs. Within a bucket, classes whose sizes and marks (a
+byte of each place of the signature) allow a link are joined to a forest: what
+lies DEVIATIONS standard deviations below the agreement expected at the threshold
+can't be linked, so boilerplate alone joins nothing. The components of these
+forests are the candidate groups, and only their texts are read again. A group
+meets with its full sets; union-find skips what is joined already, and only
+confirmed links leave. So every two classes of a bucket are connected by
+confirmed links or tested themselves.
+
+Buckets and groups meet in blocks of bounded weight. A bucket over BLOCK is first
+parted by a second band (at a similarity of 0.85 two texts that share a band share
+no other once in two million). What is still larger than a block is dealt into
+parts, each with the same few pivots; rows that then aren't joined with most of
+their group visit all other parts. Keys, digests and components that hold a large
+part of all rows are dealt over many tasks. Components of all links are joined on
+the executors.
 
 Null texts count as empty; documents without words have an empty set and are
 linked with nothing, as are rows with a null doc_id. Texts shorter than a shingle
@@ -28,19 +35,23 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import begin_task, id_and_text, map_rows, materialize
+from .common import begin_task, id_and_text, join_spread, map_rows, materialize
 from .components import component_labels
 
 #: At a similarity of 0.8, 24 bands of 4 miss a link three times in a million.
 BANDS, ROWS = 24, 4
-#: Classes of one side of a block.
-BLOCK = 2048
+#: Weight of a block; a class weighs 1, and 1 more for every SHINGLES of its set where sets are sent.
+BLOCK, SHINGLES = 2048, 1024
+#: Classes that every part of a large group meets.
+PIVOTS = 16
 DEVIATIONS = 6
 _ELEMENTS = 8192
 _U64 = np.uint64
@@ -136,57 +147,146 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(id_and_text(docs), "doc_id long, `set` binary", make)
 
 
-def block_links(ids: np.ndarray, bands: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that join the classes of a block. Where side holds both 0
-    and 1, only classes of different sides are tested against each other."""
-    n = np.array([len(s) for s in sets])
-    places = marks.shape[1]
-    share = percent / 100
-    least = places * share - DEVIATIONS * math.sqrt(places * share * (1 - share))
-    group, links, two = np.arange(len(ids)), [], side.any() and not side.all()
-    rest = np.flatnonzero(side == 1) if two else None
-    for x in range(len(ids)):
-        if two and side[x]:
+class _Block:
+    """Classes that meet in one task, ordered by group: which pairs may be linked, and the links found."""
+
+    def __init__(self, rows: pd.DataFrame, percent: int):
+        rows = rows.sort_values(["group", "visits", "rep"], kind="stable")
+        self.rows, self.percent = rows, percent
+        self.rep, self.label, self.visits, self.n = (rows[c].to_numpy() for c in ("rep", "label", "visits", "n"))
+        self.label = self.label.copy()
+        self.marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
+        places, share = self.marks.shape[1], percent / 100
+        self.least = places * share - DEVIATIONS * math.sqrt(places * share * (1 - share))
+        group = rows["group"].to_numpy()
+        self.starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        self.stops = np.append(self.starts[1:], len(rows))
+        self.links: list[tuple[int, int]] = []
+
+    def allowed(self, x, y) -> np.ndarray:
+        """Whether sizes allow a link."""
+        return 100 * np.minimum(self.n[x], self.n[y]) >= self.percent * np.maximum(self.n[x], self.n[y])
+
+    def agreement(self, x, y) -> np.ndarray:
+        return (self.marks[x] == self.marks[y]).sum(1)
+
+    def join(self, x: int, y: int, start: int, stop: int) -> None:
+        self.links.append((int(min(self.rep[x], self.rep[y])), int(max(self.rep[x], self.rep[y]))))
+        label = self.label[start:stop]
+        label[label == label[y - start]] = label[x - start]
+
+    def others(self, x: int, start: int, stop: int) -> np.ndarray:
+        """Those of x's group that x is to be tested against: visitors meet residents,
+        and nobody those that are joined already."""
+        found = np.arange(start, stop)
+        return found[(self.label[start:stop] != self.label[x]) & ~(self.visits[start:stop] & self.visits[x])]
+
+    def found(self) -> pd.DataFrame:
+        return pd.DataFrame(self.links, columns=["a", "b"], dtype="int64")
+
+
+def loose_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A forest over the pairs of each group that sizes and marks allow."""
+    block = _Block(rows, percent)
+    first = np.repeat(block.starts, block.stops - block.starts)  # of each group
+    everyone = np.arange(len(rows))
+    close = block.allowed(first, everyone) & (block.agreement(first, everyone) >= block.least)
+    waiting = np.add.reduceat(~close, block.starts)
+    fresh = close & (block.label != block.label[first])
+    block.links += list(zip(block.rep[first[fresh]].tolist(), block.rep[fresh].tolist()))
+    for start, stop, left in zip(block.starts.tolist(), block.stops.tolist(), waiting.tolist()):
+        if not left or stop - start < 3:
             continue
-        others = rest if two else np.arange(x + 1, len(ids))
-        others = others[(group[others] != group[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))]
-        others = others[(bands[others] == bands[x]).any(1)]
-        agree = (marks[others] == marks[x]).sum(1)
-        likely = agree >= least
-        for y in others[likely][np.argsort(-agree[likely], kind="stable")].tolist():
-            if group[y] == group[x]:
-                continue
-            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * common >= percent * (n[x] + n[y] - common):
-                links.append((int(min(ids[x], ids[y])), int(max(ids[x], ids[y]))))
-                group[group == group[y]] = group[x]
-    return links
-
-
-def _confirmed_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within candidate groups. Small groups share a block; a large
-    group's parts meet in pairs."""
-    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
-    small = max(1, math.ceil(sizes.where(F.col("size") <= BLOCK).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / BLOCK))
-    sized = members.join(sizes, "group")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    few = sized.where(F.col("size") <= BLOCK).withColumn("one", F.lit(0)).withColumn("two", F.lit(0)).withColumn("side", F.lit(0))
-    few = few.withColumn("block", F.pmod(F.xxhash64("group"), F.lit(small)).cast("long"))
-    many = sized.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("block", F.col("group"))
-    many = many.withColumn("one", F.least("own", "other")).withColumn("two", F.greatest("own", "other")).withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
-    columns = ["size", "block", "one", "two", "side", "rep", "bands", "marks", "set"]
-    placed = few.select(columns).unionByName(many.select(columns)).withColumn("large", F.col("size") > BLOCK)
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        joined = np.isin(block.label[start:stop], block.label[start:stop][close[start:stop]])
+        block.label[start:stop][joined] = block.label[start]
+        for x in (start + np.flatnonzero(~close[start:stop])).tolist():
+            others = block.others(x, start, stop)
+            others = others[block.allowed(x, others)]
+            for y in others[block.agreement(x, others) >= block.least].tolist():
+                if block.label[y] != block.label[x]:
+                    block.join(x, y, start, stop)
+    return block.found()
+
+
+def confirmed_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """A forest over the links of each group, confirmed on full sets."""
+    block = _Block(rows, percent)
+    sets = [np.frombuffer(s, _U64) for s in block.rows["set"]]
+    bands = np.stack(block.rows["bands"].to_list())
+    for start, stop in zip(block.starts.tolist(), block.stops.tolist()):
+        for x in range(start, stop):
+            others = block.others(x, start, stop)
+            others = others[(others > x) & block.allowed(x, others)]
+            others = others[(bands[others] == bands[x]).any(1)]
+            agree = block.agreement(x, others)
+            likely = agree >= block.least
+            for y in others[likely][np.argsort(-agree[likely], kind="stable")].tolist():
+                if block.label[y] == block.label[x]:
+                    continue
+                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * common >= percent * (int(block.n[x]) + int(block.n[y]) - common):
+                    block.join(x, y, start, stop)
+    return block.found()
+
+
+def _links_within(members: DataFrame, find: Callable[[pd.DataFrame, int], pd.DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) that find gives within the groups of members: group, weight (of
+    the whole group), rep, n, marks and more."""
+    columns = [c for c in members.columns if c not in ("group", "weight")]
+    large = F.col("weight") > BLOCK
+    light, rows = members.agg(F.coalesce(F.sum(F.when(large, 0).otherwise(1)), F.lit(0)), F.count("*")).first()
+    blocks = max(1, math.ceil(light / BLOCK))
+
+    def link(table: pd.DataFrame) -> pd.DataFrame:
         begin_task()
-        rows = rows.sort_values("rep")
-        sets = [np.frombuffer(s, _U64) for s in rows["set"]]
-        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(len(rows), -1)
-        found = block_links(rows["rep"].to_numpy(), np.stack(rows["bands"].to_list()), marks, sets, rows["side"].to_numpy(), percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return placed.groupBy("large", "block", "one", "two").applyInPandas(link, "a long, b long")
+        return find(table.drop_duplicates(["group", "rep"]), percent)
+
+    def run(placed: DataFrame) -> DataFrame:
+        return placed.select("block", "part", "group", *columns, "label", "visits").groupBy("block", "part").applyInPandas(link, "a long, b long")
+
+    alone = members.withColumn("label", F.col("rep")).withColumn("visits", F.lit(False))
+    few = alone.where(~large).withColumn("block", F.pmod(F.xxhash64("group"), F.lit(blocks))).withColumn("part", F.lit(-1))
+    links = materialize(run(few), "links")
+    if light == rows:
+        return links
+    parts = F.ceil(F.col("weight") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), parts).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), parts - 1))
+    many = alone.where(large).withColumn("block", F.col("group"))
+    pick = Window.partitionBy("group").orderBy(F.xxhash64("rep"), "rep")
+    pivots = many.withColumn("pick", F.row_number().over(pick)).where(F.col("pick") <= PIVOTS).drop("pick")
+    first = materialize(run(many.withColumn("part", own).unionByName(pivots.withColumn("part", everywhere))), "links")
+    labels = component_labels(first)
+    at = many.drop("label").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    at = materialize(at, "parts")
+    main = at.groupBy("group", "label").agg(F.count("*").alias("n")).groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("count"))
+    rest = join_spread(at, main, "group", rows, "rep").where("label <> main").select(at.columns)
+    rest = materialize(rest, "rest")
+    if rest.isEmpty():
+        return links.unionByName(first)
+    visitors = rest.withColumn("part", everywhere).where(F.col("part") != own).withColumn("visits", F.lit(True))
+    second = materialize(run(at.withColumn("part", own).unionByName(visitors)), "links")
+    return links.unionByName(first).unionByName(second)
+
+
+def _loose_components(classes: DataFrame, percent: int) -> DataFrame:
+    """rep and group of all classes that may be linked with another."""
+    keyed = classes.select("rep", F.explode("bands").alias("key"))
+    rows = classes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
+    buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "buckets")
+    held = join_spread(keyed, buckets, "key", rows, "rep").join(classes.select("rep", F.col("n_shingles").alias("n"), "marks", "bands"), "rep")
+    held = materialize(held.withColumn("others", F.when(F.col("count") > BLOCK, F.array_remove("bands", F.col("key")))).drop("bands"), "held")
+    plain = held.where("others is null").select(F.col("key").alias("group"), F.col("count").alias("weight"), "rep", "n", "marks")
+    heavy = held.where("others is not null")
+    if not heavy.isEmpty():
+        parted = heavy.select(F.explode("others").alias("other"), "key", "rep", "n", "marks")
+        parted = materialize(parted.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("group"), "rep", "n", "marks").distinct(), "parted")
+        sizes = parted.groupBy("group").agg(F.count("*").alias("count")).where("count > 1")
+        again = join_spread(parted, sizes, "group", parted.count(), "rep")
+        plain = plain.unionByName(again.select("group", F.col("count").alias("weight"), "rep", "n", "marks"))
+    grouped = component_labels(_links_within(plain, loose_links, percent))
+    both = grouped.unionAll(grouped.select(F.col("label").alias("node"), "label").distinct())
+    return both.select(F.col("node").alias("rep"), F.col("label").alias("group"))
 
 
 def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -194,22 +294,24 @@ def link_components(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     links reach) of every document."""
     signed = materialize(signatures(docs, shingle, bands, rows), "signatures")
     known = signed.where("digest is not null and doc_id is not null")
-    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("marks").alias("marks")), "classes")
+    one = [F.first(c).alias(c) for c in ("n_shingles", "bands", "marks")]
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *one), "classes")
 
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("count"), F.min("rep").alias("pivot")).where("count > 1").select("key", "pivot")
-    loose = materialize(keyed.join(shared, "key").where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "loose")
-    grouped = component_labels(loose)
-    grouped = grouped.unionAll(grouped.select(F.col("label").alias("node"), "label").distinct()).select(F.col("node").alias("rep"), F.col("label").alias("group"))
+    grouped = materialize(_loose_components(classes, percent), "groups")
     wanted = grouped.select(F.col("rep").alias("doc_id")).hint("merge")  # it grows with the table, so it is never sent whole
     sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle).withColumnRenamed("doc_id", "rep")
-    members = classes.select("rep", "bands", "marks").join(grouped, "rep").join(sets.dropDuplicates(["rep"]), "rep")
-    labels = component_labels(materialize(_confirmed_links(materialize(members, "members"), percent), "links"))
+    members = classes.select("rep", F.col("n_shingles").alias("n"), "bands", "marks").join(grouped, "rep").join(sets.dropDuplicates(["rep"]), "rep")
+    members = materialize(members, "members")
+    sizes = members.groupBy("group").agg(F.sum(1 + F.floor(F.col("n") / SHINGLES)).alias("weight"), F.count("*").alias("count"))
+    sized = join_spread(members, sizes, "group", members.count(), "rep").drop("count")
+    labels = component_labels(_links_within(sized, confirmed_links, percent))
 
     joined = classes.select("digest", "rep", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    moved = joined.where("copies > 1 or label is not null").select("digest", F.coalesce("label", "rep").alias("label"))
+    moved = joined.where("copies > 1 or label is not null").select("digest", F.coalesce("label", "rep").alias("label"), "copies")
+    moved = materialize(moved, "moved")
     own = F.when(F.col("digest").isNotNull() & F.col("doc_id").isNotNull(), F.col("label"))
-    return signed.select("doc_id", "n_shingles", "digest").join(moved, "digest", "left").select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
+    told = join_spread(signed.select("doc_id", "n_shingles", "digest"), moved, "digest", signed.count(), "doc_id", "copies", "left")
+    return told.select("doc_id", "n_shingles", F.coalesce(own, "doc_id").alias("component_id"))
 
 
 def near_duplicate_digests(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
