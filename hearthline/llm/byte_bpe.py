@@ -33,8 +33,8 @@ PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(
 _IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: Signs that end words and form one pre-token together; none starts a contraction.
 PUNCTUATION = ".,;:!?*&%#$|"
-#: Words in one generation of a cache; a worker keeps two, about 150 MB.
-CACHE_ENTRIES = 400_000
+#: Bytes of one generation of a cache of words; a worker keeps two.
+CACHE_BYTES = 64_000_000
 _FOREVER = 1 << 60
 #: Makes bytes of so many ids.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -76,7 +76,8 @@ class Vocabulary:
                 self.parts[ab], self.order[ab] = (a, b), when
 
     def merge(self, piece: str) -> list[int]:
-        """The ids of a pre-token by replaying its merges, earliest rule first."""
+        """The ids of a pre-token by replaying its merges, earliest rule first. For
+        short pieces: each step looks at all that is left."""
         ids, get = [self.ids[c] for c in piece], self.join.get
         when = [get(pair, _FOREVER) for pair in zip(ids, ids[1:])]
         while when and (first := min(when)) < _FOREVER:
@@ -134,7 +135,7 @@ class Encoder:
         self.shorter = [-1] * len(vocab.token)  # a token's longest proper prefix in the vocabulary
         for text, i in vocab.ids.items():
             self.shorter[i] = next((vocab.ids[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in vocab.ids), -1)
-        self.fits = BoundedCache(self._compatible, 2 * CACHE_ENTRIES)
+        self.fits = BoundedCache(self._compatible, CACHE_BYTES)
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether merges leave the border between two tokens alone. The two
@@ -158,23 +159,23 @@ class Encoder:
         longest = [0] * n
         for end, token in self.automaton.iter(piece):  # ends ascend, so the longest stays
             longest[end + 1 - size[token]] = token
-        token = longest[0]
-        at = size[token]
-        out = [token]
+        last = longest[0]
+        at = size[last]
+        out = [last]
         dead: set[int] = set()
         while at < n:
             token = longest[at]
-            while True:
-                end = at + size[token]
-                if end not in dead and (not out or fits[out[-1], token]):
-                    out.append(token)
-                    at = end
-                    break
+            end = at + size[token]
+            while end in dead or (out and not fits[last, token]):
                 token = shorter[token]
                 if token < 0:  # nothing fits here: shorten what came before
                     dead.add(at)
                     token = out.pop()
                     at -= size[token]
+                    last = out[-1] if out else -1
+                end = at + size[token]
+            out.append(token)
+            last, at = token, end
         return out
 
 
@@ -184,9 +185,9 @@ class TextCodec:
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
         self.encoder = Encoder(self.vocab)
-        self.piece = BoundedCache(lambda p: np.array(self.encoder.encode(p), "<u4").tobytes(), CACHE_ENTRIES // 8)
-        self.first = BoundedCache(self._chunk, CACHE_ENTRIES // 8)
-        self.later = BoundedCache(self._word, CACHE_ENTRIES)
+        self.piece = BoundedCache(lambda p: np.array(self.encoder.encode(p), "<u4").tobytes(), CACHE_BYTES // 8)
+        self.first = BoundedCache(self._chunk, CACHE_BYTES // 8)
+        self.later = BoundedCache(self._word, CACHE_BYTES)
         self.newline = self._chunk("\n")
         specials = sorted(self.vocab.special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None

@@ -29,8 +29,8 @@ from .common import begin_task, id_and_text, row_slices, ship_package, small_bat
 WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
 GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 2_000
-#: Chunks in one generation of the cache; a worker keeps two, about 180 MB.
-CACHE_ENTRIES = 500_000
+#: Bytes of one generation of the cache of chunks; a worker keeps two. Longer chunks are not kept.
+CACHE_BYTES, LONGEST_CHUNK = 80_000_000, 64
 #: Texts whose unknown chunks are learned together.
 TEXTS_AT_A_TIME = 128
 PUNCTUATION = ".,;:!?*&%#$|"
@@ -56,6 +56,7 @@ class ChunkIds:
         self.words = self._word_tokenizer(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _word_tokenizer(path: str):
@@ -72,9 +73,10 @@ class ChunkIds:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _learn(self, chunks: set[str]) -> set[str]:
         """Words of Latin letters are encoded together, blanks between them, and
-        told apart by the ids that end words; punctuation behind them is looked up."""
+        told apart by the ids that end words; punctuation behind them is looked up.
+        Returns the chunks and parts of chunks that are known now."""
         known, older, words, marked = self.known, self.older, set(), []
         for c in chunks:
             if c in older:
@@ -98,6 +100,7 @@ class ChunkIds:
             if tail not in known:
                 known[tail] = self._whole(tail)
             known[c] = known[word] + known[tail]
+        return chunks | words
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as unsigned 32-bit numbers, little-endian."""
@@ -108,12 +111,18 @@ class ChunkIds:
         distinct = set().union(*(c for c in cut if c))
         lacking = distinct.difference(self.known)
         if lacking:
-            if len(self.known) > CACHE_ENTRIES:
-                self.older, self.known = self.known, {}
+            if self.held > CACHE_BYTES:
+                self.older, self.known, self.held = self.known, {}, 0
                 lacking = distinct
-            self._learn(lacking)
+            lacking = self._learn(lacking)
         get = self.known.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        ids = [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        for c in lacking:
+            if len(c) > LONGEST_CHUNK:
+                del self.known[c]
+            else:
+                self.held += 160 + 4 * len(c) + len(self.known[c])
+        return ids
 
 
 @worker_cache

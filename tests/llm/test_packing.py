@@ -21,6 +21,15 @@ def test_ids_of_random_texts():
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_long_chunks():
+    """Long chunks are encoded exactly and not kept."""
+    rng, library, chunks = random.Random(4), Tokenizer.from_file(H.path(NAME)), K.ChunkIds(H.path(NAME))
+    texts = ["".join(rng.choices(letters, k=size)) + end for letters, size in (("abcdefghij", 1_000_000), ("日本語中文字漢", 200_000), ("ab1", 50_000)) for end in ("", "!", " x.")]
+    for text, ids in zip(texts, chunks.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, chunks.known)) <= K.LONGEST_CHUNK and chunks.held < 10_000
+
+
 def test_best_fit_decreasing():
     rng = random.Random(3)
     for _ in range(100):
