@@ -2,11 +2,16 @@
 checksums tested, and low-frequency cosine-transform hashes of the pictures.
 
 A payload is a text's UTF-8, then bytes 0 up to a positive multiple of the
-width; it becomes a grey 8-bit picture of that width. The writer leaves rows
-unfiltered, which suits text best; the reader undoes all five row filters.
+width; it becomes a grey 8-bit picture of that width. The writer gives each row
+the filter that leaves the fewest distinct samples (none, left, above; the first
+of equals): mostly none for prose, others for padding and repeated lines. The reader undoes all
+five row filters in numpy, Average and Paeth along diagonals, whose samples don't
+depend on each other.
 
 Null texts count as empty (a picture of one row of zeros). Media that are null
-or broken give a null payload and the reason in `error`; they never end a job.
+or broken (wrong checksums, lengths, headers or sizes, an empty picture, more data
+than the header tells) give a null payload and the reason in `error`; they never end
+a job, and no more is inflated than the header tells or MOST_SAMPLES allow.
 Equal payloads give equal media and features. Repeated rows stay repeated; an
 empty table gives an empty table; columns other than those named are not read.
 """
@@ -27,6 +32,8 @@ WIDTH = 64
 #: Fixed value: the eight bytes that start a PNG file.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 IDAT_BYTES = 1 << 20
+#: Pictures of more samples are not inflated.
+MOST_SAMPLES = 1 << 30
 #: Side of the shrunk picture, and of the corner of its transform that the hash keeps.
 SIDE, LOW = 32, 8
 
@@ -35,13 +42,25 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
+def _filtered(samples: np.ndarray) -> np.ndarray:
+    """Rows with their filter before them."""
+    height, width = samples.shape
+    left, above = np.zeros_like(samples), np.zeros_like(samples)
+    left[:, 1:], above[1:] = samples[:, :-1], samples[:-1]
+    kinds = np.stack([samples, samples - left, samples - above])
+    ordered = np.sort(kinds, axis=2)
+    best = (ordered[:, :, 1:] != ordered[:, :, :-1]).sum(2).argmin(0)
+    rows = np.empty((height, width + 1), np.uint8)
+    rows[:, 0], rows[:, 1:] = best, kinds[best, np.arange(height)]
+    return rows
+
+
 def write_png(payload: bytes, width: int = WIDTH, level: int = 4) -> bytes:
     """A grey 8-bit PNG whose samples are the payload's bytes, row by row."""
     height, rest = divmod(len(payload), width)
     if rest or not height:
         raise ValueError("a payload fills whole rows, one at least")
-    rows = np.zeros((height, width + 1), np.uint8)  # each row starts with its filter: none
-    rows[:, 1:] = np.frombuffer(payload, np.uint8).reshape(height, width)
+    rows = _filtered(np.frombuffer(payload, np.uint8).reshape(height, width))
     body = zlib.compress(rows.tobytes(), level)
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", body[at : at + IDAT_BYTES]) for at in range(0, len(body), IDAT_BYTES)]
@@ -54,34 +73,38 @@ def _unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return rows
     if kinds.max() > 4:
         raise ValueError("unknown row filter")
-    out, above = np.empty_like(rows), np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        row = rows[y]
-        if kind == 1:
-            row = np.cumsum(row, dtype=np.uint8)
-        elif kind == 2:
-            row = row + above
-        elif kind > 2:
-            row, left, corner = row.astype(np.int64), 0, 0
-            for x, up in enumerate(above.tolist()):
-                if kind == 3:
-                    near = (left + up) >> 1
-                else:
-                    guess = left + up - corner
-                    near = min((left, up, corner), key=lambda v: abs(guess - v))
-                left, corner = (int(row[x]) + near) & 255, up
-                row[x] = left
-            row = row.astype(np.uint8)
-        out[y] = above = row
+    if kinds.max() > 2:
+        return _unfilter_diagonals(kinds, rows)
+    out = np.where((kinds == 1)[:, None], np.cumsum(rows, axis=1, dtype=np.uint8), rows)
+    up = kinds == 2
+    starts = np.flatnonzero(up & ~np.append(False, up[:-1]))
+    stops = np.flatnonzero(up & ~np.append(up[1:], False)) + 1
+    for start, stop in zip(starts.tolist(), stops.tolist()):  # runs of rows that add to the one above
+        out[max(0, start - 1) : stop] = np.cumsum(out[max(0, start - 1) : stop], axis=0, dtype=np.uint8)
     return out
 
 
+def _unfilter_diagonals(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All filters at once: samples of one diagonal need only those of the two before it."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int64)  # a row and a column of zeros before the picture
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x, kind = d - y, kinds[y]
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        guess = left + up - corner
+        near, far = abs(guess - left), abs(guess - up)
+        paeth = np.where((near <= far) & (near <= abs(guess - corner)), left, np.where(far <= abs(guess - corner), up, corner))
+        out[y + 1, x + 1] = (rows[y, x] + np.choose(kind, [0, left, up, (left + up) >> 1, paeth])) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def read_png(media: bytes) -> np.ndarray:
     """The samples of a grey 8-bit PNG, rows by columns. Raises ValueError where
     a checksum, a length or the format is wrong."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
-    at, size, inflate, data, ended = 8, None, zlib.decompressobj(), [], False
+    at, size, wanted, inflate, data, ended = 8, None, 0, zlib.decompressobj(), [], False
     while at < len(media) and not ended:
         if at + 12 > len(media):
             raise ValueError("cut off")
@@ -89,18 +112,28 @@ def read_png(media: bytes) -> np.ndarray:
         body, at = media[at + 8 : at + 8 + length], at + 12 + length
         if at > len(media) or struct.unpack_from(">I", media, at - 4)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r}")
+        if size is None and kind != b"IHDR":
+            raise ValueError("no header")
         if kind == b"IHDR":
+            if size is not None or len(body) != 13:
+                raise ValueError("header")
             size = struct.unpack(">IIBBBBB", body)
             if size[2:] != (8, 0, 0, 0, 0):
                 raise ValueError("not a plain grey picture of 8 bits")
+            if not 0 < size[0] * size[1] <= MOST_SAMPLES:
+                raise ValueError("size")
+            wanted = size[1] * (size[0] + 1)
         elif kind == b"IDAT":
             try:
-                data.append(inflate.decompress(body))
+                data.append(inflate.decompress(body, wanted + 1))
             except zlib.error as e:
                 raise ValueError(str(e)) from None
+            wanted -= len(data[-1])
+            if wanted < 0 or inflate.unconsumed_tail or inflate.unused_data:
+                raise ValueError("more data than the header tells")
         ended = kind == b"IEND"
     raw = b"".join(data)
-    if not (ended and size and inflate.eof) or len(raw) != size[1] * (size[0] + 1):
+    if not (ended and size and inflate.eof) or wanted:
         raise ValueError("incomplete")
     rows = np.frombuffer(raw, np.uint8).reshape(size[1], size[0] + 1)
     return _unfilter(rows[:, 0], rows[:, 1:])
