@@ -14,7 +14,9 @@ nothing was learned, all with a letter are kept.
 
 Texts that are null or hold no letter are `und` with a score of 0, and so is all
 where nothing could be learned. Prototypes come from a bounded number of labelled
-texts (TRAIN_TEXTS), chosen by a hash of doc_id. Repeated rows stay repeated; an
+texts: of the MOST_LANGUAGES most frequent languages, each gives all its texts where
+it has few, else an equal share of TRAIN_TEXTS (LANGUAGE_TEXTS at least), chosen by a
+hash of doc_id. So a rare language is learned too. Repeated rows stay repeated; an
 empty table gives an empty table; further columns, whatever their names, are
 kept by `keep_languages` and not read by the rest.
 """
@@ -27,10 +29,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, id_remainder, map_rows, sum_vectors
+from .common import column_udf, id_remainder, map_rows, sum_vectors
 
 DIMENSIONS = 1024
-TRAIN_TEXTS = 20_000
+TRAIN_TEXTS, LANGUAGE_TEXTS, MOST_LANGUAGES = 20_000, 500, 512
 UNKNOWN = "und"
 #: Texts of fewer trigrams are never rejected by their score; bands of length are powers of two up to the last.
 SHORT, LAST_BAND = 16, 12
@@ -102,9 +104,13 @@ def _band(sizes: np.ndarray) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, may_learn: Column, train_texts: int) -> DataFrame:
-    """A bounded number of documents with a label where may_learn holds."""
+    """A bounded number of documents of each language, of those with a label where may_learn holds."""
     labelled = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return bounded_rows(labelled, F.col("doc_id"), train_texts).select("text", "lang")
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    each = max(LANGUAGE_TEXTS, train_texts // max(1, len(known)))
+    shares = {r["lang"]: int(min(1.0, each / r["n"]) * (1 << 30)) for r in known}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")] if shares else F.lit(0)
+    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
 
 
 def _label_sums(chosen: DataFrame) -> dict[str, np.ndarray]:
@@ -194,20 +200,17 @@ def predict_language(docs: DataFrame, learned: tuple[list[str], np.ndarray]) ->
 def keep_languages(docs: DataFrame, learned: tuple[list[str], np.ndarray], least: float = 0.0, limits: dict[int, float] | None = None) -> DataFrame:
     """The rows, with all columns, that have a letter and whose language is known with the
     least score or more; limits by band of length hold besides. Where nothing was learned, all with a letter."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make():
-        def step(rows):
-            vectors, sizes = _vectors_and_sizes(rows["text"])
+        def step(texts):
+            vectors, sizes = _vectors_and_sizes(texts.to_pylist())
             _, score = _predict_vectors(*learned, vectors)
             floor = [max(least, (limits or {}).get(b, 0.0)) for b in _band(sizes).tolist()]
-            keep = [some and (not learned[0] or s >= f) for some, s, f in zip(vectors.any(1), score, floor)]
-            return {n: [v for v, k in zip(rows[n], keep) if k] for n in names}
+            return [bool(some and (not learned[0] or s >= f)) for some, s, f in zip(vectors.any(1), score, floor)]
 
         return step
 
-    return map_rows(docs, schema, make)
+    return docs.where(column_udf("boolean", make)(F.col("text")))
 
 
 def language_of_held_out(docs: DataFrame, divisor: int = 3, held: int = 1) -> DataFrame:

@@ -321,5 +321,5 @@ def near_duplicate_digests(docs: DataFrame, shingle: int = 3, percent: int = 85)
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows, with all columns, of the smallest doc_id of each component."""
-    gone = link_components(docs, shingle, percent).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = link_components(docs, shingle, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

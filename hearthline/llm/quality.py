@@ -9,7 +9,8 @@ by a scale and a shift on the rows learned from.
 
 Null and empty texts have the statistics of a text without characters and are
 scored like any other. Where a class has no labelled text, every score is the
-share of label 1 (0.5 without any label). Labels with nulls are not learned from; of several for an id the larger counts.
+share of label 1 (0.5 without any label). Labels with nulls are not learned from; of several for an id the larger counts,
+and of several documents with an id one is learned from.
 Learning takes at most about TRAIN_ROWS labels, chosen by a hash of doc_id.
 Repeated rows stay repeated; an empty table gives an empty table; further
 columns, whatever their names, are kept by `keep_quality`, never used as inputs.
@@ -26,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, id_remainder, map_rows
+from .common import bounded_rows, column_udf, id_remainder, map_rows
 
 TRAIN_ROWS = 40_000
 LEAST_SCORE = 0.3
@@ -141,12 +142,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, train_r
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(may_learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     chosen = bounded_rows(known, F.col("doc_id"), train_rows).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     # at most about train_rows pairs of numbers: small enough to send to every executor
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
 
     def make():
-        return lambda rows: {"quality": rows["quality"], "x": [statistics(t) for t in rows["text"]]}
+        return lambda rows: {"doc_id": rows["doc_id"], "quality": rows["quality"], "x": [statistics(t) for t in rows["text"]]}
 
-    found = map_rows(labelled, "quality int, x array<double>", make).toPandas()
+    each = map_rows(labelled, "doc_id long, quality int, x array<double>", make)
+    # one row for each id, however many documents repeat it: no more than there are labels
+    found = each.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("one.*").toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(statistics("")))
     y = found["quality"].to_numpy(np.float64)
     order = np.lexsort(np.vstack([x.T, y]))  # the sums, too, don't depend on the order of arrival
@@ -164,17 +167,11 @@ def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: Discriminant, least: float = LEAST_SCORE) -> DataFrame:
     """The rows, with all columns, that have the least score or more."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def make():
-        def step(rows):
-            keep = [s >= least for s in model.of_texts(rows["text"])]
-            return {n: [v for v, k in zip(rows[n], keep) if k] for n in names}
+        return lambda texts: [s >= least for s in model.of_texts(texts.to_pylist())]
 
-        return step
-
-    return map_rows(docs, schema, make)
+    return docs.where(column_udf("boolean", make)(F.col("text")))
 
 
 def quality_of_held_out(docs: DataFrame, labels: DataFrame, divisor: int = 5, held: int = 0) -> DataFrame:

@@ -7,8 +7,11 @@ run that one only touches is scored as a whole, but for a leading name and `=`.
 The network (numpy) sees each whole candidate in windows, with the characters
 before and after it, and gives a probability; those at or over the threshold of
 their alphabet are spans of kind `learned`. It is trained on labelled findings
-that are generated from a fixed seed, calibrated on held-out ones, and each
-alphabet's threshold is the largest that keeps RECALL of the held-out secrets.
+that are generated from a fixed seed, as many secrets as benign ones of every
+alphabet, calibrated on held-out ones, and reported on others. Each alphabet's
+threshold keeps RECALL of the held-out secrets at least: it is the largest that does,
+or where benign ones all score lower, halfway (in log odds) between both. Secrets
+of letters alone mix cases: random letters of one case are not told from words.
 
 Null texts count as empty and have no spans. Spans are in code points, end
 exclusive, ordered by start and then kind. Repeated rows stay repeated; an empty
@@ -18,14 +21,16 @@ the scan, and redaction leaves all others as they are.
 
 from __future__ import annotations
 
+import base64
 import functools
 import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import id_and_text, map_rows
+from .common import column_udf, id_and_text, map_rows
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -112,7 +117,7 @@ class Network:
         self.b = np.zeros(FILTERS, np.float32)
         self.v = rng.normal(0, 0.15, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
-        self.scale, self.shift, self.threshold = 1.0, 0.0, [0.5] * 3
+        self.scale, self.shift, self.threshold, self.reported = 1.0, 0.0, [0.5] * 3, []
 
     def _convolve(self, x: np.ndarray) -> np.ndarray:
         n = x.shape[1] - WIDTH + 1
@@ -143,7 +148,7 @@ class Network:
             dw[k] = seen.T @ dz
         return [dw, dz.sum(0), off @ pooled, off.sum(keepdims=True)]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 4, size: int = 128, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 6, size: int = 128, rate: float = 0.01) -> None:
         """Adam over shuffled batches."""
         params = [self.w, self.b, self.v, self.c]
         mean, square, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -166,87 +171,138 @@ class Network:
             hessian = design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2)
             beta = beta + np.linalg.solve(hessian, design.T @ (y - p) - 1e-3 * (beta - [1.0, 0.0]))
         self.scale, self.shift = map(float, beta)
-        p = self.probabilities(x)
+        z = self.scale * self.logits(x).astype(np.float64) + self.shift
         for g in range(3):
-            secrets = np.sort(p[(group == g) & (y == 1)])
-            if len(secrets):
-                self.threshold[g] = float(min(0.995, max(0.5, secrets[int((1 - RECALL) * len(secrets))])))
+            secrets, benign = np.sort(z[(group == g) & (y == 1)]), np.sort(z[(group == g) & (y == 0)])
+            if len(secrets) and len(benign):
+                keeps, worst = secrets[int((1 - RECALL) * len(secrets))], benign[int(RECALL * len(benign))]
+                at = keeps if worst >= keeps else (keeps + worst) / 2
+                self.threshold[g] = float(1 / (1 + np.exp(-np.clip(at, -40, 40))))
 
+    def report(self, x: np.ndarray, y: np.ndarray, group: np.ndarray) -> list[tuple[float, float]]:
+        """Recall and precision for each alphabet."""
+        accepted = self.probabilities(x) >= np.array(self.threshold)[group]
+        share = lambda part, whole: float(part.sum() / max(1, whole.sum()))
+        return [(share(accepted & (y == 1) & (group == g), (y == 1) & (group == g)), share(accepted & (y == 1) & (group == g), accepted & (group == g))) for g in range(3)]
 
-def labelled_findings(count: int, rng: np.random.Generator) -> tuple[list[tuple[str, int, int]], np.ndarray]:
-    """Generated texts with one candidate each (text, start, end) and their labels:
-    1 for random keys of several alphabets, 0 for long words, names, paths and numbers."""
-    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    some = lambda letters, n: "".join(rng.choice(list(letters), n))
-    ends = ("", "", "n", "r", "s", "t", "st", "nd", "ng", "ch", "ll", "pf", "tz", "lch", "nth", "rst")
-    syllable = lambda: some("bcdfghjklmnprstvwz", int(rng.integers(0, 3))) + some("aeiou", 1) + ends[rng.integers(len(ends))]
-    word = lambda: "".join(syllable() for _ in range(rng.integers(1, 5)))
-
-    def long_word() -> str:
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+SYLLABLE_ENDS = ("", "", "n", "r", "s", "t", "st", "nd", "ng", "ch", "ll", "pf", "tz", "lch", "nth", "rst")
+#: Words before values that are no secrets though they look random, and before values of any kind.
+DIGEST_WORDS = ("sha1", "sha256", "md5", "commit", "checksum", "digest", "etag", "revision", "crc", "uuid", "request id")
+VALUE_WORDS = ("key", "auth", "bearer", "name", "path", "id", "credential", "see")
+
+
+class _Findings:
+    """Generated texts with one candidate each, by alphabet and label."""
+
+    def __init__(self, rng: np.random.Generator):
+        self.rng = rng
+
+    def some(self, letters: str, n: int) -> str:
+        return "".join(letters[i] for i in self.rng.integers(0, len(letters), n))
+
+    def pick(self, *choices):
+        return choices[self.rng.integers(len(choices))]
+
+    def syllable(self) -> str:
+        return self.some("bcdfghjklmnpqrstvwxz", int(self.rng.integers(0, 3))) + self.some("aeiou", self.pick(1, 1, 2, 3)) + self.pick(*SYLLABLE_ENDS)
+
+    def word(self) -> str:
+        return "".join(self.syllable() for _ in range(self.rng.integers(1, 5)))
+
+    def long_word(self) -> str:
         made = ""
-        while len(made) < 16 + rng.integers(0, 20):
-            made += syllable()
+        while len(made) < 16 + self.rng.integers(0, 20):
+            made += self.syllable()
         return made
 
-    def benign() -> str:
-        kind = rng.integers(8)
-        if kind < 3:
-            made = long_word()
-            return made.capitalize() if rng.integers(3) == 0 else made.upper() if rng.integers(3) == 0 else made
-        if kind == 3:
-            return some("-_/", 1).join(word() for _ in range(rng.integers(3, 8)))
-        if kind == 4:
-            return "".join(word().capitalize() for _ in range(rng.integers(3, 7)))
-        if kind == 5:
-            return some("=-_+", 1) * int(rng.integers(16, 60))
-        if kind == 6:
-            return "/".join([word(), some("12", 1) + some(digits, 3), some("01", 1) + some(digits, 1), word(), word()])
-        return "-".join([f"20{some(digits, 2)}", some(digits, 2), some(digits, 2), word(), word()])
-
-    def secret() -> str:
-        kind, n = rng.integers(6), int(rng.integers(18, 64))
-        if kind == 0:
-            return some("0123456789abcdef", n)
-        if kind == 1:
-            return some("0123456789ABCDEF", n)
-        if kind == 2:
-            return some(lower + upper + digits + "+/", n) + "=" * int(rng.integers(0, 3))
-        if kind == 3:
-            return some(lower, int(rng.integers(2, 5))) + "_" + some(lower, 4) + "_" + some(lower + upper + digits, n)
-        if kind == 4:
-            return some(lower + digits, n)
-        return some(lower + upper + digits + "-_", n)
-
-    found, labels = [], []
-    for _ in range(count):
-        label = int(rng.integers(2))
-        body = secret() if label else benign()
-        while len(body) < 16 or not CANDIDATE.fullmatch(body):
-            body = secret() if label else benign()
-        lead = " ".join(word() for _ in range(rng.integers(0, 6)))
-        if rng.integers(4) == 0:
-            lead += some(" \n", 1) + ("key", "auth", "bearer", "name", "path", "id", "hash", "see")[rng.integers(8)] + (": ", " = ", '="', " ")[rng.integers(4)]
+    def cased(self, text: str) -> str:
+        return self.pick(text, text.capitalize(), text.upper())
+
+    def digest(self) -> str:
+        made = self.some("0123456789abcdef", self.pick(16, 32, 40, 64))
+        return self.pick(made, made.upper())
+
+    def uuid(self) -> str:
+        made = "-".join(self.some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
+        return self.pick(made, made.upper())
+
+    def base64_words(self) -> str:
+        return base64.b64encode(" ".join(self.word() for _ in range(self.rng.integers(3, 7))).encode()).decode()
+
+    def benign(self, group: int) -> tuple[str, bool]:
+        """A candidate that is no secret, and whether only its context tells."""
+        if group == 0:
+            unit = self.some("0123456789ABCDEF", int(self.rng.integers(1, 5)))
+            runs = [unit * int(self.rng.integers(18, 40)), "0123456789ABCDEF" * int(self.rng.integers(1, 3)), self.pick("DEADBEEF", "CAFEBABE", "FFFF0000") * int(self.rng.integers(2, 5))]
+            return self.pick((self.digest(), True), (self.digest().upper(), True), (self.pick(*runs), False))
+        if group == 1:
+            names = "".join(self.word().capitalize() for _ in range(self.rng.integers(3, 7)))
+            return self.pick(self.cased(self.long_word()), self.cased(self.long_word()), names, (LOWER + self.some(LOWER, 1)).upper(), self.word() * 6), False
+        return self.pick(
+            (self.some("-_/", 1).join(self.word() for _ in range(self.rng.integers(3, 8))), False),
+            (self.some("=-_+", 1) * int(self.rng.integers(16, 60)), False),
+            ("/".join([self.word(), self.some("12", 1) + self.some(DIGITS, 3), self.some("01", 1) + self.some(DIGITS, 1), self.word(), self.word()]), False),
+            ("-".join([f"20{self.some(DIGITS, 2)}", self.some(DIGITS, 2), self.some(DIGITS, 2), self.word(), self.word()]), False),
+            ("-".join(self.some(DIGITS, n) for n in (3, 1, 4, 5, 6)), False),
+            (self.cased(self.long_word()) + self.some(DIGITS, int(self.rng.integers(1, 5))), False),
+            (self.uuid(), False),
+            (self.base64_words(), False),
+        )
+
+    def secret(self, group: int) -> str:
+        n = int(self.rng.integers(18, 64))
+        if group == 0:
+            return self.some(self.pick("0123456789ABCDEF", "0123456789ABCDEF", "0123456789abcdefABCDEF", "0123456789abcdef"), n)
+        if group == 1:
+            return self.some(LOWER + UPPER, n)
+        return self.pick(
+            self.some(LOWER + UPPER + DIGITS + "+/", n) + "=" * int(self.rng.integers(0, 3)),
+            self.some(LOWER, int(self.rng.integers(2, 5))) + "_" + self.some(LOWER, 4) + "_" + self.some(LOWER + UPPER + DIGITS, n),
+            self.some(LOWER + DIGITS, n),
+            self.some(LOWER + UPPER + DIGITS, n),
+            self.some(LOWER + UPPER + DIGITS + "-_", n),
+        )
+
+    def finding(self, group: int, label: int) -> tuple[str, int, int]:
+        body, told = "", False
+        while len(body) < 16 or not CANDIDATE.fullmatch(body) or alphabet(body) != group:
+            body, told = (self.secret(group), False) if label else self.benign(group)
+        lead = " ".join(self.word() for _ in range(self.rng.integers(0, 6)))
+        if told:
+            lead += self.some(" \n", 1) + self.pick(*DIGEST_WORDS) + self.pick(": ", " = ", " ", " is ")
+        elif self.rng.integers(4) == 0:
+            lead += self.some(" \n", 1) + self.pick(*VALUE_WORDS) + self.pick(": ", " = ", '="', " ")
         elif lead:
-            lead += some("  \n(\"", 1)
-        tail = ("", ".", " ", ",", '"', "\n")[rng.integers(6)] + " ".join(word() for _ in range(rng.integers(0, 3)))
+            lead += self.some("  \n(\"", 1)
+        tail = self.pick("", ".", " ", ",", '"', "\n") + " ".join(self.word() for _ in range(self.rng.integers(0, 3)))
         if tail and CANDIDATE.match(body[-1] * 15 + tail[0]):
             tail = " " + tail
-        found.append((lead + body + tail, len(lead), len(lead) + len(body)))
-        labels.append(label)
-    return found, np.array(labels, np.float32)
+        return lead + body + tail, len(lead), len(lead) + len(body)
+
+
+def labelled_findings(count: int, rng: np.random.Generator) -> tuple[list[tuple[str, int, int]], np.ndarray]:
+    """Generated texts with one candidate each (text, start, end) and their labels, 1
+    for random keys and 0 for words, names, paths, numbers, digests, identifiers and
+    encoded words; as many of each alphabet and label."""
+    made = _Findings(rng)
+    labels = np.arange(count) % 2
+    return [made.finding(i // 2 % 3, i % 2) for i in range(count)], labels.astype(np.float32)
 
 
 @functools.cache
-def network(findings: int = 5000, seed: int = 7) -> Network:
-    """The trained network; a fifth of the findings calibrates it."""
+def network(findings: int = 9000, seed: int = 7) -> Network:
+    """The trained network; a fifth of the findings calibrates it, another gives its report."""
     rng = np.random.default_rng(seed)
     found, y = labelled_findings(findings, rng)
     x = np.stack([_windows(*f)[0] for f in found])
     group = np.array([alphabet(t[a:b]) for t, a, b in found])
-    cut = findings * 4 // 5
+    fit, rest = findings * 3 // 5, findings * 4 // 5
     net = Network(rng)
-    net.fit(x[:cut], y[:cut], rng)
-    net.calibrate(x[cut:], y[cut:], group[cut:])
+    net.fit(x[:fit], y[:fit], rng)
+    net.calibrate(x[fit:rest], y[fit:rest], group[fit:rest])
+    net.reported = net.report(x[rest:], y[rest:], group[rest:])
     return net
 
 
@@ -285,37 +341,45 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return map_rows(id_and_text(docs), f"doc_id long, spans {SPAN}", make)
 
 
+def _redacted(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    out, at = [], 0
+    start, end = spans[0]
+    for a, b in [*spans[1:], (len(text) + 1, 0)]:
+        if a < end:
+            end = max(end, b)
+            continue
+        out += [text[at:start], mark]
+        at, start, end = end, a, b
+    return "".join([*out, text[at:]])
+
+
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The same rows and columns; in text each run of overlapping spans becomes
-    the mark, and n_chars, where there is one, is counted again. Null texts stay null."""
+    """The same rows and columns; in text each run of overlapping spans becomes the
+    mark, and n_chars, where it is there as a whole number, is counted again. Null
+    texts stay null."""
     net = network()
-    names = docs.columns
 
     def make():
-        def step(rows):
-            texts = [t or "" for t in rows["text"]]
-            bases = list(map(base_spans, texts))
-            for i, (base, more) in enumerate(zip(bases, learned_spans(net, texts, bases))):
+        def step(column):
+            texts = column.to_pylist()
+            whole = [t or "" for t in texts]
+            bases = list(map(base_spans, whole))
+            for i, (base, more) in enumerate(zip(bases, learned_spans(net, whole, bases))):
                 spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, _, b, _ in more])
-                if not spans:
-                    continue
-                text, out, at = texts[i], [], 0
-                start, end = spans[0]
-                for a, b in [*spans[1:], (len(text) + 1, 0)]:
-                    if a < end:
-                        end = max(end, b)
-                        continue
-                    out += [text[at:start], mark]
-                    at, start, end = end, a, b
-                rows["text"][i] = "".join([*out, text[at:]])
-                if "n_chars" in rows:
-                    rows["n_chars"][i] = len(rows["text"][i])
-            return rows
+                if spans:
+                    texts[i] = _redacted(texts[i], spans, mark)
+            return texts
 
         return step
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return map_rows(docs.select(*[F.col(f"`{n}`") for n in names]), schema, make)
+    name = "_".join(["redacted", *[c for c in docs.columns if c.startswith("redacted")]])  # one that isn't taken
+    fresh = docs.withColumn(name, column_udf("string", make)(F.col("text")))
+    columns = {"text": F.col(f"`{name}`")}
+    counted = next((f for f in docs.schema if f.name == "n_chars" and isinstance(f.dataType, IntegralType)), None)
+    if counted is not None:
+        length = F.length(columns["text"]).cast(counted.dataType)
+        columns["n_chars"] = F.when(columns["text"].eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(length)
+    return fresh.withColumns(columns).drop(name)
 
 
 def _written(spans: Column) -> Column:

@@ -83,3 +83,82 @@ def test_quality_of_awkward_rows(spark):
     assert Q.quality_of_held_out(H.empty(spark), labels).count() == 0
     model = Q.learn_quality(H.awkward(spark), labels, F.lit(True))
     assert Q.keep_quality(H.awkward(spark), model, 0.0).count() == len(H.AWKWARD)
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of three texts among thousands gives all of them, a frequent one its share."""
+    rows = [(i, f"the plain words of number {'abcdefghij'[i % 10] * 3} again", "en") for i in range(3000)]
+    rows += [(10_000 + i, "żółw źdźbło gęślą jaźń łąka ćma", "pl") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    chosen = {r["lang"]: r["count"] for r in L._labelled(docs, F.lit(True), 1000).groupBy("lang").count().collect()}
+    assert chosen["pl"] == 3 and 350 < chosen["en"] < 650
+    learned = L.learn_prototypes(docs, F.lit(True), 1000)
+    assert learned[0] == ["en", "pl"]
+    assert L.predict_language(docs.where("doc_id >= 10000"), learned).first()["lang_pred"] == "pl"
+
+
+def test_repeated_ids_give_one_example_each(spark):
+    docs = spark.createDataFrame([(1, f"good text number {i}.") for i in range(500)] + [(2, "BAD!!! 777 bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    model = Q.learn_quality(docs, labels, F.lit(True))
+    assert model.share == 0.5 and model.score(np.array([Q.statistics("good text number 3."), Q.statistics("BAD!!! 777 bad bad")]))[0] > 0.5
+
+
+def test_statistics_against_a_plain_reading():
+    """The statistics, computed again from their description, word by word."""
+    text = "Good words here. Good words THERE!\nGood words here. 12 % of it\n12 % of it"
+    words, lines, size = text.split(), text.split("\n"), len(text.encode())
+    share = lambda part, whole, usual, weight=20: np.log((p := (part + usual * weight) / (whole + weight)) / (1 - p))
+    n, sizes = len(words), [len(w) for w in words]
+    mean = (sum(sizes) + 50) / (n + 10)
+    count = lambda kinds: sum(c in kinds for c in text)
+    letters = sum(c.isalpha() for c in text)
+    want = [
+        np.log(mean),
+        np.log1p(max(0, (sum(x * x for x in sizes) + 350) / (n + 10) - mean**2)),
+        np.log((n + 90) / (len(lines) + 3)),
+        np.log((len(set(words)) + 20) / (n + 20) ** 0.9),
+        share(max(words.count(w) for w in words), n, 0.06),
+        share(sum(a == b for a, b in zip(words, words[1:])), n, 0.01),
+        share(n - 1 - len({(a, b) for a, b in zip(words, words[1:])}), n, 0.02),
+        share(len(lines) - len(set(lines)), len(lines), 0.02),
+        share(sum(c.isupper() for c in text), letters, 0.03, 100),
+        share(sum(c.isdigit() for c in text), size, 0.004, 100),
+        share(count(".,;:'\"-()?!"), size, 0.03, 100),
+        share(count("%"), size, 0.001, 100),
+        share(count("!?"), size, 0.001, 100),
+        share(text.count(". ") + text.count(".\n"), n, 0.08),
+    ]
+    assert np.allclose(Q.statistics(text), want)
+
+
+def test_predictions_against_brute_force(spark):
+    """Every prototype and cosine again from whole trigram vectors, one text at a time."""
+    docs = H.documents(spark).where("doc_id < 120")
+    rows = docs.collect()
+    one, two, three = L._letters()
+
+    def vector(text):
+        signs = [0]
+        for c in text or "":
+            s = int(L._sign_table()[min(ord(c), L._CODES - 1)])
+            if s or signs[-1]:
+                signs.append(s)
+        if signs[-1]:
+            signs.append(0)
+        total = np.zeros(L.DIMENSIONS)
+        for a, b, c in zip(signs, signs[1:], signs[2:]):
+            total += one[a].astype(float) * two[b] * three[c]
+        return total / (np.linalg.norm(total) or 1)
+
+    vectors = {r["doc_id"]: vector(r["text"]) for r in rows}
+    sums: dict = {}
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[r["doc_id"]]
+    langs = sorted(sums)
+    prototypes = np.array([sums[x] / np.linalg.norm(sums[x]) for x in langs])
+    for r in L.language_of_held_out(docs).collect():
+        cosine = prototypes @ vectors[r["doc_id"]]
+        assert abs(max(0, cosine.max()) - r["score"]) < 1e-4
+        assert r["lang_pred"] == langs[cosine.argmax()] or np.sort(cosine)[-1] - np.sort(cosine)[-2] < 1e-4 or not vectors[r["doc_id"]].any()

@@ -45,11 +45,24 @@ def test_base_spans_of_documents(spark):
 
 
 def test_network_on_fresh_findings():
+    """Recall and precision of each alphabet on findings that neither trained nor calibrated it."""
     net = S.network()
-    found, y = S.labelled_findings(1000, np.random.default_rng(2024))
-    p = net.probabilities(np.stack([S._windows(*f)[0] for f in found]))
-    accepted = p >= np.array(net.threshold)[[S.alphabet(t[a:b]) for t, a, b in found]]
-    assert accepted[y == 1].mean() > 0.95 and accepted[y == 0].mean() < 0.02
+    found, y = S.labelled_findings(1800, np.random.default_rng(2024))
+    x, group = np.stack([S._windows(*f)[0] for f in found]), np.array([S.alphabet(t[a:b]) for t, a, b in found])
+    assert np.bincount(group).tolist() == [600, 600, 600] and all(y[group == g].sum() == 300 for g in range(3))
+    for recall, precision in net.report(x, y, group) + net.reported:
+        assert recall > 0.95 and precision > 0.96
+
+
+def test_thresholds_keep_recall():
+    """Calibration alone: each threshold keeps the wanted recall, and gives way to no floor or cap."""
+    net, rng = S.Network(np.random.default_rng(1)), np.random.default_rng(2)
+    net.logits = lambda x: x[:, 0]
+    y = np.repeat([0.0, 1.0], 300)
+    x = np.concatenate([rng.normal(-3, 1, 300), rng.normal(-1, 1, 300)])[:, None]
+    net.calibrate(x, y, np.zeros(600, int))
+    accepted = net.probabilities(x) >= net.threshold[0]
+    assert 0.98 <= accepted[y == 1].mean() < 0.99 and net.threshold[1:] == [0.5, 0.5]
 
 
 def test_tables(spark):
