@@ -1,10 +1,11 @@
 """Licences in texts: fixed phrases, and template spans from matching statistics.
 
 All templates' words go into one generalised suffix automaton. A text's words
-stream through it, which gives at each word the longest template piece that ends
-there; maximal pieces of LEAST_MATCH words or more are chained, in the order of
-text and template, into spans, and a span that covers COVERED of its template
-carries the template's label. Words that no template pair contains reset the
+stream through it, and at each word its state and suffix links give, for every
+template, the longest piece that ends there, and all places of it. Pieces of
+LEAST_MATCH words or more that don't go on in their template are chained, in the
+order of text and template, into spans, and a span that covers COVERED of its
+template carries the template's label. Words that no template pair contains reset the
 automaton, so only stretches of template pairs are streamed word by word.
 Templates of up to SHORT words must stand there in full and without a gap, others
 must hold the words that tell their licence apart (TELLING). Of overlapping spans
@@ -18,6 +19,7 @@ than doc_id and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 
 import numpy as np
@@ -87,20 +89,21 @@ def words_of(text: str) -> list[bytes]:
 
 class SuffixAutomaton:
     """Of several sequences. Each state knows, for every sequence it occurs in,
-    where its first occurrence there ends."""
+    where its occurrences there end."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [{}]
+        self.link, self.length = [-1], [0]
+        self.ends: list[dict[int, set[int]]] = [{}]
         for k, sequence in enumerate(sequences):
             last = 0
             for at, word in enumerate(sequence):
                 last = self._extend(last, word)
-                self.ends[last].setdefault(k, at)
+                self.ends[last].setdefault(k, set()).add(at)
         for s in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
             above = self.ends[self.link[s]]
             for k, at in self.ends[s].items():
-                above[k] = min(at, above.get(k, at))
+                above.setdefault(k, set()).update(at)
 
     def _state(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
@@ -132,20 +135,31 @@ class SuffixAutomaton:
             self.link[new] = self._split(p, word)
         return new
 
-    def maximal_matches(self, sequence: list[int], least: int) -> list[tuple[int, int, int]]:
-        """(end, length, state) of the longest pieces that end where they can't go on."""
+    def maximal_matches(self, sequence: list[int], least: int) -> list[tuple[int, int, int, int]]:
+        """(template, start, start in the template, length) of the pieces of at least
+        this length that are, where they end, the longest of their template, and that
+        don't go on there. A piece that a template holds several times is given for each place."""
         found, state, length = [], 0, 0
-        for at, word in enumerate(sequence):
-            before = state, length
+        open_: dict[int, tuple[int, set[int]]] = {}  # of each template: length and ends of its piece so far
+        for at, word in enumerate([*sequence, 0]):
             while state and word not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
             state = self.next[state].get(word, 0)
             length = length + 1 if state else 0
-            if length <= before[1] and before[1] >= least:
-                found.append((at - 1, before[1], before[0]))
-        if length >= least:
-            found.append((len(sequence) - 1, length, state))
+            now: dict[int, tuple[int, set[int]]] = {}
+            s, n = state, length
+            while s > 0 and n >= least:
+                for k, ends in self.ends[s].items():
+                    now.setdefault(k, (n, ends))
+                s = self.link[s]
+                n = self.length[s] if s > 0 else 0
+            for k, (n, ends) in open_.items():
+                on = now.get(k, (0, ()))
+                for there in ends:
+                    if on[0] != n + 1 or there + 1 not in on[1]:
+                        found.append((k, at - n, there + 1 - n, n))
+            open_ = now
         return found
 
 
@@ -190,9 +204,8 @@ class LicenceScanner:
         for run in np.split(near, breaks):
             if len(run) + 1 >= LEAST_MATCH:
                 first = int(run[0])
-                for end, length, state in self.automaton.maximal_matches(ids[first : first + len(run) + 1].tolist(), LEAST_MATCH):
-                    for k, there in self.automaton.ends[state].items():
-                        matches.setdefault(k, []).append((first + end + 1 - length, there + 1 - length, length))
+                for k, start, there, length in self.automaton.maximal_matches(ids[first : first + len(run) + 1].tolist(), LEAST_MATCH):
+                    matches.setdefault(k, []).append((first + start, there, length))
         spans = []
         for k, found in matches.items():
             size = self.sizes[k]
@@ -213,35 +226,55 @@ class LicenceScanner:
                 owner.update(dict.fromkeys(range(a, b), label))
         return kept
 
-    @staticmethod
-    def _chain(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
+    @classmethod
+    def _chain(cls, found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, float]]:
         """Chains matches (place in text, place in template, length) of one template
         where both go on and no more than the template's size lies between; the
-        chains that cover enough, best first, without overlaps."""
+        chains that cover enough, best first, without overlaps. What is left beside
+        the chains that were taken is chained again."""
+        out: list[tuple[int, int, float]] = []
+        found = sorted(found)
+        while found:
+            taken: list[tuple[int, int, float]] = []  # in order, apart from each other
+            for first, last, covered in cls._best_chains(found, size):
+                at = bisect.bisect(taken, (first, last, 0.0))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+                    taken.insert(at, (first, last, min(1.0, covered / size)))
+            out += taken
+            if not taken:
+                break
+            kept, i = [], 0
+            for m in found:
+                while i < len(taken) and taken[i][1] <= m[0]:
+                    i += 1
+                if i == len(taken) or m[0] + m[2] <= taken[i][0]:
+                    kept.append(m)
+            found = kept
+        return sorted(out)
+
+    @staticmethod
+    def _best_chains(found: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int]]:
+        """(first word, end, covered words) of the chain that ends best at each match and covers enough, best first."""
         best, back = [], []
         for i, (a, t, n) in enumerate(found):
             score, prior = n, -1
             j = i - 1
-            while j >= 0 and a - found[j][0] - found[j][2] <= size:
+            while j >= 0 and a - found[j][0] <= 2 * size:
                 b, u, m = found[j]
                 fresh = n - max(0, b + m - a, u + m - t)  # words that the earlier match has not covered
-                if b < a and u < t and fresh > 0 and best[j] + fresh > score:
+                if a - b - m <= size and b < a and u < t and fresh > 0 and best[j] + fresh > score:
                     score, prior = best[j] + fresh, j
                 j -= 1
             best.append(score)
             back.append(prior)
-        taken, out = set(), []
+        out = []
         for i in sorted(range(len(found)), key=lambda i: (-best[i], i)):
             if best[i] < COVERED * size:
                 break
-            chain, j = [], i
-            while j >= 0 and j not in taken:
-                chain.append(j)
+            j = i
+            while back[j] >= 0:
                 j = back[j]
-            if j >= 0:
-                continue
-            taken.update(chain)
-            out.append((found[chain[-1]][0], found[i][0] + found[i][2], min(1.0, best[i] / size)))
+            out.append((found[j][0], found[i][0] + found[i][2], best[i]))
         return out
 
 

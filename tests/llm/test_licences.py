@@ -18,19 +18,62 @@ def plain_places(words):
 
 
 def test_automaton_gives_matching_statistics():
+    """For each template the longest piece at every word, and all places of those that don't go on."""
     rng = random.Random(1)
     for _ in range(200):
-        sequences = [[rng.randint(1, 4) for _ in range(rng.randint(1, 12))] for _ in range(3)]
+        sequences = [[rng.randint(1, 3) for _ in range(rng.randint(1, 12))] for _ in range(3)]
         a = L.SuffixAutomaton(sequences)
-        text = [rng.randint(1, 5) for _ in range(20)]
-        inside = lambda p, s: next((i for i in range(len(s) - len(p) + 1) if s[i : i + len(p)] == p), None)
-        longest = [max(n for n in range(at + 2) if n == 0 or any(inside(text[at + 1 - n : at + 1], s) is not None for s in sequences)) for at in range(20)]
-        want = [(at, longest[at]) for at in range(20) if longest[at] >= 2 and (at == 19 or longest[at + 1] <= longest[at])]
-        got = a.maximal_matches(text, 2)
-        assert [(at, n) for at, n, _ in got] == want
-        for at, n, state in got:
-            piece = text[at + 1 - n : at + 1]
-            assert a.ends[state] == {k: i + n - 1 for k, s in enumerate(sequences) if (i := inside(piece, s)) is not None}
+        text = [rng.randint(1, 4) for _ in range(20)]
+        want = []
+        for k, s in enumerate(sequences):
+            places = lambda p: [i for i in range(len(s) - len(p) + 1) if s[i : i + len(p)] == p]  # noqa: B023, E731
+            for at in range(20):
+                n = max(n for n in range(at + 2) if n == 0 or places(text[at + 1 - n : at + 1]))
+                if n >= 2:
+                    first = at + 1 - n
+                    want += [(k, first, i, n) for i in places(text[first : at + 1]) if at == 19 or s[i + n : i + n + 1] != [text[at + 1]]]
+        assert sorted(a.maximal_matches(text, 2)) == sorted(want)
+
+
+def test_matches_of_one_template_do_not_mask_another():
+    long = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(["x0", "x1", "x2", "w3", "w4", "w5", "w6"] + [f"y{i}" for i in range(20)])
+    scan = L.LicenceScanner([("a", long), ("b", other)], []).scan
+    text = "x0 x1 x2 w3 w4 w5 w6 z " + " ".join(f"y{i}" for i in range(20))
+    assert scan(text)[2] == [(0, 28, "b", 1.0)]
+    inside = long.replace("w8", "y0 y1 y2 y3 y4 w8")
+    assert [x for _, _, x, _ in scan(inside)[2]] == ["a"]
+
+
+def test_chains_against_brute_force():
+    """The best chain over all subsets of matches, and what lies beside it is chained again."""
+    rng = random.Random(5)
+
+    def covered(chain):
+        total, last = 0, None
+        for a, t, n in chain:
+            if last is None:
+                total += n
+            else:
+                b, u, m = last
+                fresh = n - max(0, b + m - a, u + m - t)
+                if not (b < a and u < t and fresh > 0 and a - b - m <= 20):
+                    return -1
+                total += fresh
+            last = (a, t, n)
+        return total
+
+    for _ in range(150):
+        found = sorted({(rng.randint(0, 40), rng.randint(0, 14), rng.randint(4, 8)) for _ in range(rng.randint(1, 7))})
+        best = max(covered([m for i, m in enumerate(found) if bits >> i & 1]) for bits in range(1, 1 << len(found)))
+        spans = L.LicenceScanner._chain(found, 20)
+        assert bool(spans) == (best >= L.COVERED * 20)
+        assert not spans or max(c for _, _, c in spans) == min(1.0, best / 20)
+        assert all(b <= c for (_, b, _), (c, _, _) in zip(spans, spans[1:]))
+    one = [(0, 0, 9), (9, 9, 11)]
+    assert L.LicenceScanner._chain(one + [(a + 30, t, n) for a, t, n in one] + [(5, 2, 6)], 20) == [(0, 20, 1.0), (30, 50, 1.0)]
+    # a chain that runs into a taken one is not lost: its own part is chained again
+    assert L.LicenceScanner._chain([(0, 0, 20), (22, 4, 14)], 20) == [(0, 20, 1.0), (22, 36, 0.7)]
 
 
 def test_documents(spark):
