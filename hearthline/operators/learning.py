@@ -23,10 +23,23 @@ def hash_order(key: Column) -> list[Column]:
 
 def numeric_statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each column: median, and mean and population deviation after
-    nulls got the median. A column without values has a median of 0, a deviation of 0 counts as 1."""
+    nulls got the median. A column without values has a median of 0, a deviation of 0 counts as 1.
+
+    The median is exact, but no task holds a column: an approximate quantile gives a
+    bracket around it that a thousandth of the values lie in, and only the distinct
+    values in it are ranked."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
-    medians = long.groupBy("feature").agg(F.coalesce(F.median("x"), F.lit(0.0)).alias("median"))
-    filled = long.join(medians, "feature").withColumn("y", F.coalesce("x", "median"))
+    edges = F.percentile_approx("x", F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000))
+    brackets = long.groupBy("feature").agg(edges.alias("edges"), F.count("x").alias("n"))  # a row for each column
+    near = long.join(F.broadcast(brackets), "feature").withColumn("low", F.col("x") < F.col("edges")[0])
+    below = near.groupBy("feature").agg(F.count_if("low").alias("below"))
+    inside = near.where(~F.col("low") & (F.col("x") <= F.col("edges")[1])).groupBy("feature", "x").agg(F.count("*").alias("here"))
+    upto = F.sum("here").over(Window.partitionBy("feature").orderBy("x"))
+    ranked = inside.withColumn("upto", upto).join(F.broadcast(below.join(brackets.select("feature", "n"), "feature")), "feature")
+    at = lambda rank: F.min(F.when(F.col("upto") > rank - F.col("below"), F.col("x")))
+    found = ranked.groupBy("feature").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
+    medians = brackets.select("feature").join(found, "feature", "left").select("feature", F.coalesce("median", F.lit(0.0)).alias("median"))
+    filled = long.join(F.broadcast(medians), "feature").withColumn("y", F.coalesce("x", "median"))
     spread = F.stddev_pop("y")
     return filled.groupBy("feature", "median").agg(F.avg("y").alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("std"))
 
@@ -44,7 +57,8 @@ def category_codes(rows: DataFrame, column: str) -> DataFrame:
 
 def nearest_rows(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
     """queries: id, vec. train: row_id, vec, y. The k nearest rows of each query
-    (id, row_id, distance, y, place), in blocks of bounded size."""
+    (id, row_id, distance, y, place), ties to the smaller row_id, in blocks of bounded
+    size: a matrix product finds who can be among them, whose distances are then exact."""
     n_queries, n_train = (max(1, math.ceil(d.count() / BLOCK)) for d in (queries, train))
     asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tb"))
     held = train.select("row_id", "vec", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("row_id"), F.lit(n_train)).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
@@ -55,11 +69,17 @@ def nearest_rows(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
         rows = rows.sort_values("row_id", kind="stable")
         x, q = np.array(rows["vec"].to_list(), np.float64), np.array(ask["vec"].to_list(), np.float64)
         ids, y, take = rows["row_id"].to_numpy(), rows["y"].to_numpy(), min(k, len(rows))
-        out = []
-        for i, one in zip(ask["id"], q):
-            distance = np.sqrt(((x - one) ** 2).sum(1))
-            near = np.argsort(distance, kind="stable")[:take]
-            out.append(pd.DataFrame({"id": i, "row_id": ids[near], "distance": distance[near], "y": y[near]}))
+        asking, lengths, out = ask["id"].to_numpy(), (x * x).sum(1), []
+        for at in range(0, len(q), 256):
+            part = q[at : at + 256]
+            rough = (part * part).sum(1)[:, None] + lengths - 2 * part @ x.T  # squares, up to rounding
+            limit = np.partition(rough, take - 1, axis=1)[:, take - 1 : take] + 1e-9 * (1 + np.abs(lengths).max() + (part * part).sum(1).max())
+            i, j = np.nonzero(rough <= limit)
+            distance = np.sqrt(((x[j] - part[i]) ** 2).sum(1))
+            order = np.lexsort((j, distance, i))
+            i, j, distance = i[order], j[order], distance[order]
+            first = np.searchsorted(i, i) + take > np.arange(len(i))  # the first so many of each query
+            out.append(pd.DataFrame({"id": asking[at + i[first]], "row_id": ids[j[first]], "distance": distance[first], "y": y[j[first]]}))
         return pd.concat(out)
 
     met = asked.groupBy("qb", "tb").cogroup(held.groupBy("qb", "tb")).applyInPandas(meet, "id long, row_id long, distance double, y double")
@@ -73,11 +93,12 @@ def neighbour_means(neighbours: DataFrame) -> DataFrame:
     return neighbours.groupBy("id").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("prediction"), F.stddev_pop("y").alias("spread"))
 
 
-def score_of_k(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """k and mape for every k, from one ranking up to the largest."""
+def score_of_k(neighbours: DataFrame, truth: DataFrame, ks: Sequence[int], logarithms: bool = False) -> DataFrame:
+    """k and mape for every k, from one ranking up to the largest. Neighbours' values may be logarithms of truth's."""
     each = neighbours.withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where("place <= k")
     w = 1.0 / (F.col("distance") + EPSILON)
-    predicted = each.groupBy("id", "k").agg((F.sum(w * F.col("y")) / F.sum(w)).alias("prediction"))
+    mean = F.sum(w * F.col("y")) / F.sum(w)
+    predicted = each.groupBy("id", "k").agg((F.expm1(mean) if logarithms else mean).alias("prediction"))
     return predicted.join(truth.select("id", F.col("y").alias("actual")), "id").groupBy("k").agg(mape(F.col("actual"), F.col("prediction")).alias("mape"))
 
 
@@ -148,20 +169,30 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str, trees: int
     return RandomForestRegressor(featuresCol="vec", labelCol="log_label", numTrees=trees, maxDepth=depth or 30, minInstancesPerNode=leaf, featureSubsetStrategy="auto", seed=seed).fit(ready)
 
 
-def predict_forest(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+def _with_trees(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows with vec and a column tree_i for each tree's value, a logarithm."""
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=list(features), outputCol="vec").transform(rows)
-    return model.transform(ready).withColumn("prediction", F.expm1("prediction")).drop("vec")
+    for i, tree in enumerate(model.trees):
+        ready = tree.setPredictionCol(f"tree_{i}").transform(ready)
+    return ready
+
+
+def predict_forest(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The rows with prediction, and spread: the deviation of the trees' logarithms, at the prediction's scale."""
+    names = [f"tree_{i}" for i in range(len(model.trees))]
+    each, n = F.array(*names), len(names)
+    mean = F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / n
+    found = _with_trees(model, rows, features).withColumn("_mean", mean)
+    square = F.aggregate(each, F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
+    prediction = F.expm1("_mean")
+    return found.withColumn("prediction", prediction).withColumn("spread", F.greatest(F.lit(0.0), prediction * F.sqrt(square))).drop("vec", "_mean", *names)
 
 
 def prefix_errors(model, rows: DataFrame, features: Sequence[str], label: str, step: int = 10) -> DataFrame:
     """trees and mape of the forest cut off after every step-th tree: one fit, one pass."""
-    from pyspark.ml.feature import VectorAssembler
-
-    ready = VectorAssembler(inputCols=list(features), outputCol="vec").transform(rows).select("vec", F.col(label).cast("double").alias("y"))
-    for i, tree in enumerate(model.trees):
-        ready = tree.setPredictionCol(f"tree_{i}").transform(ready)
+    ready = _with_trees(model, rows.withColumn("y", F.col(label).cast("double")), features)
     sizes = list(range(step, len(model.trees) + 1, step)) or [len(model.trees)]
     each = F.array(*[F.struct(F.lit(n).alias("trees"), F.expm1(sum(F.col(f"tree_{i}") for i in range(n)) / n).alias("p")) for n in sizes])
     return ready.select("y", F.explode(each).alias("x")).groupBy("x.trees").agg(mape(F.col("y"), F.col("x.p")).alias("mape"))

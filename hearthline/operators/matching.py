@@ -98,6 +98,12 @@ def best_candidates(scored: DataFrame) -> DataFrame:
     return best.where((F.col("score") >= LEAST_SCORE) & (F.col("x.low") == F.col("x.high"))).select("id", "x.sale_id", "score")
 
 
+def match_counts(matched: DataFrame) -> DataFrame:
+    """One row: dwellings, how many have a sale, and how many have none."""
+    found = F.col("sale_id").isNotNull()
+    return matched.agg(F.count("*").alias("n"), F.count_if(found).alias("matched"), F.count_if(~found).alias("unmatched"))
+
+
 def match_sales(certificates: DataFrame, sales: DataFrame) -> DataFrame:
     """id, sale_id and match_kind (exact, scored; null without a match) of every certificate."""
     # text is normalised once for each side; all the joins below start from these tables

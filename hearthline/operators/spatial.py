@@ -48,7 +48,7 @@ def tie_order() -> Column:
 
 
 def _farther(points: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
-    """The nearest over all places, ties by arrival, for points that see none."""
+    """The nearest over all places, ties by arrival, for points that see none (one at least)."""
     left, found = points, None
     for level in range(1, LEVELS):
         side = CELL_DEGREES * 4**level
@@ -62,13 +62,24 @@ def _farther(points: DataFrame, places: DataFrame, columns: list[str]) -> DataFr
     return found
 
 
+def _blind(points: DataFrame, places: DataFrame) -> DataFrame:
+    """The points in whose window there is no place: by the cells that places are seen from, without pairs."""
+    steps = F.sequence(F.lit(-REACH), F.lit(REACH))
+    side = F.lit(CELL_DEGREES)
+    home = places.select(F.floor(F.col("p_lat") / side).alias("ci"), F.floor(F.col("p_lon") / side).alias("cj")).distinct()
+    around = home.withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps))
+    seen_from = around.select((F.col("ci") + F.col("di")).alias("ci"), (F.col("cj") + F.col("dj")).alias("cj")).distinct()
+    cells = points.withColumn("ci", F.floor(F.col("latitude") / side)).withColumn("cj", F.floor(F.col("longitude") / side))
+    return staged(cells.join(seen_from, ["ci", "cj"], "left_anti").drop("ci", "cj"), "blind")
+
+
 def nearest_place(points: DataFrame, places: DataFrame, columns: list[str]) -> DataFrame:
     """id, the columns of the nearest place, and km. Points without coordinates
     are left out, as all are where there is no place."""
     here, there = _located(points), _placed(places)
     near = _seen(here, there, CELL_DEGREES).groupBy("id").agg(F.min_by(F.struct(*columns, "km"), tie_order()).alias("x")).select("id", "x.*")
-    blind = staged(here.join(near.select("id"), "id", "left_anti"), "blind")
-    return near.unionByName(_farther(blind, there, columns))
+    blind = _blind(here, there)
+    return near if blind.isEmpty() else near.unionByName(_farther(blind, there, columns))
 
 
 def school_summary(points: DataFrame, schools: DataFrame) -> DataFrame:
@@ -85,14 +96,17 @@ def school_summary(points: DataFrame, schools: DataFrame) -> DataFrame:
         count("PRIMARY", 1.0).alias("nearby_primary_schools_1km"),
         count("SECONDARY", 2.0).alias("nearby_secondary_schools_2km"),
     )
-    here = _located(points)
-    blind = staged(here.join(summed.select("id"), "id", "left_anti"), "blind")
     there = _placed(schools)
-    far = _farther(blind, there, ["name", "school_type"]).select("id", F.struct("name", "school_type", "km").alias("far"))
-    joined = points.select("id", "latitude", "longitude").join(summed, "id", "left").join(far, "id", "left")
-    for name in ("PRIMARY", "SECONDARY"):
-        only = _farther(blind, there.where(F.col("school_type") == name), []).select("id", F.col("km").alias(f"far_{name}"))
-        joined = joined.join(only, "id", "left")
+    blind = _blind(_located(points), there)
+    joined = points.select("id", "latitude", "longitude").join(summed, "id", "left")
+    if blind.isEmpty():
+        far = {"far": F.lit(None).cast("struct<name:string,school_type:string,km:double>")}
+        joined = joined.withColumns(far | {f"far_{name}": F.lit(None).cast("double") for name in ("PRIMARY", "SECONDARY")})
+    else:
+        joined = joined.join(_farther(blind, there, ["name", "school_type"]).select("id", F.struct("name", "school_type", "km").alias("far")), "id", "left")
+        for name in ("PRIMARY", "SECONDARY"):
+            only = _farther(blind, there.where(F.col("school_type") == name), []).select("id", F.col("km").alias(f"far_{name}"))
+            joined = joined.join(only, "id", "left")
     located = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     nearest = F.coalesce("x", "far")
     of_kind = lambda name, c: F.coalesce(F.col(c), F.col(f"far_{name}")).alias(c)

@@ -204,3 +204,97 @@ def estimates(features: DataFrame, comparables: DataFrame, as_of: datetime.date)
     rows = rows.withColumn("estimated_price", whole(adjusted(raw, F.col("epc_rating"), F.col("crime_level"))))
     rows = rows.withColumn("price_min", whole(F.col("estimated_price") * 0.95)).withColumn("price_max", whole(F.col("estimated_price") * 1.05))
     return rows.withColumn("explanations", explanation(as_of))
+
+
+#: Model values of a dwelling: what `without_model` and `with_model` give.
+MODEL_PART = (
+    "struct<available:boolean,message:string,knn_prediction:long,forest_prediction:long,raw_prediction:long,prediction:long,uncertainty:long,missing:int,"
+    "raw_confidence:double,raw_label:string,confidence:double,label:string,adjusted:boolean,anchor_weight:double,anchor_ratio:double,"
+    "baseline_weight:double,model_weight:double,ratio:double,warning:string>"
+)
+NO_MODEL = "No model has been trained yet."
+
+
+def without_model(estimated: DataFrame) -> DataFrame:
+    """Estimates that say that there is no model."""
+    absent = F.from_json(F.lit('{"available": false, "message": "' + NO_MODEL + '"}'), MODEL_PART)
+    return estimated.withColumn("ml_predictions", F.when(F.col("estimated_price").isNotNull(), absent)).withColumn("mixed_prediction", F.lit(None).cast("long"))
+
+
+def with_model(estimated: DataFrame, predictions: DataFrame, as_of: datetime.date) -> DataFrame:
+    """Estimates with a model's part: its prediction pulled towards the sale or the
+    comparables, mixed with the baseline, and said in the explanations."""
+    sale = F.col("last_sold_price").cast("double")
+    date = F.when(sale.isNotNull(), F.col("last_transfer_date"))
+    x = estimated.join(predictions.select("id", F.struct([c for c in predictions.columns if c != "id"]).alias("_p")), "id", "left")
+    near = F.coalesce(F.col("comparable.source") == "same postcode", F.lit(False))
+    x = x.withColumn("_a", anchored_prediction(F.col("_p.prediction"), F.col("_p.confidence"), sale, date, F.col("comparable.estimate"), near, as_of))
+    x = x.withColumn("_m", mixed_prediction(F.col("estimated_price"), F.col("_a.prediction"), F.col("_a.confidence")))
+    part = F.struct(
+        F.lit(True).alias("available"),
+        F.lit(None).cast("string").alias("message"),
+        "_p.knn_prediction",
+        "_p.forest_prediction",
+        whole(F.col("_p.prediction")).alias("raw_prediction"),
+        "_a.prediction",
+        "_p.uncertainty",
+        "_p.missing",
+        F.col("_a.confidence").alias("raw_confidence"),
+        F.col("_a.label").alias("raw_label"),
+        "_m.confidence",
+        "_m.label",
+        "_a.adjusted",
+        F.col("_a.weight").alias("anchor_weight"),
+        F.col("_a.ratio").alias("anchor_ratio"),
+        "_m.baseline_weight",
+        "_m.model_weight",
+        "_m.ratio",
+        "_m.warning",
+    ).cast(MODEL_PART)
+    percent = lambda w: F.concat((w * 100).cast("int").cast("string"), F.lit("%"))
+    m, a = F.col("_m"), F.col("_a")
+    said = F.array_compact(
+        F.array(
+            F.concat(F.lit("The model joins neighbours and a forest, with "), m["label"], F.lit(" confidence ("), m["confidence"].cast("string"), F.lit(").")),
+            F.when(a["adjusted"], F.concat(F.lit("Its first value, "), _pounds(F.col("_p.prediction")), F.lit(", was moved towards "), F.when(sale > 0, "the last sale.").otherwise("the comparables."))),
+            F.when(m["warning"].isNotNull(), F.concat(F.lit("Baseline and model: "), m["warning"], F.lit("."))),
+            F.concat(F.lit("Mixed, "), percent(m["baseline_weight"]), F.lit(" baseline and "), percent(m["model_weight"]), F.lit(" model: "), _pounds(m["mixed"]), F.lit(".")),
+        )
+    )
+    priced = F.col("estimated_price").isNotNull() & F.col("_p").isNotNull()
+    x = x.withColumn("ml_predictions", F.when(priced, part)).withColumn("mixed_prediction", F.when(priced, m["mixed"]))
+    return x.withColumn("explanations", F.when(priced, F.concat("explanations", said)).otherwise(F.col("explanations"))).drop("_p", "_a", "_m")
+
+
+#: Features of an answer; without a price only the first ones are told.
+REDUCED = ("postcode", "postcode_sector", "house_number", "epc_rating", "floor_area", "last_sold_price", "last_transfer_date", "postcode_average_price", "postcode_average_per_sqm")
+FULL = REDUCED + (
+    "energy_efficiency", "built_form", "property_subtype", "indexed_last_sold_price", "latitude", "longitude",
+    "nearest_station_name", "nearest_station_zone", "nearest_station_distance_km", "nearest_school_name", "nearest_school_type", "nearest_school_distance_km",
+    "nearest_primary_school_distance_km", "nearest_secondary_school_distance_km", "nearby_primary_schools_1km", "nearby_secondary_schools_2km",
+    "nearest_hospital_name", "nearest_hospital_distance_km", "crime_lsoa_code", "crime_lsoa_name", "crime_total_12m", "crime_avg_monthly_12m", "crime_level",
+    "london_hpi_current_index", "london_hpi_at_last_sale", "london_hpi_annual_change_pct",
+)
+
+
+def response(columns: list[str]) -> Column:
+    """A dwelling's answer as a struct. Where there is no price, the range, the model
+    and all features but the first ones are null."""
+    priced = F.col("estimated_price").isNotNull()
+    told = lambda name: F.col(name) if name in columns else F.lit(None)
+    source = F.when(F.col("last_sold_price").isNotNull(), "exact_matched_sale").otherwise("area_fallback")
+    features = [told(n).alias(n) for n in REDUCED] + [F.when(priced, told(n)).alias(n) for n in FULL[len(REDUCED) :]]
+    features += [F.when(priced, source).alias("sale_price_source"), F.when(priced, F.col("comparable")).alias("local_comparable_estimate")]
+    summary = F.struct(F.col("estimated_price").alias("baseline_prediction"), F.col("ml_predictions.prediction").alias("ml_prediction"), "mixed_prediction")
+    return F.struct(
+        F.col("id").alias("property_id"),
+        told("full_address").alias("full_address"),
+        "estimated_price",
+        F.col("estimated_price").alias("base_estimator_prediction"),
+        F.when(priced, F.struct(F.col("price_min").alias("min"), F.col("price_max").alias("max"))).alias("price_range"),
+        "explanations",
+        F.struct(*features).alias("features"),
+        "ml_predictions",
+        "mixed_prediction",
+        F.when(F.col("ml_predictions.available"), summary).alias("prediction_summary"),
+    )

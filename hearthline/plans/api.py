@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import valuation
 
 
 def _postcode(text: str) -> Column:
@@ -65,9 +68,19 @@ def features_preview(features: DataFrame, limit: int) -> DataFrame:
     return _first(features, limit)
 
 
-def estimate(valued: DataFrame, ids: list[int] | None = None) -> DataFrame:
-    """Valuations of the given dwellings, or of all; unknown ids have no row."""
-    return valued if ids is None else valued.where(F.col("id").isin(*ids))
+def estimate(valued: DataFrame, as_of: datetime.date, ids: list[int] | None = None, artifact=None) -> DataFrame:
+    """Valuations of the given dwellings, or of all; unknown ids have no row. With a
+    trained artifact (plans.training) each has ml_predictions (available), a mixed
+    value and what explains them; without one ml_predictions says so. Dwellings
+    without any price keep to that: they have no model part."""
+    asked = valued if ids is None else valued.where(F.col("id").isin(*ids))
+    return valuation.without_model(asked) if artifact is None else valuation.with_model(asked, artifact.predict(asked), as_of)
+
+
+def responses(estimated: DataFrame) -> DataFrame:
+    """id and response (JSON): the estimate, its range, explanations and features;
+    where there is no price, the reduced answer."""
+    return estimated.select("id", F.to_json(valuation.response(estimated.columns), {"ignoreNullFields": "false"}).alias("response"))
 
 
 def amenities(features: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import comparables, enrichment, learning, matching, spatial, valuation
-from ..sources import tables
+from ..sources import readers, tables
 from . import api
+from .training import NEIGHBOURS
 from . import oracle_text as O
-from .proxies import AS_OF, proxy, table, wide_crime, with_proxies
+from .proxies import AS_OF, proxy, raw_file, table, wide_crime, with_proxies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,7 +138,8 @@ def str17_distance_text(spark, sf_dir):
 
 @query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
 def win1_latest_per_key(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return readers.latest_of(orders, "o_custkey", "o_orderdate", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("latest"))
 
 
 @query(with_proxies("sales", ", s AS (SELECT sale_id, postcode, street, left(transfer_date, 7) AS month FROM sales), r AS (SELECT *, row_number() OVER (PARTITION BY postcode, street ORDER BY month DESC, sale_id DESC) AS n FROM s) SELECT postcode, street, sale_id FROM r WHERE n = 1"))
@@ -168,32 +170,36 @@ def win3_ambiguity(spark, sf_dir):
 # --- lookups ------------------------------------------------------------------------
 
 
-@query(with_proxies("props sales", "SELECT sale_id FROM sales WHERE postcode IN (SELECT postcode FROM props WHERE id % 50 = 0)"))
+@query(with_proxies("props sales", "SELECT sale_id FROM sales WHERE postcode IN (SELECT postcode FROM props WHERE starts_with(postcode, 'SW3') OR starts_with(postcode, 'SW5') OR starts_with(postcode, 'SW7'))"))
 def jn1_semi(spark, sf_dir):
-    allowed = proxy(spark, sf_dir, "props").where("id % 50 = 0").select("postcode")
-    return proxy(spark, sf_dir, "sales").join(allowed, "postcode", "left_semi").select("sale_id")
+    keyed = lambda name: proxy(spark, sf_dir, name).withColumn("postcode_clean", T.clean_postcode(F.col("postcode")))
+    allowed = keyed("props").where(T.any_prefix(F.col("postcode_clean"), PREFIXES))
+    return readers.of_postcodes(keyed("sales"), allowed).select("sale_id")
 
 
-@query(with_proxies("props", ", p AS (SELECT postcode, min(latitude) AS lat FROM props WHERE id % 3 = 0 GROUP BY 1) SELECT id, round(lat, 6) AS lat FROM props LEFT JOIN p USING (postcode)"))
+@query(with_proxies("props", ", p AS (SELECT postcode, arg_min(latitude, id) AS lat FROM props WHERE NOT starts_with(postcode, 'SW9') GROUP BY 1) SELECT id, round(lat, 6) AS lat FROM props LEFT JOIN p USING (postcode)"))
 def jn2_left_lookup(spark, sf_dir):
-    props = proxy(spark, sf_dir, "props")
-    directory = props.where("id % 3 = 0").groupBy("postcode").agg(F.min("latitude").alias("lat"))
-    return props.join(directory, "postcode", "left").select("id", _r(F.col("lat")).alias("lat"))
+    props = proxy(spark, sf_dir, "props").withColumn("postcode_clean", T.clean_postcode(F.col("postcode")))
+    directory = readers.first_of(props.where("postcode NOT LIKE 'SW9%'").select("postcode_clean", "latitude", "longitude", F.col("id").alias("ord")), "postcode_clean")
+    return readers.with_coordinates(props.select("id", "postcode_clean"), directory).select("id", _r(F.col("latitude")).alias("lat"))
 
 
-_CRIME = ", w AS (SELECT lsoa, sum(crimes)::DOUBLE AS total FROM crime WHERE ym IN (SELECT DISTINCT ym FROM crime ORDER BY ym DESC LIMIT 12) GROUP BY 1)"
+_CRIME = (
+    ", m12 AS (SELECT DISTINCT ym FROM crime ORDER BY ym DESC LIMIT 12)"
+    ", w AS (SELECT lsoa, coalesce(sum(crimes) FILTER (ym IN (FROM m12)), 0)::DOUBLE AS total FROM crime GROUP BY 1)"
+)
 _LEVELS = _CRIME + ", q AS (SELECT quantile_cont(total / 12, 0.33) AS low, quantile_cont(total / 12, 0.66) AS high FROM w), v AS (SELECT lsoa, total, total / 12 AS mean, CASE WHEN total / 12 <= low THEN 'LOW' WHEN total / 12 >= high THEN 'HIGH' ELSE 'AVERAGE' END AS level FROM w, q)"
 
 
 @query(with_proxies("crime", _CRIME + " SELECT CAST(lsoa AS VARCHAR) AS area, total FROM w"))
 def agg2_last12_sum(spark, sf_dir):
     found = enrichment.crime_by_area(wide_crime(spark, sf_dir))
-    return found.where("crime_total_12m > 0").select(F.col("crime_lsoa_code").alias("area"), F.col("crime_total_12m").alias("total"))
+    return found.select(F.col("crime_lsoa_code").alias("area"), F.col("crime_total_12m").alias("total"))
 
 
 @query(with_proxies("crime", _LEVELS + " SELECT CAST(lsoa AS VARCHAR) AS area, round(mean, 6) AS mean, level FROM v"))
 def agg4_quantile_bands(spark, sf_dir):
-    found = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
+    found = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)))
     return found.select(F.col("crime_lsoa_code").alias("area"), _r(F.col("crime_avg_monthly_12m")).alias("mean"), F.col("crime_level").alias("level"))
 
 
@@ -202,7 +208,7 @@ def jn5_two_hop(spark, sf_dir):
     props = proxy(spark, sf_dir, "props")
     raw = props.where("id % 4 <> 0").select(F.col("postcode").alias("pcd"), (F.col("id") % 120).cast("string").alias("lsoa11")).withColumn("ord", F.col("lsoa11"))
     areas = enrichment.area_of_postcode(raw)
-    leveled = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)).where("crime_total_12m > 0"))
+    leveled = enrichment.crime_levels(enrichment.crime_by_area(wide_crime(spark, sf_dir)))
     keyed = props.withColumn("postcode_clean", T.clean_postcode(F.col("postcode")))
     return enrichment.attach_crime(keyed, areas, leveled).select("id", F.col("crime_lsoa_code").alias("area"), F.col("crime_level").alias("level"))
 
@@ -256,15 +262,10 @@ def _all_sales(spark, sf_dir) -> DataFrame:
     return proxy(spark, sf_dir, "sales").select("sale_id", F.col("postcode").alias("postcode_clean"), F.col("paon").alias("house_number"), F.lit(None).cast("string").alias("building_name"), F.col("saon").alias("unit"), "street", full.alias("full_address"), "price", "transfer_date")
 
 
-def _thin_sales(spark, sf_dir) -> DataFrame:
-    """One sale in 23, as the SQL of jn7, jn8 and jn9 has it; the queries named _all take every sale."""
-    return _all_sales(spark, sf_dir).where("sale_id % 23 = 0")
-
-
 _MATCH = (
     f", d0 AS (SELECT id, postcode, address, {O.normalize('address')} AS n, {O.normalize(O.last_part('address'))} AS street, {O.normalize('string_split(address, chr(44))[1]')} AS f FROM props)"
     f", d AS (SELECT id, postcode, n AS core, {O.unit_of_normalized('n')} AS unit, {O.house_of_normalized('n')} AS house, street, CASE WHEN NOT regexp_matches({O.strip_normalized('f')}, '[0-9]') THEN {O.normalize(O.strip_normalized('f'))} END AS building FROM d0)"
-    f", s AS (SELECT sale_id, postcode, concat_ws(', ', saon, paon, street, postcode) AS addr, transfer_date AS dkey, {O.normalize('''concat_ws(' ', saon, paon, street)''')} AS core, saon AS unit, paon AS house, street FROM sales WHERE sale_id % 23 = 0)"
+    f", s AS (SELECT sale_id, postcode, concat_ws(', ', saon, paon, street, postcode) AS addr, transfer_date AS dkey, {O.normalize('''concat_ws(' ', saon, paon, street)''')} AS core, saon AS unit, paon AS house, street FROM sales)"
     ", e AS (SELECT d.id, arg_max(s.sale_id, (s.dkey, s.sale_id)) AS sale_id FROM d JOIN s ON d.postcode = s.postcode AND d.core = s.core GROUP BY 1)"
     ", rest AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM e))"
     ", pool AS (SELECT r.*, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.postcode = r.postcode AND s.unit = r.unit) THEN 'U' WHEN EXISTS (SELECT 1 FROM s WHERE s.postcode = r.postcode AND s.house = r.house) THEN 'H' ELSE 'P' END AS pool FROM rest r)"
@@ -278,7 +279,7 @@ _PICK = (
 )
 
 
-_MATCH_ALL = f", moved AS (SELECT id, postcode, {_MOVED} AS address FROM props)" + _MATCH.replace("FROM props)", "FROM moved)").replace(" WHERE sale_id % 23 = 0", "")
+_MATCH_ALL = f", moved AS (SELECT id, postcode, {_MOVED} AS address FROM props)" + _MATCH.replace("FROM props)", "FROM moved)")
 
 
 def _exact(certificates: DataFrame, sales: DataFrame) -> DataFrame:
@@ -294,7 +295,7 @@ def _pools(certificates: DataFrame, sales: DataFrame) -> DataFrame:
 
 @query(with_proxies("props sales", _MATCH + " SELECT id, sale_id FROM e"))
 def jn7_exact(spark, sf_dir):
-    return _exact(_certificates(spark, sf_dir), _thin_sales(spark, sf_dir))
+    return _exact(_certificates(spark, sf_dir), _all_sales(spark, sf_dir))
 
 
 @query(with_proxies("props sales", _MATCH_ALL + " SELECT id, sale_id FROM e"))
@@ -304,7 +305,7 @@ def jn7_exact_all(spark, sf_dir):
 
 @query(with_proxies("props sales", _MATCH + " SELECT id, pool FROM pool"))
 def jn8_pool(spark, sf_dir):
-    return _pools(_certificates(spark, sf_dir), _thin_sales(spark, sf_dir))
+    return _pools(_certificates(spark, sf_dir), _all_sales(spark, sf_dir))
 
 
 @query(with_proxies("props sales", _MATCH_ALL + " SELECT id, pool FROM pool"))
@@ -314,7 +315,7 @@ def jn8_pool_all(spark, sf_dir):
 
 @query(with_proxies("props sales", _MATCH + _PICK + " SELECT id, coalesce(e.sale_id, m.sale_id) AS sale_id, CASE WHEN e.sale_id IS NOT NULL THEN 'exact' WHEN m.sale_id IS NOT NULL THEN 'scored' END AS match_kind FROM d LEFT JOIN e USING (id) LEFT JOIN m USING (id)"))
 def jn9_match(spark, sf_dir):
-    return matching.match_sales(_certificates(spark, sf_dir), _thin_sales(spark, sf_dir))
+    return matching.match_sales(_certificates(spark, sf_dir), _all_sales(spark, sf_dir))
 
 
 @query(with_proxies("props sales", _MATCH_ALL + _PICK + " SELECT id, coalesce(e.sale_id, m.sale_id) AS sale_id, CASE WHEN e.sale_id IS NOT NULL THEN 'exact' WHEN m.sale_id IS NOT NULL THEN 'scored' END AS match_kind FROM d LEFT JOIN e USING (id) LEFT JOIN m USING (id)"))
@@ -362,11 +363,6 @@ def jn11_radius_counts(spark, sf_dir):
     return _radius_counts(proxy(spark, sf_dir, "props"), proxy(spark, sf_dir, "schools"))
 
 
-@query(with_proxies("props all_schools", _pairs("all_schools") + " SELECT id, arg_min(name, (km, ol, oj, src_ord)) AS name, round(min(km), 6) AS km, round(min(km) FILTER (school_type = 'PRIMARY'), 6) AS primary_km, round(min(km) FILTER (school_type = 'SECONDARY'), 6) AS secondary_km, CAST(count(*) FILTER (school_type = 'PRIMARY' AND km <= 1) AS INT) AS primaries, CAST(count(*) FILTER (school_type = 'SECONDARY' AND km <= 2) AS INT) AS secondaries FROM u GROUP BY id"))
-def jn11_radius_counts_all(spark, sf_dir):
-    return _radius_counts(proxy(spark, sf_dir, "props"), proxy(spark, sf_dir, "all_schools"))
-
-
 # --- comparables --------------------------------------------------------------------------
 
 _FEATURES = f", f AS (SELECT id, CASE WHEN id % 6 = 0 THEN concat(postcode, CAST(id AS VARCHAR)) ELSE postcode END AS postcode_clean, {O.sector('postcode')} AS postcode_sector, floor_area, CASE WHEN id % 10 <> 0 THEN property_subtype END AS property_subtype, address AS full_address, CASE WHEN id % 3 <> 0 THEN CAST(40000 + id * 7919 % 900000 AS DOUBLE) END AS indexed_last_sold_price FROM props)"
@@ -404,7 +400,8 @@ def jn12_comparables(spark, sf_dir):
 @query("WITH p AS (SELECT CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS brand FROM part) SELECT count(*) AS n FROM (SELECT DISTINCT brand FROM p)")
 def agg8_distinct_with_null(spark, sf_dir):
     brand = F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand"))
-    return table(spark, sf_dir, "part").select(brand.alias("brand")).distinct().agg(F.count("*").alias("n"))
+    found = api.data_coverage(table(spark, sf_dir, "part").select(brand.alias("postcode_clean")))
+    return found.select(F.col("postcodes").cast("long").alias("n"))
 
 
 @query(with_proxies("props", "SELECT DISTINCT left(replace(postcode, ' ', ''), length(replace(postcode, ' ', '')) - 3) AS outward FROM props"))
@@ -419,9 +416,9 @@ def flt4_prefix_any(spark, sf_dir):
     return proxy(spark, sf_dir, "props").where(T.any_prefix(postcode, PREFIXES)).select("id")
 
 
-@query("SELECT p_partkey FROM part WHERE p_type IN ('ECONOMY', 'STANDARD') OR p_size IN (1, 2, 3)")
+@query(with_proxies("raw_postcodes", "SELECT id FROM raw_postcodes WHERE CAST(right(oslaua, 2) AS INT) BETWEEN 1 AND 33"))
 def flt1_membership(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_type").isin("ECONOMY", "STANDARD") | F.col("p_size").isin(1, 2, 3)).select("p_partkey")
+    return readers.of_the_capital(proxy(spark, sf_dir, "raw_postcodes")).select("id")
 
 
 @query(with_proxies("props", "SELECT id FROM props WHERE address ILIKE '%high%1%' OR CASE WHEN id % 5 = 0 THEN address END ILIKE '%PARK%'"))
@@ -437,13 +434,14 @@ def flt10_startswith(spark, sf_dir):
 
 @query(with_proxies("props", "SELECT DISTINCT postcode FROM props WHERE postcode ILIKE 'sw%' ORDER BY postcode LIMIT 10"))
 def set1_distinct_sorted_limit(spark, sf_dir):
-    return proxy(spark, sf_dir, "props").where(T.starts_with_text(F.col("postcode"), "sw")).select("postcode").distinct().orderBy("postcode").limit(10)
+    found = api.postcode_suggestions(proxy(spark, sf_dir, "props").withColumnRenamed("postcode", "postcode_clean"), "sw", 10)
+    return found.withColumnRenamed("postcode_clean", "postcode")
 
 
 @query(with_proxies("props", ", k AS (SELECT id, address, CASE WHEN id % 8 <> 0 THEN postcode END AS key FROM props) SELECT key, min(id) AS id, arg_min(address, id) AS address FROM k GROUP BY key"))
 def set2_keep_first(spark, sf_dir):
     key = F.when(F.col("id") % 8 != 0, F.col("postcode")).alias("key")
-    return proxy(spark, sf_dir, "props").select(key, "id", "address").groupBy("key").agg(F.min("id").alias("id"), F.min_by("address", "id").alias("address"))
+    return readers.first_of(proxy(spark, sf_dir, "props").select(key, "id", "address", F.col("id").alias("ord")), "key").drop("ord")
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 4 <> 1")
@@ -569,13 +567,8 @@ def _knn(spark, sf_dir, asked: str) -> DataFrame:
     return learning.neighbour_means(near).select("id", _r(F.col("prediction")).alias("prediction"), _r(F.col("spread")).alias("spread"))
 
 
-@query("WITH q AS (SELECT a.vec_id AS id, b.vec_id AS row_id, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 20 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, row_id) AS n FROM q) SELECT id, round(sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)), 6) AS prediction, round(stddev_pop(y), 6) AS spread FROM r WHERE n <= 7 GROUP BY id")
+@query("WITH q AS (SELECT a.vec_id AS id, b.vec_id AS row_id, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, row_id) AS n FROM q) SELECT id, round(sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)), 6) AS prediction, round(stddev_pop(y), 6) AS spread FROM r WHERE n <= 7 GROUP BY id")
 def ml2_knn(spark, sf_dir):
-    return _knn(spark, sf_dir, "vec_id % 20 = 0")
-
-
-@query(ORACLE_SQL["ml2_knn"].replace("a.vec_id % 20 = 0", "a.vec_id % 5 = 0"))
-def ml2_knn_all(spark, sf_dir):
     return _knn(spark, sf_dir, "vec_id % 5 = 0")
 
 
@@ -716,27 +709,127 @@ def ml7_stratified_sample(spark, sf_dir):
 def _neighbour_grid(spark, sf_dir, chosen: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     asked = v.where(chosen).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").cast("double").alias("y"))
-    near = learning.nearest_rows(asked.select("id", "vec"), v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), F.col("label").alias("y")), 12)
-    return learning.score_of_k(near, asked, [2, 5, 12]).select("k", _r(F.col("mape")).alias("mape"))
+    near = learning.nearest_rows(asked.select("id", "vec"), v.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), F.col("label").alias("y")), max(NEIGHBOURS))
+    return learning.score_of_k(near, asked, NEIGHBOURS).select("k", _r(F.col("mape")).alias("mape"))
 
 
-@query("WITH q AS (SELECT a.vec_id AS id, a.label AS actual, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id % 25 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM q), k AS (SELECT unnest([2, 5, 12]) AS k), p AS (SELECT id, k, any_value(actual) AS actual, sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS p FROM r, k WHERE n <= k GROUP BY id, k) SELECT k, round(avg(abs(actual - p) / greatest(actual, 1)), 6) AS mape FROM p GROUP BY k")
+@query("WITH q AS (SELECT a.vec_id AS id, a.label AS actual, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM q), k AS (SELECT unnest([2, 3, 5, 7, 9, 12, 15, 20, 25]) AS k), p AS (SELECT id, k, any_value(actual) AS actual, sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS p FROM r, k WHERE n <= k GROUP BY id, k) SELECT k, round(avg(abs(actual - p) / greatest(actual, 1)), 6) AS mape FROM p GROUP BY k")
 def ml10_neighbour_grid(spark, sf_dir):
-    return _neighbour_grid(spark, sf_dir, "vec_id % 25 = 0")
-
-
-@query(ORACLE_SQL["ml10_neighbour_grid"].replace("a.vec_id % 25 = 0", "a.vec_id % 5 = 0"))
-def ml10_neighbour_grid_all(spark, sf_dir):
     return _neighbour_grid(spark, sf_dir, "vec_id % 5 = 0")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 <> 0) AS matched, count(*) FILTER (o_orderkey % 3 = 0) AS unmatched FROM orders")
+@query(with_proxies("props sales", _MATCH_ALL + _PICK + " SELECT count(*) AS n, count(coalesce(e.sale_id, m.sale_id)) AS matched, count(*) - count(coalesce(e.sale_id, m.sale_id)) AS unmatched FROM d LEFT JOIN e USING (id) LEFT JOIN m USING (id)"))
 def agg16_match_counts(spark, sf_dir):
-    flag = F.col("o_orderkey") % 3 != 0
-    return table(spark, sf_dir, "orders").agg(F.count("*").alias("n"), F.count_if(flag).alias("matched"), F.count_if(~flag).alias("unmatched"))
+    return matching.match_counts(matching.match_sales(_moved_certificates(spark, sf_dir), _all_sales(spark, sf_dir)))
 
 
 @query("SELECT p_brand, count(*) AS n FROM part WHERE p_size > 10 GROUP BY 1 UNION ALL SELECT p_type, count(*) FROM part GROUP BY 1")
 def set3_union_all(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return part.where("p_size > 10").groupBy("p_brand").agg(F.count("*").alias("n")).unionAll(part.groupBy("p_type").agg(F.count("*").alias("n")))
+
+
+# --- raw files, written from the views and read back ----------------------------------------------------------
+
+_KNOWN_POSTCODES = (
+    ", known AS (SELECT * FROM (SELECT *, upper(replace(pcd, ' ', '')) AS postcode_clean,"
+    " row_number() OVER (PARTITION BY upper(replace(pcd, ' ', '')) ORDER BY id) AS n"
+    " FROM raw_postcodes WHERE CAST(right(oslaua, 2) AS INT) BETWEEN 1 AND 33) WHERE n = 1)"
+)
+
+
+def _known_postcodes(spark, sf_dir) -> DataFrame:
+    return readers.read_postcodes(spark, raw_file(spark, sf_dir, "raw_postcodes"))
+
+
+@query(with_proxies("raw_postcodes", _KNOWN_POSTCODES + """
+    SELECT postcode_clean, pcd AS postcode, local_authority_code, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude
+    FROM (SELECT *, oslaua AS local_authority_code, try_cast(lat AS DOUBLE) AS latitude, try_cast(long AS DOUBLE) AS longitude FROM known)
+    WHERE starts_with(postcode_clean, 'SW3') OR starts_with(postcode_clean, 'SW5') OR starts_with(postcode_clean, 'SW7')"""))
+def src1_postcodes(spark, sf_dir):
+    found = readers.read_postcodes(spark, raw_file(spark, sf_dir, "raw_postcodes"), PREFIXES)
+    return found.select("postcode_clean", "postcode", "local_authority_code", _r(F.col("latitude")).alias("latitude"), _r(F.col("longitude")).alias("longitude"))
+
+
+@query(with_proxies("raw_postcodes raw_sales", _KNOWN_POSTCODES + """,
+    s AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY id) AS n FROM raw_sales
+      WHERE record_status = 'a' AND price <> 'n/a' AND upper(replace(postcode, ' ', '')) IN (SELECT postcode_clean FROM known))
+    SELECT transaction_id, CAST(trunc(CAST(price AS DOUBLE)) AS BIGINT) AS price, transfer_date,
+      CASE WHEN paon = 'TOWER HOUSE' THEN NULL WHEN starts_with(paon, '14A') THEN '14A' ELSE paon END AS house_number,
+      CASE WHEN paon = 'TOWER HOUSE' OR starts_with(paon, '14A') THEN paon END AS building_name,
+      nullif(saon, '') AS unit, concat_ws(', ', nullif(saon, ''), paon, street, town_city, postcode) AS full_address
+    FROM s WHERE n = 1"""))
+def src3_sales(spark, sf_dir):
+    path = raw_file(spark, sf_dir, "raw_sales", header=False)
+    found = readers.with_ids(readers.read_sales(spark, path, _known_postcodes(spark, sf_dir)), "sale_id")
+    return found.select("transaction_id", "price", "transfer_date", "house_number", "building_name", "unit", "full_address")
+
+
+@query(with_proxies("raw_postcodes raw_certificates", _KNOWN_POSTCODES + """,
+    c AS (SELECT *, upper(replace(POSTCODE, ' ', '')) AS key, coalesce(nullif(ADDRESS, ''), ADDRESS1) AS said FROM raw_certificates),
+    f AS (SELECT *, concat(said, ', LONDON, ', POSTCODE) AS full_address FROM c WHERE key IN (SELECT postcode_clean FROM known)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY full_address ORDER BY LODGEMENT_DATE DESC, id DESC) AS n FROM f)
+    SELECT full_address, nullif(LODGEMENT_DATE, '') AS lodgement_date, CURRENT_ENERGY_RATING AS epc_rating, try_cast(TOTAL_FLOOR_AREA AS DOUBLE) AS floor_area,
+      string_split(said, ' ')[CASE WHEN starts_with(said, 'Flat') THEN 3 ELSE 1 END] AS house_number, round(try_cast(lat AS DOUBLE), 6) AS latitude
+    FROM r JOIN known ON postcode_clean = key WHERE r.n = 1"""))
+def src4_certificates(spark, sf_dir):
+    found = readers.read_certificates(spark, raw_file(spark, sf_dir, "raw_certificates"), _known_postcodes(spark, sf_dir))
+    return found.select("full_address", "lodgement_date", "epc_rating", "floor_area", "house_number", _r(F.col("latitude")).alias("latitude"))
+
+
+@query(with_proxies("raw_stations", """
+    , s AS (SELECT trim("Station") AS name, CAST(id % 6 + 1 AS VARCHAR) AS zone, CAST("Latitude" AS DOUBLE) AS latitude, try_cast("Longitude" AS DOUBLE) AS longitude FROM raw_stations),
+    u AS (SELECT * FROM s WHERE name <> '' AND longitude IS NOT NULL)
+    SELECT name, zone, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude FROM u WHERE (SELECT count(*) FROM u) >= 50"""))
+def src6_stations(spark, sf_dir):
+    found = readers.read_stations(spark, raw_file(spark, sf_dir, "raw_stations"))
+    return found.select("name", "zone", _r(F.col("latitude")).alias("latitude"), _r(F.col("longitude")).alias("longitude"))
+
+
+@query(with_proxies("raw_postcodes raw_schools", _KNOWN_POSTCODES + """
+    SELECT "EstablishmentName" AS name, CASE WHEN contains(upper("PhaseOfEducation (name)"), 'PRIMARY') THEN 'PRIMARY' WHEN contains(upper("PhaseOfEducation (name)"), 'SECONDARY') THEN 'SECONDARY' ELSE 'OTHER' END AS school_type,
+      postcode_clean, round(try_cast(lat AS DOUBLE), 6) AS latitude
+    FROM raw_schools JOIN known ON postcode_clean = upper(replace("Postcode", ' ', '')) WHERE "EstablishmentStatus (name)" = ' open' AND "GOR (name)" = 'London'"""))
+def src7_schools(spark, sf_dir):
+    found = readers.read_schools(spark, raw_file(spark, sf_dir, "raw_schools"), _known_postcodes(spark, sf_dir))
+    return found.select("name", "school_type", "postcode_clean", _r(F.col("latitude")).alias("latitude"))
+
+
+@query(with_proxies("raw_postcodes raw_hospitals", _KNOWN_POSTCODES + """,
+    j AS (SELECT r."Site Name" AS name, r."LAT" AS own_lat, r."lng" AS own_lon, k.lat AS their_lat, k.long AS their_lon
+      FROM raw_hospitals r LEFT JOIN known k ON k.postcode_clean = upper(r."Postcode")),
+    h AS (SELECT name, CASE WHEN own_lat <> '' THEN own_lat ELSE their_lat END AS y, CASE WHEN own_lat <> '' THEN own_lon ELSE their_lon END AS x FROM j)
+    SELECT name, round(try_cast(y AS DOUBLE), 6) AS latitude, round(try_cast(x AS DOUBLE), 6) AS longitude FROM h WHERE try_cast(y AS DOUBLE) IS NOT NULL AND try_cast(x AS DOUBLE) IS NOT NULL"""))
+def src8_hospitals(spark, sf_dir):
+    found = readers.read_hospitals(spark, raw_file(spark, sf_dir, "raw_hospitals"), _known_postcodes(spark, sf_dir))
+    return found.select("name", _r(F.col("latitude")).alias("latitude"), _r(F.col("longitude")).alias("longitude"))
+
+
+@query(with_proxies("raw_postcodes", """
+    , a AS (SELECT upper(replace(pcd, ' ', '')) AS postcode_clean, lsoa11, id FROM raw_postcodes WHERE trim(lsoa11) <> '' AND lsoa11 <> 'nan')
+    SELECT postcode_clean, arg_max(lsoa11, id) AS area FROM a GROUP BY 1"""))
+def src9_postcode_areas(spark, sf_dir):
+    found = readers.read_postcode_areas(spark, raw_file(spark, sf_dir, "raw_postcodes"))
+    return found.select("postcode_clean", F.col("crime_lsoa_code").alias("area"))
+
+
+@query(with_proxies("props", _LISTED + " SELECT id, full_address FROM l WHERE postcode_clean = 'SW53AB' AND (full_address ILIKE '%kings%' OR house_number ILIKE '%kings%') ORDER BY id LIMIT 20"))
+def api3_certificate_suggestions(spark, sf_dir):
+    return api.certificate_suggestions(_listed(spark, sf_dir), "sw53ab", "kings").select("id", "full_address")
+
+
+@query(with_proxies("props", _LISTED + " SELECT DISTINCT postcode_clean FROM l WHERE postcode_clean = 'SW53AB'"))
+def api1_check_postcode(spark, sf_dir):
+    return api.check_postcode(_listed(spark, sf_dir), " sw5 3ab").select("postcode_clean")
+
+
+@query(with_proxies("props", _LISTED + " SELECT id, house_number FROM l WHERE postcode_clean = 'SW53AB' ORDER BY id LIMIT 20"))
+def api7_debug_certificates(spark, sf_dir):
+    return api.debug_certificates(_listed(spark, sf_dir), "SW5 3AB").select("id", "house_number")
+
+
+@query(with_proxies("valued", "SELECT id, CASE WHEN nearest_station_distance_km IS NOT NULL THEN 'station' END AS first_kind, CASE WHEN nearest_station_distance_km IS NOT NULL THEN 1 ELSE 0 END AS n FROM valued"))
+def api10_amenities(spark, sf_dir):
+    v = proxy(spark, sf_dir, "valued").withColumn("nearest_station_name", F.when(F.col("nearest_station_distance_km").isNotNull(), F.lit("Halt")))
+    v = v.withColumns({"nearest_school_name": F.lit(None).cast("string"), "nearest_school_distance_km": F.lit(None).cast("double")})
+    return api.amenities(v).select("id", F.get("amenities", F.lit(0))["kind"].alias("first_kind"), F.size("amenities").alias("n"))

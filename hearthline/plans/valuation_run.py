@@ -40,7 +40,7 @@ def proxy_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     certificates = props.select("*", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), none.alias("address1"), none.alias("house_number"), F.col("address").alias("full_address"), F.element_at(F.array(*map(F.lit, "ABCDEFG")), (F.col("id") % 7 + 1).cast("int")).alias("epc_rating"))
     full = T.full_address(F.col("saon"), F.col("paon"), F.col("street"), F.col("postcode"))
     sales = proxy(spark, sf_dir, "sales").select("sale_id", T.clean_postcode(F.col("postcode")).alias("postcode_clean"), F.col("paon").alias("house_number"), none.alias("building_name"), F.col("saon").alias("unit"), "street", full.alias("full_address"), "price", "transfer_date")
-    stations, schools, hospitals = proxy(spark, sf_dir, "stations").withColumn("zone", F.lit("1")), proxy(spark, sf_dir, "all_schools"), proxy(spark, sf_dir, "hospitals")
+    stations, schools, hospitals = proxy(spark, sf_dir, "stations").withColumn("zone", F.lit("1")), proxy(spark, sf_dir, "schools"), proxy(spark, sf_dir, "hospitals")
     month = proxy(spark, sf_dir, "hpi")
     day = F.to_date(F.concat("month_key", F.lit("-01")))
     series = month.select(day.alias("day"), "month_key", F.explode(F.array(F.lit("HOUSE"), F.lit("FLAT"))).alias("index_type"), "idx", F.lit(None).cast("double").alias("annual_change"))

@@ -1,7 +1,8 @@
 """Raw files to tables. All reads name their columns and types; nothing is inferred.
 
-Where the first or last of equal keys is kept, rows carry `ord`: file, then place
-in the file, which Spark reads in that order."""
+Where the first or last of equal keys is kept, rows carry `ord`: file, block of the
+file, then place in the block, however Spark packs files into partitions. Ids follow
+that order and are given once."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from .. import schemas
 from ..functions import text as T
 from ..functions.numbers import to_double, to_long
 from ..operators import enrichment
+from .tables import staged
 
 #: Authority codes of the capital's 33 boroughs, E09000001 to E09000033.
 AUTHORITIES = tuple(f"E090000{n:02d}" for n in range(1, 34))
@@ -23,15 +25,41 @@ LEAST_STATIONS = 50
 
 
 def _strings(spark: SparkSession, path, columns: Sequence[str], header: bool = True, **options) -> DataFrame:
-    """Columns by name, in any order, all text; columns not asked for are not parsed further."""
+    """Columns by name, in any order, all text, and ord; columns not asked for are not parsed further."""
     reader = spark.read.options(header=header, enforceSchema=False, **options)
-    return reader.csv(path).select(*[F.col(f"`{c}`") for c in columns])
+    return with_order(reader.csv(path)).select(*[F.col(f"`{c}`") for c in columns], "ord")
 
 
 def with_order(df: DataFrame) -> DataFrame:
+    """ord: the order of arrival."""
     return df.withColumn("ord", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row")))
 
 
+def with_ids(df: DataFrame, column: str) -> DataFrame:
+    """A number for each row, in the order of arrival; written down, so that it stays the same."""
+    return staged(df.sort("ord").withColumn(column, F.monotonically_increasing_id()), column)
+
+
+def latest_of(df: DataFrame, key: str, *by: Column | str) -> DataFrame:
+    """The row of each key that comes last by the given order."""
+    columns = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*by)).alias("x")).select(key, "x.*")
+
+
+def of_the_capital(df: DataFrame) -> DataFrame:
+    return df.where(F.col("oslaua").isin(*AUTHORITIES))
+
+
+def of_postcodes(df: DataFrame, postcodes: DataFrame) -> DataFrame:
+    """The rows whose postcode_clean is among the postcodes."""
+    return df.join(postcodes.select("postcode_clean"), "postcode_clean", "left_semi")
+
+
+def with_coordinates(df: DataFrame, postcodes: DataFrame, how: str = "left") -> DataFrame:
+    """latitude and longitude of each row's postcode."""
+    return df.join(postcodes.select("postcode_clean", "latitude", "longitude"), "postcode_clean", how)
+
+
 def first_of(df: DataFrame, key: str) -> DataFrame:
     """The first row of each key; null is a key like any other."""
     columns = [c for c in df.columns if c not in (key, "ord")]
@@ -42,7 +70,7 @@ def first_of(df: DataFrame, key: str) -> DataFrame:
 def read_postcodes(spark: SparkSession, path: str, prefixes: Sequence[str] = ()) -> DataFrame:
     """The capital's postcodes with coordinates, first of each, of the wanted prefixes."""
     raw = with_order(spark.read.option("header", True).csv(path))
-    rows = raw.where(F.col("oslaua").isin(*AUTHORITIES)).select(
+    rows = of_the_capital(raw).select(
         F.col("pcd").alias("postcode"),
         F.col("pcds").alias("postcode_with_space"),
         T.clean_postcode(F.col("pcd")).alias("postcode_clean"),
@@ -59,7 +87,7 @@ def read_sales(spark: SparkSession, path, allowed: DataFrame) -> DataFrame:
     """Sold prices of allowed postcodes (postcode_clean): current records, the first of each transaction."""
     raw = with_order(spark.read.schema(schemas.RAW_SALES).csv(path))
     current = raw.where(F.upper(F.coalesce("record_status", F.lit(""))) == "A").withColumn("postcode_clean", T.clean_postcode(F.col("postcode")))
-    near = current.join(allowed.select("postcode_clean"), "postcode_clean", "left_semi")
+    near = of_postcodes(current, allowed)
     house, building = T.house_number_of_primary_name(F.col("paon")), T.building_of_primary_name(F.col("paon"))
     plain = [T.clean_text(F.col(c)).alias(c) for c in ("transaction_id", "postcode", "street", "locality", "town_city", "district", "county", "property_type", "new_build_flag", "tenure", "transfer_date")]
     rows = near.select(
@@ -81,7 +109,7 @@ def read_certificates(spark: SparkSession, path: str, postcodes: DataFrame) -> D
     raw = _strings(spark, path, schemas.RAW_CERTIFICATES, recursiveFileLookup=True, pathGlobFilter="*.[cC][sS][vV]")
     c = lambda name: T.clean_text(F.col(name))
     address = F.coalesce(c("ADDRESS"), c("ADDRESS1"))
-    rows = raw.withColumn("ord", F.monotonically_increasing_id()).select(
+    rows = raw.select(
         c("POSTCODE").alias("postcode"),
         T.clean_postcode(F.col("POSTCODE")).alias("postcode_clean"),
         c("ADDRESS1").alias("address1"),
@@ -98,10 +126,9 @@ def read_certificates(spark: SparkSession, path: str, postcodes: DataFrame) -> D
         c("LODGEMENT_DATE").alias("lodgement_date"),
         "ord",
     )
-    near = rows.join(postcodes.select("postcode_clean"), "postcode_clean", "left_semi").where("full_address is not null")
-    columns = [n for n in near.columns if n != "full_address"]
-    latest = near.groupBy("full_address").agg(F.max_by(F.struct(*columns), F.struct(F.coalesce("lodgement_date", F.lit("")), "ord")).alias("x")).select("full_address", "x.*")
-    return latest.join(postcodes.select("postcode_clean", "latitude", "longitude"), "postcode_clean", "left")
+    near = of_postcodes(rows, postcodes).where("full_address is not null")
+    latest = latest_of(near, "full_address", F.coalesce("lodgement_date", F.lit("")), F.col("ord"))
+    return with_coordinates(latest, postcodes)
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
@@ -109,7 +136,7 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     raw = _strings(spark, path, ["Station", "Latitude", "Longitude", "Zone"])
     zone = T.clean_text(F.col("Zone"))
     whole = F.regexp_replace(zone, r"^(\d+)\.0$", "$1")
-    rows = raw.select(F.monotonically_increasing_id().alias("src_ord"), T.clean_text(F.col("Station")).alias("name"), whole.alias("zone"), to_double(F.col("Latitude")).alias("latitude"), to_double(F.col("Longitude")).alias("longitude"))
+    rows = raw.select(F.col("ord").alias("src_ord"), T.clean_text(F.col("Station")).alias("name"), whole.alias("zone"), to_double(F.col("Latitude")).alias("latitude"), to_double(F.col("Longitude")).alias("longitude"))
     usable = rows.where("name is not null and latitude is not null and longitude is not null")
     return usable if usable.limit(LEAST_STATIONS).count() == LEAST_STATIONS else usable.where("false")
 
@@ -119,18 +146,18 @@ def read_schools(spark: SparkSession, path: str, postcodes: DataFrame) -> DataFr
     raw = _strings(spark, path, ["EstablishmentName", "PhaseOfEducation (name)", "Postcode", "EstablishmentStatus (name)", "GOR (name)"], encoding="ISO-8859-1")
     is_ = lambda c, v: F.upper(F.trim(f"`{c}`")) == v
     rows = raw.where(is_("EstablishmentStatus (name)", "OPEN") & is_("GOR (name)", "LONDON")).select(
-        F.monotonically_increasing_id().alias("src_ord"), T.clean_text(F.col("EstablishmentName")).alias("name"), T.school_type(F.col("`PhaseOfEducation (name)`")).alias("school_type"), T.clean_postcode(F.col("Postcode")).alias("postcode_clean")
+        F.col("ord").alias("src_ord"), T.clean_text(F.col("EstablishmentName")).alias("name"), T.school_type(F.col("`PhaseOfEducation (name)`")).alias("school_type"), T.clean_postcode(F.col("Postcode")).alias("postcode_clean")
     )
-    return rows.where("name is not null").join(postcodes.select("postcode_clean", "latitude", "longitude"), "postcode_clean")
+    return with_coordinates(rows.where("name is not null"), postcodes, "inner")
 
 
 def read_hospitals(spark: SparkSession, path: str, postcodes: DataFrame) -> DataFrame:
     """Hospitals under any of their column names; where either coordinate lacks, both are the postcode's."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = with_order(spark.read.option("header", True).csv(path))
     by_name = {c.strip().lower(): c for c in raw.columns}
     column = {k: next((F.col(f"`{by_name[n]}`") for n in names if n in by_name), F.lit(None).cast("string")) for k, names in HOSPITAL_NAMES.items()}
-    rows = raw.select(F.monotonically_increasing_id().alias("src_ord"), T.clean_text(column["name"]).alias("name"), T.clean_postcode(column["postcode"]).alias("postcode_clean"), to_double(column["latitude"]).alias("own_lat"), to_double(column["longitude"]).alias("own_lon"))
-    joined = rows.where("name is not null").join(postcodes.select("postcode_clean", "latitude", "longitude"), "postcode_clean", "left")
+    rows = raw.select(F.col("ord").alias("src_ord"), T.clean_text(column["name"]).alias("name"), T.clean_postcode(column["postcode"]).alias("postcode_clean"), to_double(column["latitude"]).alias("own_lat"), to_double(column["longitude"]).alias("own_lon"))
+    joined = with_coordinates(rows.where("name is not null"), postcodes)
     own: Column = F.col("own_lat").isNotNull() & F.col("own_lon").isNotNull()
     placed = joined.select("src_ord", "name", F.when(own, F.col("own_lat")).otherwise(F.col("latitude")).alias("latitude"), F.when(own, F.col("own_lon")).otherwise(F.col("longitude")).alias("longitude"))
     return placed.where("latitude is not null and longitude is not null")
@@ -141,8 +168,7 @@ def read_crime(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_postcode_areas(spark: SparkSession, path: str) -> DataFrame:
-    raw = _strings(spark, path, ["pcd", "lsoa11"])
-    return enrichment.area_of_postcode(raw.withColumn("ord", F.monotonically_increasing_id()))
+    return enrichment.area_of_postcode(_strings(spark, path, ["pcd", "lsoa11"]))
 
 
 def read_price_index(spark: SparkSession, path: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +14,12 @@ from ..functions.text import any_prefix, clean_postcode
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """What the cluster names in spark.checkpoint.dir. A local session without one gets
+    its own; elsewhere a folder of one machine would lose data, so one has to be named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +66,27 @@ def export_subset(table: DataFrame, path: str, prefixes: Sequence[str], column:
     return table.sparkSession.read.parquet(path).count()
 
 
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
+    """A processed table: read where it is there, made and written where it isn't or
+    where a refresh is asked for."""
+    if refresh or not _is_written(spark, path):
+        write_table(make(), path)
+    return spark.read.parquet(path)
+
+
+def _is_written(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+def table_or_file(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The processed file where there is one, else the table of that name."""
+    return spark.read.parquet(path) if _is_written(spark, path) else spark.table(name)
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
 

@@ -27,9 +27,9 @@ def test_matching_sees_all_sales(spark):
 
 
 def test_all_schools_and_the_whole_fold(spark):
-    assert proxy(spark, SF, "all_schools").count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    assert proxy(spark, SF, "schools").count() == spark.read.parquet(f"{SF}/part.parquet").count()
     held = spark.read.parquet(f"{SF}/embeddings.parquet").where(F.col("vec_id") % 5 == 0).count()
-    assert QUERIES["ml2_knn_all"](spark, SF).count() == held
+    assert QUERIES["ml2_knn"](spark, SF).count() == held
 
 
 def test_valuation_features_match_brute_force(spark):
@@ -68,7 +68,7 @@ def test_valuation_features_match_brute_force(spark):
 
     cell = lambda x: math.floor(x / 0.02)
     km = lambda a, b, c, d: 6371 * 2 * math.asin(math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2))
-    for view, column in (("hospitals", "nearest_hospital_distance_km"), ("all_schools", "nearest_school_distance_km")):
+    for view, column in (("hospitals", "nearest_hospital_distance_km"), ("schools", "nearest_school_distance_km")):
         places = [(q["latitude"], q["longitude"]) for q in proxy(spark, SF, view).collect()]
         for p in props:
             a, b = p["latitude"], p["longitude"]
