@@ -34,7 +34,7 @@ _IRREGULAR = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 #: Signs that end words and form one pre-token together; none starts a contraction.
 PUNCTUATION = ".,;:!?*&%#$|"
 #: Bytes of one generation of a cache of words; a worker keeps two.
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 100_000_000
 _FOREVER = 1 << 60
 #: Makes bytes of so many ids.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
@@ -135,7 +135,7 @@ class Encoder:
         self.shorter = [-1] * len(vocab.token)  # a token's longest proper prefix in the vocabulary
         for text, i in vocab.ids.items():
             self.shorter[i] = next((vocab.ids[text[:k]] for k in range(len(text) - 1, 0, -1) if text[:k] in vocab.ids), -1)
-        self.fits = BoundedCache(self._compatible, CACHE_BYTES)
+        self.fits = BoundedCache(self._compatible, 3 * CACHE_BYTES // 2)
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether merges leave the border between two tokens alone. The two

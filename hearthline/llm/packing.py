@@ -30,7 +30,7 @@ WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
 GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 2_000
 #: Bytes of one generation of the cache of chunks; a worker keeps two. Longer chunks are not kept.
-CACHE_BYTES, LONGEST_CHUNK = 80_000_000, 64
+CACHE_BYTES, LONGEST_CHUNK = 130_000_000, 64
 #: Texts whose unknown chunks are learned together.
 TEXTS_AT_A_TIME = 128
 PUNCTUATION = ".,;:!?*&%#$|"
