@@ -16,11 +16,33 @@ from ..functions.text import format_distance, or_null
 SALE_FLOOR = 0.9
 #: The features that a model reads.
 NUMERIC = (
-    "base_estimator_prediction floor_area energy_efficiency latitude longitude postcode_average_price postcode_average_per_sqm nearest_station_distance_km "
-    "nearest_school_distance_km nearest_primary_school_distance_km nearest_secondary_school_distance_km nearby_primary_schools_1km nearby_secondary_schools_2km "
-    "crime_total_12m crime_avg_monthly_12m london_hpi_current_index london_hpi_annual_change_pct"
-).split()
-CATEGORICAL = "epc_rating built_form property_subtype postcode_sector nearest_station_zone nearest_school_type crime_level".split()
+    "base_estimator_prediction",
+    "floor_area",
+    "energy_efficiency",
+    "latitude",
+    "longitude",
+    "postcode_average_price",
+    "postcode_average_per_sqm",
+    "nearest_station_distance_km",
+    "nearest_school_distance_km",
+    "nearest_primary_school_distance_km",
+    "nearest_secondary_school_distance_km",
+    "nearby_primary_schools_1km",
+    "nearby_secondary_schools_2km",
+    "crime_total_12m",
+    "crime_avg_monthly_12m",
+    "london_hpi_current_index",
+    "london_hpi_annual_change_pct",
+)
+CATEGORICAL = (
+    "epc_rating",
+    "built_form",
+    "property_subtype",
+    "postcode_sector",
+    "nearest_station_zone",
+    "nearest_school_type",
+    "crime_level",
+)
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
-#: Raw CSV columns by position (sold prices have no header) or by name.
-RAW_SALES = ", ".join(f"{c} string" for c in "transaction_id price transfer_date postcode property_type new_build_flag tenure paon saon street locality town_city district county ppd_category record_status".split())
+#: Columns of the raw files, by position (sold prices have no header) or by name.
+SALES_COLUMNS = (
+    "transaction_id",
+    "price",
+    "transfer_date",
+    "postcode",
+    "property_type",
+    "new_build_flag",
+    "tenure",
+    "paon",
+    "saon",
+    "street",
+    "locality",
+    "town_city",
+    "district",
+    "county",
+    "ppd_category",
+    "record_status",
+)
+RAW_SALES = ", ".join(f"{c} string" for c in SALES_COLUMNS)
 RAW_POSTCODES = "pcd string, pcds string, oslaua string, lat string, long string, lsoa11 string"
 RAW_CERTIFICATES = ("POSTCODE", "ADDRESS1", "ADDRESS", "POSTTOWN", "LOCAL_AUTHORITY_LABEL", "CURRENT_ENERGY_RATING", "TOTAL_FLOOR_AREA", "CURRENT_ENERGY_EFFICIENCY", "BUILT_FORM", "PROPERTY_TYPE", "LODGEMENT_DATE")
 
+#: Columns of the engine's tables.
 POSTCODES = "id long, postcode string, postcode_with_space string, postcode_clean string, local_authority_code string, latitude double, longitude double"
 SALES = "id long, transaction_id string, postcode string, postcode_clean string, house_number string, building_name string, unit string, street string, locality string, town_city string, district string, county string, full_address string, price long, transfer_date string, property_type string, new_build_flag string, tenure string"
 CERTIFICATES = "id long, postcode string, postcode_clean string, address1 string, address string, posttown string, local_authority string, full_address string, house_number string, epc_rating string, floor_area double, energy_efficiency double, built_form string, property_subtype string, lodgement_date string, latitude double, longitude double"
