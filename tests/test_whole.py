@@ -6,9 +6,12 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from hearthline.operators.comparables import comparable_estimates
+from hearthline.operators.valuation import estimates
 from hearthline.plans.proxies import AS_OF, proxy
 from hearthline.plans.queries import QUERIES
 from hearthline.plans.valuation_run import proxy_features
+from hearthline.sources.tables import staged
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +87,51 @@ def test_valuation_features_match_brute_force(spark):
             total[r["postcode_sector"]] = total.get(r["postcode_sector"], 0) + w * r["last_sold_price"]
             weight[r["postcode_sector"]] = weight.get(r["postcode_sector"], 0) + w
     assert all(abs(r["postcode_average_price"] - total[r["postcode_sector"]] / weight[r["postcode_sector"]]) < 1e-4 for r in got.values() if r["postcode_sector"] in weight)
+
+
+def test_estimates_match_brute_force(spark):
+    """Every price again from its features: comparables over all pairs, then the rules one by one."""
+    features = staged(proxy_features(spark, SF), "features")
+    rows = features.collect()
+    sold = [r for r in rows if (r["floor_area"] or 0) > 10 and (r["indexed_last_sold_price"] or 0) > 50_000]
+
+    def comparable(t):
+        if not (t["floor_area"] or 0) > 0:
+            return None
+        near = [r for r in sold if r["id"] != t["id"] and r["postcode_clean"] == t["postcode_clean"]]
+        if len(near) < 2 and t["postcode_sector"]:
+            near = [r for r in sold if r["id"] != t["id"] and r["postcode_sector"] == t["postcode_sector"]]
+        gap = lambda r: abs(r["floor_area"] - t["floor_area"]) / max(t["floor_area"], 1) + 0.25 * (r["property_subtype"] != t["property_subtype"])
+        best = sorted(near, key=lambda r: (gap(r), r["id"]))[:3]
+        return sum(r["indexed_last_sold_price"] / r["floor_area"] for r in best) / len(best) * t["floor_area"] if best else None
+
+    def price(t):
+        base = t["postcode_average_per_sqm"] * t["floor_area"] if (t["floor_area"] or 0) > 0 and t["postcode_average_per_sqm"] is not None else None
+        anchor, near = t["indexed_last_sold_price"] or t["last_sold_price"] or None, comparable(t)
+        if base is not None and anchor is not None:
+            days = (AS_OF - datetime.date.fromisoformat(t["last_transfer_date"])).days
+            w = next((x for limit, x in ((365, 0.9), (1095, 0.85), (1825, 0.8), (2920, 0.75)) if days <= limit), 0.65)
+            apart = max(base, anchor) / min(base, anchor)
+            w = max(w, 0.85) if apart >= 1.8 else max(w, 0.8) if apart >= 1.35 else w
+            value = max((1 - w) * (base if near is None else 0.7 * near + 0.3 * base) + w * anchor, 0.9 * anchor)
+        elif anchor is not None:
+            value = anchor
+        elif base is not None:
+            value = base if near is None else 0.75 * near + 0.25 * base
+        else:
+            value = t["postcode_average_price"]
+        if value is None:
+            return None
+        value *= {"A": 1.03, "B": 1.03, "F": 0.97, "G": 0.97}.get(t["epc_rating"], 1)
+        km = t["nearest_station_distance_km"]
+        value *= 1.02 if km <= 0.5 else 1.01 if km <= 1 else 0.99 if km >= 2 else 1
+        value *= 1.01 ** ((t["nearby_primary_schools_1km"] >= 3) + (t["nearby_secondary_schools_2km"] >= 2))
+        return value * {"LOW": 1.01, "HIGH": 0.98}.get(t["crime_level"], 1)
+
+    got = {r["id"]: r for r in estimates(features, comparable_estimates(features), AS_OF).collect()}
+    assert set(got) == {t["id"] for t in rows}
+    for t in rows:
+        want = price(t)
+        assert (want is None) == (got[t["id"]]["estimated_price"] is None)
+        assert want is None or abs(got[t["id"]]["estimated_price"] - want) <= 0.501
+        assert want is None or abs(got[t["id"]]["price_min"] - 0.95 * got[t["id"]]["estimated_price"]) <= 0.501
