@@ -23,16 +23,26 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return moved.where("a < b").distinct()
 
 
+def _rows_and_loose(edges: DataFrame) -> tuple[int, int]:
+    """The number of edges, and of nodes that keep them from being stars: those
+    below two others, or both below and above another."""
+    above = edges.select(F.col("a").alias("node"), F.lit(1).alias("above"), F.lit(0).alias("below"))
+    below = edges.select(F.col("b").alias("node"), F.lit(0).alias("above"), F.lit(1).alias("below"))
+    roles = above.unionAll(below).groupBy("node").agg(F.max("above").alias("above"), F.sum("below").alias("below"))
+    loose = (F.col("below") > 1) | ((F.col("below") == 1) & (F.col("above") == 1))
+    rows, found = roles.agg(F.coalesce(F.sum("below"), F.lit(0)), F.count_if(loose)).first()
+    return rows, found
+
+
 def component_labels(links: DataFrame) -> DataFrame:
     """node and label (the smallest node that it reaches) of every node in links
     (a, b) other than the smallest of its component. Large and small stars
-    alternate until nothing changes, a logarithmic number of times; each result is
-    a table in the shared folder. Self-links, repeated links and nulls don't matter."""
-    edges = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    before, rows = None, edges.count()
+    alternate until every node has one node above it and none has both, a
+    logarithmic number of times; each result is a table in the shared folder.
+    Self-links, repeated links and nulls don't matter."""
+    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     while True:
-        edges = materialize(_star(_star(edges, True, 2 * rows), False, 2 * rows), "stars")
-        now = edges.agg(F.count("*"), F.countDistinct("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or now[0] == 0:
+        rows, loose = _rows_and_loose(edges)
+        if not loose:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label"))
-        before, rows = now, now[0]
+        edges = materialize(_star(_star(edges, True, 2 * rows), False, 2 * rows), "stars")
