@@ -76,6 +76,12 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_bpe import ranked_digests
+
+    return ranked_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_counts": op9_token_counts,
     "op10_licence_scan": op10_licence_scan,
+    "op11_ranked_round_trip": op11_ranked_round_trip,
 }
 
 _NEAR_DUPLICATES = r"""
