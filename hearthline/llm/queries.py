@@ -82,6 +82,12 @@ def op11_ranked_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_digests(read_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit_sources
+
+    return audit_sources(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_licence_scan": op10_licence_scan,
     "op11_ranked_round_trip": op11_ranked_round_trip,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 _NEAR_DUPLICATES = r"""
@@ -112,5 +119,28 @@ least_of AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_i
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN least_of USING (doc_id)
 """
 
+_SOURCE_DIVERGENCE = r"""
+WITH docs AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS d,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT lang, source, d, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+found AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+vocab AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM groups LEFT JOIN found USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(f.n, 0) + 1)) // (s.total + v.v) AS HUGEINT) AS p,
+    CAST(1 + (1000000000::HUGEINT * (k.n + 1)) // (v.total + v.v) AS HUGEINT) AS q
+  FROM groups g JOIN kept k ON g.lang = k.lang JOIN vocab v ON g.lang = v.lang JOIN sums s ON g.lang = s.lang AND g.source = s.source
+    LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 #: Only what DuckDB can express as a whole.
-ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": _NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": _NEAR_DUPLICATES, "op12_source_divergence": _SOURCE_DIVERGENCE}
