@@ -88,6 +88,12 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licence_scan": op10_licence_scan,
     "op11_ranked_round_trip": op11_ranked_round_trip,
     "op12_source_divergence": op12_source_divergence,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _NEAR_DUPLICATES = r"""
@@ -142,5 +149,38 @@ ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+_CONVERSATION_TRIE = r"""
+WITH named AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, sha256(concat(length(role), ':', role, text)) AS k, length(text) AS size,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(length(role), ':', role, text)), 1, 32)) AS pos FROM named),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+      list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)),
+begun AS (SELECT c.conv_id, c.base, c.h, (SELECT count(*) FROM turns t WHERE t.conv_id = c.base AND t.pos <= c.h) AS n_base FROM convs c),
+rebuilt AS (
+  SELECT b.conv_id, t.pos AS d, k, size FROM begun b JOIN turns t ON t.conv_id = b.base AND t.pos <= b.h
+  UNION ALL SELECT b.conv_id, t.pos - b.h + b.n_base, k, size FROM begun b JOIN turns t ON t.conv_id = b.conv_id AND t.pos > b.h),
+seqs AS (
+  SELECT conv_id, coalesce(list(k ORDER BY d) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(size ORDER BY d) FILTER (k IS NOT NULL), []) AS sizes
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id),
+steps AS (SELECT conv_id, ks, sizes, unnest(range(0, len(ks) + 1)) AS d FROM seqs),
+path AS (SELECT conv_id, d, sha256(array_to_string(list_slice(ks, 1, d), '')) AS node, CASE WHEN d = 0 THEN 0 ELSE sizes[d] END AS size, d = len(ks) AS ended FROM steps),
+nodes AS (
+  SELECT node, d, min(conv_id) AS c, count(*) AS n, (count(*) - 1) * any_value(size) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends FROM path GROUP BY node, d),
+up AS (SELECT n.node, n.d, n.saved, p.node AS above, p.d AS above_d FROM nodes n JOIN path p ON p.conv_id = n.c AND p.d <= n.d),
+kids AS (SELECT above AS node, above_d AS d, count(*) AS n_children FROM up WHERE above_d = d - 1 GROUP BY ALL),
+sums AS (
+  SELECT above AS node, above_d AS d, sum(up.saved) AS saved, count(*) FILTER (kids.node IS NULL) AS n_leaves
+  FROM up LEFT JOIN kids ON kids.node = up.node AND kids.d = up.d GROUP BY ALL)
+SELECT n.c AS conv_id, n.d AS depth, p.c AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.d = n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d
+  LEFT JOIN up u ON u.node = n.node AND u.d = n.d AND u.above_d = n.d - 1 LEFT JOIN nodes p ON p.node = u.above AND p.d = u.above_d
+"""
+
 #: Only what DuckDB can express as a whole.
-ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": _NEAR_DUPLICATES, "op12_source_divergence": _SOURCE_DIVERGENCE}
+ORACLE_SQL: dict[str, str] = {"op5_near_duplicates": _NEAR_DUPLICATES, "op12_source_divergence": _SOURCE_DIVERGENCE, "op13_conversation_trie": _CONVERSATION_TRIE}
