@@ -89,7 +89,7 @@ def test_no_pair_explosion_in_plans(spark):
     p = spark.createDataFrame([(1, 51.5, 0.1)], "id long, latitude double, longitude double")
     q = spark.createDataFrame([(1, "a", 51.5, 0.1)], "src_ord long, name string, latitude double, longitude double")
     d, s = spark.createDataFrame([], DWELLING), spark.createDataFrame([], SALE)
-    for df in (spatial.places_in_window(p, q), matching.match_sales(d, s)):
+    for df in (spatial.nearest_place(p, q, ["name"]), matching.match_sales(d, s)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
 
