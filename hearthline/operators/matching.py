@@ -1,7 +1,9 @@
 """Linking dwellings with sales: exact core addresses first, then scored candidates.
 
-Joins are equi-joins on postcode and key; per dwelling only aggregates remain, so
-nothing is collected in one place and hot postcodes may be split by the planner.
+A score only depends on which parts of the address are equal, missing or different,
+so sales are summed up under each set of parts and dwellings look sets up: the
+rows of every join are some times the dwellings or the sales, however many of both a
+postcode has.
 """
 
 from __future__ import annotations
@@ -66,36 +68,85 @@ def choose_pools(dwellings: DataFrame, sold: DataFrame) -> DataFrame:
     return found.withColumn("pool", pool).withColumn("pool_key", key).drop("has_unit", "has_house")
 
 
-def _points(part: str, mine: Column, theirs: Column) -> Column:
-    equal, differs = POINTS[part]
-    return F.when(mine.isNotNull() & (mine == theirs), equal).when(mine.isNotNull() & theirs.isNotNull(), differs).otherwise(0)
+#: The parts that tell candidates apart: an equal core was matched before. Each has a bit in the masks below.
+PARTS = ("unit", "house", "street", "building")
+_ALL = (1 << len(PARTS)) - 1
 
 
-def match_score(mine, theirs) -> Column:
-    """mine and theirs: functions from a part's name to its column."""
-    total = F.lit(0)
-    for part in POINTS:
-        total = total + _points(part, mine(part), theirs(part))
-    return total
+def _points(mine: int, equal: int, nulls: int) -> int:
+    """The score of a sale whose parts in the mask equal are the dwelling's, whose parts
+    in nulls are missing and whose others differ; mine: the parts that the dwelling has."""
+    same, other = ([POINTS[p][i] for p in PARTS] for i in (0, 1))
+    return sum(same[b] if equal >> b & 1 else other[b] if mine & ~nulls & _ALL & 1 << b else 0 for b in range(len(PARTS)))
+
+
+def _submasks(mask: int) -> list[int]:
+    return [m for m in range(mask + 1) if m & ~mask == 0]
+
+
+def _asked_masks() -> list[tuple[str, int, int, int, int]]:
+    """pool, mine, equal, nulls and score of all that a dwelling may look up: what is
+    in its pool and scores enough. A sale found under fewer equal parts than it has
+    scores too little there, and is found with its own score elsewhere."""
+    unit, house = 1, 2
+    fits = {"U": lambda e: e & unit, "H": lambda e: e & house and not e & unit, "P": lambda e: not e & (unit | house)}
+    out = []
+    for mine in range(_ALL + 1):
+        for equal in _submasks(mine):
+            for nulls in _submasks(_ALL & ~equal):
+                score = _points(mine, equal, nulls)
+                out += [(pool, mine, equal, nulls, score) for pool, fit in fits.items() if score >= LEAST_SCORE and fit(equal)]
+    return out
+
+
+def _bits() -> Column:
+    """The parts that are there."""
+    return sum((F.when(F.col(p).isNotNull(), 1 << b).otherwise(0) for b, p in enumerate(PARTS)), F.lit(0))
+
+
+def _key(equal: Column) -> Column:
+    """The values of the parts in a mask."""
+    return F.concat_ws("\x01", *[F.when(equal.bitwiseAND(1 << b) > 0, F.col(p)) for b, p in enumerate(PARTS)])
+
+
+def _summary() -> list[Column]:
+    """Of sales that count alike: the latest (the first to arrive of equal dates), and the least and greatest address."""
+    address = F.coalesce("full_address", F.lit("\x00"))
+    return [F.max(F.struct("dkey", (-F.col("sale_id")).alias("back"))).alias("latest"), F.min(address).alias("low"), F.max(address).alias("high")]
+
+
+def sale_classes(sold: DataFrame) -> DataFrame:
+    """Sales of a postcode with the same parts are one class."""
+    return sold.where("postcode_clean is not null").groupBy("postcode_clean", *PARTS).agg(*_summary())
 
 
 def score_candidates(pooled: DataFrame, sold: DataFrame) -> DataFrame:
-    """id, sale_id, score, dkey and full_address of every candidate in the dwelling's pool."""
-    views = F.array(*[F.struct(F.lit(p).alias("pool"), k.alias("pool_key")) for p, k in (("U", F.col("unit")), ("H", F.col("house")), ("P", F.lit("")))])
-    their = sold.withColumn("view", F.explode(F.filter(views, lambda v: v["pool_key"].isNotNull())))
-    their = their.select("postcode_clean", "view.pool", "view.pool_key", "sale_id", "full_address", "dkey", *[F.col(p).alias(f"sold_{p}") for p in POINTS])
-    return pooled.join(their, ["postcode_clean", "pool", "pool_key"]).select(
-        "id", "sale_id", match_score(F.col, lambda p: F.col(f"sold_{p}")).alias("score"), "dkey", "full_address"
-    )
+    """id and, for each score of candidates in the dwelling's pool that is enough, the
+    latest sale and the least and greatest address. No dwelling meets single sales:
+    classes are summed up under each set of parts that might be equal, and a dwelling
+    looks up the few sets that would score enough for it."""
+    asked = _asked_masks()
+    worth = sorted({equal for _, _, equal, _, _ in asked})
+    classes = sale_classes(sold).withColumn("nulls", F.lit(_ALL) - _bits())
+    views = classes.withColumn("equal", F.explode(F.filter(F.array(*map(F.lit, worth)), lambda e: e.bitwiseAND(F.col("nulls")) == 0)))
+    summed = [F.max("latest").alias("latest"), F.min("low").alias("low"), F.max("high").alias("high")]
+    keyed = views.withColumn("key", _key(F.col("equal"))).groupBy("postcode_clean", "nulls", "equal", "key").agg(*summed)
+    masks = pooled.sparkSession.createDataFrame(asked, "pool string, mine int, equal int, nulls int, score int")
+    lookups = pooled.withColumn("mine", _bits()).join(F.broadcast(masks), ["pool", "mine"])  # a few hundred rows, whatever the data
+    met = lookups.withColumn("key", _key(F.col("equal"))).select("id", "score", "postcode_clean", "nulls", "equal", "key").join(keyed, ["postcode_clean", "nulls", "equal", "key"])
+    return met.groupBy("id", "score").agg(*summed)
+
+
+def best_of_scores(by_score: DataFrame) -> DataFrame:
+    """id, sale_id and score of the best candidate; none where the best score is too
+    low or stands for several addresses. From one row for each id and score."""
+    best = by_score.groupBy("id").agg(F.max_by(F.struct("low", "high", "latest"), "score").alias("x"), F.max("score").alias("score"))
+    return best.where((F.col("score") >= LEAST_SCORE) & (F.col("x.low") == F.col("x.high"))).select("id", (-F.col("x.latest.back")).alias("sale_id"), "score")
 
 
 def best_candidates(scored: DataFrame) -> DataFrame:
-    """id, sale_id and score of the best candidate: the latest, then the first to
-    arrive; none where the best score is too low or stands for several addresses."""
-    address = F.coalesce("full_address", F.lit("\x00"))
-    by_score = scored.groupBy("id", "score").agg(F.min(address).alias("low"), F.max(address).alias("high"), F.max_by("sale_id", F.struct("dkey", -F.col("sale_id"))).alias("sale_id"))
-    best = by_score.groupBy("id").agg(F.max_by(F.struct("low", "high", "sale_id"), "score").alias("x"), F.max("score").alias("score"))
-    return best.where((F.col("score") >= LEAST_SCORE) & (F.col("x.low") == F.col("x.high"))).select("id", "x.sale_id", "score")
+    """The same from single candidates: id, sale_id, score, dkey and full_address."""
+    return best_of_scores(scored.groupBy("id", "score").agg(*_summary()))
 
 
 def match_counts(matched: DataFrame) -> DataFrame:
@@ -109,7 +160,7 @@ def match_sales(certificates: DataFrame, sales: DataFrame) -> DataFrame:
     # text is normalised once for each side; all the joins below start from these tables
     dwellings, sold = staged(describe_dwellings(certificates), "dwellings"), staged(describe_sales(sales), "sold")
     exact = staged(dwellings.join(latest_sale_by_core(sold), ["postcode_clean", "core"], "left"), "exact")
-    scored = best_candidates(score_candidates(choose_pools(exact.where("exact_id is null and postcode_clean is not null").drop("exact_id"), sold), sold))
+    scored = best_of_scores(score_candidates(choose_pools(exact.where("exact_id is null and postcode_clean is not null").drop("exact_id"), sold), sold))
     both = exact.select("id", "exact_id").join(scored.withColumnRenamed("sale_id", "scored_id"), "id", "left")
     kind = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("scored_id").isNotNull(), "scored")
     return both.select("id", F.coalesce("exact_id", "scored_id").alias("sale_id"), kind.alias("match_kind"))
