@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 #: Rows of a block of queries or of training rows.
 BLOCK = 4096
+#: Rows of a stratum that are ranked together, about.
+RANGE_ROWS = 200_000
 EPSILON = 1e-6
 
 
@@ -117,11 +119,27 @@ def regression_metrics(rows: DataFrame, y: str, prediction: str) -> DataFrame:
     )
 
 
+def with_places(rows: DataFrame, key: str, stratum: str) -> DataFrame:
+    """The rows with place, from 1 in the order of hashes within their stratum, and n,
+    the stratum's rows. Strata are cut into ranges of hashes of bounded size; a range
+    counts its own rows and adds what the ranges before it hold, so that no task
+    ranks a stratum, however large. Null is a stratum like any other."""
+    ranges = 2 * max(1, math.ceil(rows.count() / RANGE_ROWS))  # hashes of negative keys are negative
+    hashed, _ = hash_order(F.col(key))
+    cut = rows.withColumn("_hash", hashed).withColumn("_range", F.expr(f"(_hash + 4294967296) * {ranges} div 8589934592"))
+    counts = cut.groupBy(F.col(stratum).alias("_stratum"), F.col("_range").alias("_at")).agg(F.count("*").alias("_here"))
+    earlier = F.coalesce(F.sum("_here").over(Window.partitionBy("_stratum").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_stratum", "_at", earlier.alias("_before"), F.sum("_here").over(Window.partitionBy("_stratum")).alias("n"))
+    within = F.row_number().over(Window.partitionBy(stratum, "_range").orderBy("_hash", key))
+    same = F.col(stratum).eqNullSafe(F.col("_stratum")) & F.col("_range").eqNullSafe(F.col("_at"))
+    placed = cut.withColumn("_within", within).join(starts, same).withColumn("place", F.col("_before") + F.col("_within"))
+    return placed.select(*rows.columns, "place", "n")
+
+
 def three_way_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """The rows with part: train, validation or test, by quota within each stratum;
     strata of fewer than three all train."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*hash_order(F.col(key))))
-    counted = rows.withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy(stratum)))
+    counted = with_places(rows, key, stratum)
     first = F.greatest(F.lit(1), F.bround(F.col("n") * train, 0).cast("int"))
     second = F.greatest(F.lit(1), F.bround(F.col("n") * validation, 0).cast("int"))
     over = first + second >= F.col("n")
@@ -132,8 +150,8 @@ def three_way_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7,
 
 def stratified_folds(rows: DataFrame, key: str, stratum: str, folds: int = 4) -> DataFrame:
     """The rows with fold, dealt in turn within each stratum."""
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*hash_order(F.col(key))))
-    return rows.withColumn("fold", ((place - 1) % folds).cast("int"))
+    dealt = with_places(rows, key, stratum)
+    return dealt.withColumn("fold", ((F.col("place") - 1) % folds).cast("int")).drop("place", "n")
 
 
 def stratified_sample(rows: DataFrame, key: str, stratum: str, most: int) -> DataFrame:
@@ -141,8 +159,7 @@ def stratified_sample(rows: DataFrame, key: str, stratum: str, most: int) -> Dat
     total = rows.count()
     if most <= 0 or total <= most:
         return rows
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(*hash_order(F.col(key))))
-    counted = rows.withColumn("place", place).withColumn("n", F.count("*").over(Window.partitionBy(stratum)))
+    counted = with_places(rows, key, stratum)
     quota = F.greatest(F.lit(1), F.bround(F.col("n") * most / total, 0).cast("int"))
     over = counted.withColumn("over", F.col("place") > quota)
     return over.orderBy("over", *hash_order(F.col(key))).limit(most).drop("place", "n", "over")
@@ -160,13 +177,14 @@ def best_weight(sweep: DataFrame) -> DataFrame:
     return sweep.agg(F.min_by("forest_weight", F.struct("mape", "forest_weight")).alias("forest_weight"), F.min("mape").alias("mape"))
 
 
-def fit_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 8, leaf: int = 2, seed: int = 42):
-    """A bagged forest on the logarithm of the label; a depth of 0 means the deepest there is."""
+def fit_forest(train: DataFrame, features: Sequence[str], label: str, trees: int = 20, depth: int = 8, leaf: int = 2, seed: int = 42, tried: int = 0):
+    """A bagged forest on the logarithm of the label; a depth of 0 means the deepest there
+    is. tried: features that a node chooses from, 0 for the usual share."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     ready = VectorAssembler(inputCols=list(features), outputCol="vec").transform(train).withColumn("log_label", F.log1p(label))
-    return RandomForestRegressor(featuresCol="vec", labelCol="log_label", numTrees=trees, maxDepth=depth or 30, minInstancesPerNode=leaf, featureSubsetStrategy="auto", seed=seed).fit(ready)
+    return RandomForestRegressor(featuresCol="vec", labelCol="log_label", numTrees=trees, maxDepth=depth or 30, minInstancesPerNode=leaf, featureSubsetStrategy=str(tried) if tried else "auto", seed=seed).fit(ready)
 
 
 def _with_trees(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -198,7 +216,11 @@ def prefix_errors(model, rows: DataFrame, features: Sequence[str], label: str, s
     return ready.select("y", F.explode(each).alias("x")).groupBy("x.trees").agg(mape(F.col("y"), F.col("x.p")).alias("mape"))
 
 
-def stop_early(errors: Sequence[tuple[int, float]], patience: int = 3, least: float = 0.002) -> int:
+#: What counts as an improvement of an error, and rounds to wait for one.
+LEAST_GAIN, WAIT = 0.002, 3
+
+
+def stop_early(errors: Sequence[tuple[int, float]], patience: int = WAIT, least: float = LEAST_GAIN) -> int:
     """The number of trees at the best error before patience ran out."""
     best, kept, waited = math.inf, 0, 0
     for trees, error in errors:

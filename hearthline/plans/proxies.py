@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import shared_folder
+from ..sources.tables import shared_folder, write_ordered_csv
 
 AS_OF = datetime.date(2001, 8, 1)
 
@@ -148,8 +148,7 @@ def wide_crime(spark, sf_dir) -> DataFrame:
 
 
 def raw_file(spark: SparkSession, sf_dir: str, name: str, folder: str | None = None, header: bool = True) -> str:
-    """A raw file made of its view, one file so that rows arrive in the order of their ids; its folder."""
+    """Raw files made of a view, ordered so that rows arrive in the order of their ids; their folder."""
     path = folder or f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    rows = proxy(spark, sf_dir, name)
-    rows.coalesce(1).sortWithinPartitions("id").drop("id").write.option("header", header).csv(path)
+    write_ordered_csv(proxy(spark, sf_dir, name), path, "id", header=header)
     return path

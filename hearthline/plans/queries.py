@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import EngineConfig
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
@@ -713,7 +715,7 @@ def _neighbour_grid(spark, sf_dir, chosen: str) -> DataFrame:
     return learning.score_of_k(near, asked, NEIGHBOURS).select("k", _r(F.col("mape")).alias("mape"))
 
 
-@query("WITH q AS (SELECT a.vec_id AS id, a.label AS actual, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM q), k AS (SELECT unnest([2, 3, 5, 7, 9, 12, 15, 20, 25]) AS k), p AS (SELECT id, k, any_value(actual) AS actual, sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS p FROM r, k WHERE n <= k GROUP BY id, k) SELECT k, round(avg(abs(actual - p) / greatest(actual, 1)), 6) AS mape FROM p GROUP BY k")
+@query("WITH q AS (SELECT a.vec_id AS id, a.label AS actual, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS n FROM q), k AS (SELECT unnest([2, 3, 4, 5, 7, 9, 12, 15, 25]) AS k), p AS (SELECT id, k, any_value(actual) AS actual, sum(y / (d + 1e-6)) / sum(1 / (d + 1e-6)) AS p FROM r, k WHERE n <= k GROUP BY id, k) SELECT k, round(avg(abs(actual - p) / greatest(actual, 1)), 6) AS mape FROM p GROUP BY k")
 def ml10_neighbour_grid(spark, sf_dir):
     return _neighbour_grid(spark, sf_dir, "vec_id % 5 = 0")
 
@@ -765,6 +767,39 @@ def src3_sales(spark, sf_dir):
     return found.select("transaction_id", "price", "transfer_date", "house_number", "building_name", "unit", "full_address")
 
 
+_PREFIXED = _KNOWN_POSTCODES.replace("WHERE n = 1)", "WHERE n = 1 AND (starts_with(postcode_clean, 'SW3') OR starts_with(postcode_clean, 'SW5') OR starts_with(postcode_clean, 'SW7')))")
+_RAW_SALES = """,
+    s AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY id) AS n FROM raw_sales
+      WHERE record_status = 'a' AND price <> 'n/a' AND upper(replace(postcode, ' ', '')) IN (SELECT postcode_clean FROM known))"""
+
+
+@query(with_proxies("raw_postcodes raw_sales", _PREFIXED + _RAW_SALES + " SELECT transaction_id, upper(replace(postcode, ' ', '')) AS postcode_clean, CAST(trunc(CAST(price AS DOUBLE)) AS BIGINT) AS price, transfer_date FROM s WHERE n = 1"))
+def src5_read_through(spark, sf_dir):
+    """Sales of some districts, where a run over all of them came first and a build of the table broke off."""
+    from .raw_run import Processed
+
+    folder = f"{tables.shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    raw_file(spark, sf_dir, "raw_postcodes", f"{folder}/postcodes.csv")
+    raw_file(spark, sf_dir, "raw_sales", f"{folder}/sales", header=False)
+    Processed(spark, folder, EngineConfig(AS_OF, ())).sales()
+    some = Processed(spark, folder, EngineConfig(AS_OF, PREFIXES))
+    some.postcodes()
+    return some.sales().select("transaction_id", "postcode_clean", "price", "transfer_date")
+
+
+@query(with_proxies("raw_postcodes", """
+    , k AS (SELECT id, upper(replace(pcd, ' ', '')) AS postcode_clean, oslaua FROM raw_postcodes)
+    SELECT id, postcode_clean, oslaua, left(postcode_clean, length(postcode_clean) - 3) AS outward FROM k
+    WHERE starts_with(postcode_clean, 'SW3') OR starts_with(postcode_clean, 'SW5') OR starts_with(postcode_clean, 'SW7')"""))
+def snk11_export(spark, sf_dir):
+    """What an export of two tables wrote, read back."""
+    rows = proxy(spark, sf_dir, "raw_postcodes").select("id", T.clean_postcode(F.col("pcd")).alias("postcode_clean"), "oslaua")
+    folder = f"{tables.shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    tables.export_subsets({f"{folder}/postcodes": rows.select("id", "postcode_clean"), f"{folder}/authorities": rows}, PREFIXES)
+    both = [spark.read.parquet(f"{folder}/{name}") for name in ("postcodes", "authorities")]
+    return both[0].join(both[1].drop("outward"), ["id", "postcode_clean"]).select("id", "postcode_clean", "oslaua", "outward")
+
+
 @query(with_proxies("raw_postcodes raw_certificates", _KNOWN_POSTCODES + """,
     c AS (SELECT *, upper(replace(POSTCODE, ' ', '')) AS key, coalesce(nullif(ADDRESS, ''), ADDRESS1) AS said FROM raw_certificates),
     f AS (SELECT *, concat(said, ', LONDON, ', POSTCODE) AS full_address FROM c WHERE key IN (SELECT postcode_clean FROM known)),

@@ -2,14 +2,17 @@
 and predictions by what was saved.
 
 Neighbours are ranked once for each fold up to the largest k; forests are grown
-once and cut off where more trees stop helping. Both models learn the logarithm of
+once for each fold and cut off where more trees stop helping; what is chosen is chosen
+on folds of the training part, so that the validation part is new to the weights. Both models learn the logarithm of
 the price. An artifact holds all that serving needs: the forest, the training rows
 as vectors, the statistics and category codes, and what was found."""
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +28,9 @@ from ..sources.tables import staged
 
 #: Guards and grids of the search.
 LEAST_ROWS, FOLDS = 500, 4
-NEIGHBOURS = (2, 3, 5, 7, 9, 12, 15, 20, 25)
-DEPTHS, LEAVES, PATIENCE = (6, 10, 14, 18, 0), (2, 4, 8, 12), 10
+NEIGHBOURS = (2, 3, 4, 5, 7, 9, 12, 15, 25)
+DEPTHS, LEAVES, TRIED = (8, 11, 14, 18, 0), (2, 4, 8, 16), (6, 8, 12, 16)
+MOST_TREES, PATIENCE = 90, 10
 TARGET = "indexed_last_sold_price"
 
 
@@ -95,26 +99,39 @@ def search_neighbours(train: DataFrame, ks: Sequence[int] = NEIGHBOURS, folds: i
     return found.groupBy("k").agg(F.avg("mape").alias("mape")).orderBy("mape", "k")
 
 
-def _wide(rows: DataFrame, size: int) -> DataFrame:
-    return rows.select("id", "y", *[F.col("vec")[i].alias(f"f{i}") for i in range(size)])
-
-
-def search_forest(train: DataFrame, validation: DataFrame, size: int, depths=DEPTHS, leaves=LEAVES, trees: int = 90, patience: int = PATIENCE) -> dict:
-    """The best depth, leaf size and number of trees; the search ends when patience runs out."""
-    names, best, waited = [f"f{i}" for i in range(size)], None, 0
-    wide, held = staged(_wide(train, size), "train"), staged(_wide(validation, size), "validation")
-    for depth, leaf in [(d, n) for d in depths for n in leaves]:
-        model = learning.fit_forest(wide, names, "y", trees, depth, leaf)
-        errors = sorted((r["trees"], r["mape"]) for r in learning.prefix_errors(model, held, names, "y").collect())
-        kept = learning.stop_early(errors)
-        error = dict(errors)[kept]
-        if best is None or error < best["mape"]:
-            best, waited = {"mape": error, "depth": depth, "leaf": leaf, "trees": kept}, 0
+def _wide(rows: DataFrame, size: int, *keep: str) -> DataFrame:
+    return rows.select("id", "y", *keep, *[F.col("vec")[i].alias(f"f{i}") for i in range(size)])
+
+
+def forest_folds(train: DataFrame, size: int, folds: int = FOLDS) -> list[tuple[DataFrame, DataFrame]]:
+    """The rows to learn from and those held out, of every fold of the training part."""
+    dealt = staged(learning.stratified_folds(train, "id", "stratum", folds), "forest-folds")
+    wide = staged(_wide(dealt, size, "fold"), "forest-rows")
+    return [(wide.where(F.col("fold") != i), wide.where(F.col("fold") == i)) for i in range(folds)]
+
+
+def search_forest(train: DataFrame, size: int, depths=DEPTHS, leaves=LEAVES, tried=TRIED, trees: int = MOST_TREES, patience: int = PATIENCE, folds: int = FOLDS) -> dict:
+    """The depth, leaf size and number of features tried with the least mean error over
+    folds of the training part, each fold's forest cut off where more trees stop helping;
+    trees is the folds' mean. Configurations are taken in order until patience runs out
+    without a gain; the first of equal ones wins."""
+    names, found, best, waited = [f"f{i}" for i in range(size)], [], math.inf, 0
+    parts = forest_folds(train, size, folds)
+    for depth, leaf, some in itertools.product(depths, leaves, tried):
+        scores, kept = [], []
+        for fold, (learned, held) in enumerate(parts, 1):
+            model = learning.fit_forest(learned, names, "y", trees, depth, leaf, 42 + fold, some)
+            errors = sorted((r["trees"], r["mape"]) for r in learning.prefix_errors(model, held, names, "y").collect())
+            kept.append(learning.stop_early(errors))
+            scores.append(dict(errors)[kept[-1]])
+        found.append({"mape": round(sum(scores) / len(scores), 4), "depth": depth, "leaf": leaf, "tried": some, "trees": max(1, round(sum(kept) / len(kept)))})
+        if found[-1]["mape"] < best - learning.LEAST_GAIN:
+            best, waited = found[-1]["mape"], 0
         else:
             waited += 1
         if waited >= patience:
             break
-    return best
+    return min(found, key=lambda c: c["mape"])
 
 
 def train(spark: SparkSession, features: DataFrame, path: str, most_rows: int = 0, most_price: float = 50_000_000, **forest_search) -> dict:
@@ -129,9 +146,9 @@ def train(spark: SparkSession, features: DataFrame, path: str, most_rows: int =
     sets = {name: staged(prepared.vectors(part(name), "id", "y", "stratum"), name) for name in ("train", "validation", "test")}
     size = len(NUMERIC) + len(CATEGORICAL)
     k = search_neighbours(sets["train"]).first()["k"]
-    chosen = search_forest(sets["train"], sets["validation"], size, **forest_search)
+    chosen = search_forest(sets["train"], size, **forest_search)
     names = [f"f{i}" for i in range(size)]
-    model = learning.fit_forest(_wide(sets["train"], size), names, "y", chosen["trees"], chosen["depth"], chosen["leaf"])
+    model = learning.fit_forest(_wide(sets["train"], size), names, "y", chosen["trees"], chosen["depth"], chosen["leaf"], tried=chosen["tried"])
 
     def both(name: str) -> DataFrame:
         forest = learning.predict_forest(model, _wide(sets[name], size), names)

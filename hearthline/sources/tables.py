@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import any_prefix, clean_postcode
 
+#: Raised when the layout or the meaning of processed tables changes.
+TABLE_FORMAT = 1
+#: Files of an ordered table: their names have five digits.
+LEAST_FILES, MOST_FILES = 8, 100_000
+#: Rows of an exported file, at most.
+FILE_ROWS = 5_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """What the cluster names in spark.checkpoint.dir. A local session without one gets
@@ -59,19 +67,72 @@ def updated(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
 
 def export_subset(table: DataFrame, path: str, prefixes: Sequence[str], column: str = "postcode_clean") -> int:
     """Copies the rows of some postcode prefixes (all where there are none), parted by outward code; their number."""
-    postcode = clean_postcode(F.col(column))
-    kept = table.where(any_prefix(postcode, prefixes)) if prefixes else table
-    outward = F.when(F.length(postcode) > 3, F.left(postcode, F.length(postcode) - 3))
-    write_table(kept.withColumn("outward", outward), path, ["outward"], [column])
-    return table.sparkSession.read.parquet(path).count()
-
-
-def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """A processed table: read where it is there, made and written where it isn't or
-    where a refresh is asked for."""
-    if refresh or not _is_written(spark, path):
-        write_table(make(), path)
-    return spark.read.parquet(path)
+    return export_subsets({path: table}, prefixes, column)[path]
+
+
+def export_subsets(subsets: dict[str, DataFrame], prefixes: Sequence[str], column: str = "postcode_clean") -> dict[str, int]:
+    """Copies the rows of some postcode prefixes (all where there are none) of several
+    tables, by path, and their numbers. Rows are ranged by postcode, so that an outward
+    code has few files of bounded size in which postcodes are sorted, however many
+    rows it has; they are counted as they are written."""
+    counts = {}
+    for path, table in subsets.items():
+        postcode = clean_postcode(F.col(column))
+        kept = table.where(any_prefix(postcode, prefixes)) if prefixes else table
+        outward = F.when(F.length(postcode) > 3, F.left(postcode, F.length(postcode) - 3))
+        seen = Observation()
+        ranged = kept.withColumn("outward", outward).repartitionByRange("outward", column).sortWithinPartitions("outward", column)
+        observed = ranged.observe(seen, F.count(F.lit(1)).alias("rows"))
+        observed.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("outward").parquet(path)
+        counts[path] = seen.get["rows"]
+    return counts
+
+
+def write_ordered_csv(df: DataFrame, path: str, key: str, files: int = 0, header: bool = True) -> None:
+    """Writes rows in the order of key into many files, each by a task of its own: what
+    a file holds comes before what the next one does, and names carry that order, as
+    readers with an order of arrival expect. The key itself is not written."""
+    n = min(max(files, LEAST_FILES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), MOST_FILES)
+    df.repartitionByRange(n, key).sortWithinPartitions(key).drop(key).write.option("header", header).csv(path)
+
+
+def fingerprint(spark: SparkSession, inputs: Sequence[str], settings: object = None) -> str:
+    """What a table was made from: the paths, lengths and times of all files under the
+    inputs (listed by Spark, contents unread), and the settings. A missing input counts as such."""
+    seen: list[object] = [TABLE_FORMAT, settings]
+    for path in inputs:
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        except AnalysisException:
+            seen.append((path, None))
+            continue
+        each = F.xxhash64("path", "length", "modificationTime")
+        seen.append((path, *files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0)), F.bit_xor(each)).first()))
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:24]
+
+
+def _marked(spark: SparkSession, folder: str) -> str | None:
+    """Where a finished table is; None if none was finished."""
+    try:
+        row = spark.read.schema("data string").json(f"{folder}/marker").first()
+    except AnalysisException:
+        return None
+    return row and row["data"]
+
+
+def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False, version: str = "") -> DataFrame:
+    """A processed table of the given version (a fingerprint): read where it is there as
+    a whole, else, or where a refresh is asked for, made and written. Other versions
+    stay beside it; a build has a folder of its own, and a marker written last says
+    which one is the table, so that neither a broken build nor a running reader is
+    mistaken or disturbed."""
+    folder = f"{path}/{version or 'table'}"
+    data = None if refresh else _marked(spark, folder)
+    if data is None:
+        data = f"{folder}/data-{uuid.uuid4().hex}"
+        write_table(make(), data)
+        spark.createDataFrame([(data,)], "data string").coalesce(1).write.mode("overwrite").json(f"{folder}/marker")
+    return spark.read.parquet(data)
 
 
 def _is_written(spark: SparkSession, path: str) -> bool:

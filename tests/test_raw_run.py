@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearthline.config import EngineConfig
 from hearthline.operators import learning
 from hearthline.plans.proxies import AS_OF, proxy, raw_file
-from hearthline.plans.raw_run import features_from_files, value_files
+from hearthline.plans.raw_run import Processed, features_from_files, value_files
 from hearthline.sources import readers, tables
 
 SF = "/root/testdata/sf0.001"
@@ -27,19 +27,18 @@ def test_from_files_to_estimates(spark, tmp_path):
     config = EngineConfig(AS_OF, ())
     found = value_files(spark, f"file://{tmp_path}", config)
     rows = {r["id"]: r for r in found.collect()}
-    certificates = spark.read.parquet(f"{tmp_path}/processed/certificates")
+    kept = Processed(spark, f"file://{tmp_path}", config)
+    certificates = kept.certificates()
     assert len(rows) == certificates.count() == certificates.select("id").distinct().count() > 50
-    sales = {r["sale_id"]: r for r in spark.read.parquet(f"{tmp_path}/processed/sales").collect()}
+    sales = {r["sale_id"]: r for r in kept.sales().collect()}
     assert len(sales) > 300 and {r["price"] for r in sales.values()} >= {r["last_sold_price"] for r in rows.values()} - {None}
     matched = [r for r in rows.values() if r["match_kind"]]
     assert matched and all(r["estimated_price"] and r["explanations"] for r in matched)
     assert {r["crime_level"] for r in rows.values()} >= {"LOW", "HIGH"} and any(r["nearest_hospital_name"] for r in rows.values())
     assert any(r["indexed_last_sold_price"] for r in rows.values()) and any(r["nearest_school_name"] for r in rows.values())
-    before = spark.read.parquet(f"{tmp_path}/processed/features").inputFiles()
-    features_from_files(spark, f"file://{tmp_path}", config)
-    assert spark.read.parquet(f"{tmp_path}/processed/features").inputFiles() == before
-    features_from_files(spark, f"file://{tmp_path}", EngineConfig(AS_OF, (), refresh=True))
-    assert spark.read.parquet(f"{tmp_path}/processed/features").inputFiles() != before
+    before = features_from_files(spark, f"file://{tmp_path}", config).inputFiles()
+    assert features_from_files(spark, f"file://{tmp_path}", config).inputFiles() == before
+    assert features_from_files(spark, f"file://{tmp_path}", EngineConfig(AS_OF, (), refresh=True)).inputFiles() != before
 
 
 def test_order_of_arrival(spark, tmp_path):
