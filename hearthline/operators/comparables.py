@@ -4,7 +4,8 @@ or else the sector.
 No dwelling meets its whole group. Within a group, those of one size (and, for
 the bonus of an equal type, of one size and type) are one entry with the smallest
 ids, and each entry looks at its neighbours in order of size: the three best are
-among three sizes either way.
+among three sizes either way. Sizes are cut into ranges that see a little of the
+ranges beside them, so that a group may hold any part of all rows.
 """
 
 from __future__ import annotations
@@ -24,36 +25,46 @@ def sold_dwellings(features: DataFrame) -> DataFrame:
     return features.where((F.col("floor_area") > LEAST_AREA) & (F.col("indexed_last_sold_price") > LEAST_PRICE))
 
 
-def _near_in_size(targets: DataFrame, sold: DataFrame, key: str, typed: bool) -> DataFrame:
-    """id and candidates of each target: the sold of its key (and type) at its own
-    size and up to three sizes below and above."""
-    kind = F.col("property_subtype") if typed else F.lit(None).cast("string")
-    parts = ["k", "kind"]
+def _beside(column: str, over: str) -> Column:
+    """The WANTED values of a column before and after a row, as far as there are any; rows without one are passed over."""
+    both = [f"{way}({column}, {i}) ignore nulls over ({over})" for way in ("lag", "lead") for i in range(1, WANTED + 1)]
+    return F.array_compact(F.array(*map(F.expr, both)))
+
+
+def _near_in_size(targets: DataFrame, sold: DataFrame, key: str) -> DataFrame:
+    """id and candidates of each target: the sold of its key, and of its key and type, at
+    its own size and up to three sizes below and above.
+
+    All sizes, sorted by key, type and size, are cut into ranges; a range looks
+    within itself and at the outermost entries of the ranges beside it, so that no task
+    sorts a key, however many sizes it has."""
+    # of one type (null is one), and of any
+    kinds = F.explode(F.array(F.coalesce(F.concat(F.lit("="), "property_subtype"), F.lit("")), F.lit("*"))).alias("kind")
+    group = ["k", "kind"]
     one = F.struct(F.col("id").alias("other"), F.col("floor_area").alias("area"), F.col("property_subtype").alias("subtype"), F.col("indexed_last_sold_price").alias("price"), F.col("full_address").alias("address"))
-    rows = sold.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), kind.alias("kind"), F.col("floor_area").alias("size"), one.alias("one"))
-    first = Window.partitionBy(*parts, "size").orderBy("one.other")
+    rows = sold.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), kinds, F.col("floor_area").alias("size"), one.alias("one"))
+    first = Window.partitionBy(*group, "size").orderBy("one.other")
     few = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= WANTED + 1)
-    entries = few.groupBy(*parts, "size").agg(F.collect_list("one").alias("here"))  # four at most
-    asked = targets.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), kind.alias("kind"), F.col("floor_area").alias("size")).distinct()
-    both = entries.unionByName(asked.withColumn("here", F.lit(None).cast(entries.schema["here"].dataType)))
-    merged = both.groupBy(*parts, "size").agg(F.max("here").alias("here"))
-    order = Window.partitionBy(*parts).orderBy("size")
-    filled = merged.where("here is not null")
-    around = F.flatten(F.filter(F.array("here", *[F.lag("here", i).over(order) for i in range(1, WANTED + 1)], *[F.lead("here", i).over(order) for i in range(1, WANTED + 1)]), lambda x: x.isNotNull()))
-    near = filled.select(*parts, "size", around.alias("near"))
-    # a size that nobody sold has the neighbours of the sold sizes beside it
-    marks = merged.select(*parts, "size", F.max(F.when(F.col("here").isNotNull(), F.col("size"))).over(order).alias("at_or_below"), F.min(F.when(F.col("here").isNotNull(), F.col("size"))).over(order.rowsBetween(0, Window.unboundedFollowing)).alias("at_or_above"))
-    lookup = near.select(*parts, F.col("size").alias("at"), "near")
-    tied = targets.select("id", F.col(key).alias("k"), kind.alias("kind"), F.col("floor_area").alias("size"))
-    same = (F.col("t.k") == F.col("m.k")) & F.col("t.kind").eqNullSafe(F.col("m.kind")) & (F.col("t.size") == F.col("m.size"))
-    placed = tied.alias("t").join(marks.alias("m"), same).select("t.id", "t.k", "t.kind", F.explode(F.array_distinct(F.array_compact(F.array("m.at_or_below", "m.at_or_above")))).alias("at"))
-    met = (F.col("p.k") == F.col("l.k")) & F.col("p.kind").eqNullSafe(F.col("l.kind")) & (F.col("p.at") == F.col("l.at"))
-    return placed.alias("p").join(lookup.alias("l"), met).select("p.id", F.explode("l.near").alias("c"))
+    entries = few.groupBy(*group, "size").agg(F.collect_list("one").alias("here"))  # four at most
+    tied = targets.where(F.col(key).isNotNull()).select("id", F.col(key).alias("k"), kinds, F.col("floor_area").alias("size"))
+    both = entries.unionByName(tied.select(*group, "size").distinct().withColumn("here", F.lit(None).cast(entries.schema["here"].dataType)))
+    merged = both.groupBy(*group, "size").agg(F.max("here").alias("here"))
+    order = [*group, "size"]
+    ranged = staged(merged.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "sizes")
+    near = ranged.withColumn("near", _beside("here", "partition by part, k, kind order by size"))
+    # the outermost entries of each range, and of the nearest ranges that have any what lies next to it
+    out = [F.row_number().over(Window.partitionBy("part", *group).orderBy(c)) <= WANTED for c in (F.asc("size"), F.desc("size"))]
+    outer = ranged.where("here is not null").withColumn("outer", out[0] | out[1]).where("outer").groupBy("part", *group).agg(F.flatten(F.collect_list("here")).alias("ends"))
+    parts = ranged.select("part", *group).distinct().join(outer, ["part", *group], "left")
+    halos = parts.select("part", *group, F.flatten(_beside("ends", "partition by k, kind order by part")).alias("halo"))
+    around = F.concat(F.coalesce("here", F.array().cast(ranged.schema["here"].dataType)), F.flatten("near"), F.when(F.size("near") < 2 * WANTED, F.col("halo")).otherwise(F.array()))
+    lookup = near.join(halos, ["part", *group]).select(*order, around.alias("near"))
+    return tied.join(lookup, order).select("id", F.explode("near").alias("c"))
 
 
 def _comparables_at(targets: DataFrame, sold: DataFrame, key: str) -> DataFrame:
     """id and the best comparables of one level, nearest first, ties to the smaller id."""
-    met = _near_in_size(targets, sold, key, True).unionByName(_near_in_size(targets, sold, key, False)).select("id", "c.*").where("id <> other").distinct()
+    met = _near_in_size(targets, sold, key).select("id", "c.*").where("id <> other").distinct()
     joined = met.join(targets.select("id", "floor_area", "property_subtype"), "id")
     penalty = F.when(F.col("subtype").eqNullSafe(F.col("property_subtype")), 0.0).otherwise(OTHER_TYPE)
     gap = F.abs(F.col("area") - F.col("floor_area")) / F.greatest("floor_area", F.lit(1.0)) + penalty
