@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import staged
+
 #: Rows of a block of queries or of training rows.
 BLOCK = 4096
+#: Rows that are pivots, and rings of a pivot's cell, at most.
+MOST_PIVOTS, RINGS = 512, 32
 #: Rows of a stratum that are ranked together, about.
 RANGE_ROWS = 200_000
 EPSILON = 1e-6
@@ -57,13 +62,9 @@ def category_codes(rows: DataFrame, column: str) -> DataFrame:
     return seen.withColumn("code", F.row_number().over(Window.orderBy("category")).cast("int"))
 
 
-def nearest_rows(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
-    """queries: id, vec. train: row_id, vec, y. The k nearest rows of each query
-    (id, row_id, distance, y, place), ties to the smaller row_id, in blocks of bounded
-    size: a matrix product finds who can be among them, whose distances are then exact."""
-    n_queries, n_train = (max(1, math.ceil(d.count() / BLOCK)) for d in (queries, train))
-    asked = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_train - 1))).alias("tb"))
-    held = train.select("row_id", "vec", F.col("y").cast("double").alias("y"), F.pmod(F.xxhash64("row_id"), F.lit(n_train)).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"))
+def _meet(k: int):
+    """For cogroups of queries (id, vec) and rows (row_id, vec, y): the k nearest rows of
+    each query. A matrix product finds who can be among them, whose distances are then exact."""
 
     def meet(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if ask.empty or rows.empty:
@@ -84,9 +85,134 @@ def nearest_rows(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
             out.append(pd.DataFrame({"id": asking[at + i[first]], "row_id": ids[j[first]], "distance": distance[first], "y": y[j[first]]}))
         return pd.concat(out)
 
-    met = asked.groupBy("qb", "tb").cogroup(held.groupBy("qb", "tb")).applyInPandas(meet, "id long, row_id long, distance double, y double")
+    return meet
+
+
+def _from_pivots(vectors: Sequence, pivots: np.ndarray) -> np.ndarray:
+    """Distances of vectors (rows) from all pivots."""
+    x = np.array(list(vectors), np.float64)
+    square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1) - 2 * x @ pivots.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+@dataclasses.dataclass
+class Blocks:
+    """Rows in blocks of bounded size. Some rows are pivots, at most MOST_PIVOTS; each row is
+    in the cell of the pivot nearest to it, cells are cut into rings by the distance from
+    the pivot (RINGS at most, so that what tells where rings end is of bounded size),
+    and what a ring has too many of is dealt by hash."""
+
+    rows: DataFrame  # row_id, vec, y, cell, ring, salt
+    pivots: np.ndarray
+    edges: list[np.ndarray]  # of a cell: where its rings end, but for the last
+    span: np.ndarray  # of a cell: the least and greatest distance from its pivot
+
+    @classmethod
+    def of(cls, train: DataFrame) -> Blocks | None:
+        """None where there are no rows."""
+        held = staged(train.select("row_id", "vec", F.col("y").cast("double").alias("y")), "rows")
+        wanted = min(MOST_PIVOTS, math.ceil(held.count() / BLOCK))
+        chosen = held.orderBy(F.xxhash64("row_id"), "row_id").limit(wanted).collect()  # MOST_PIVOTS at most
+        if not chosen:
+            return None
+        pivots = np.array([r["vec"] for r in chosen], np.float64)
+
+        def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                away = _from_pivots(part["vec"], pivots) if len(part) else np.zeros((0, len(pivots)))
+                yield part.assign(cell=away.argmin(1).astype(np.int32), away=away.min(1, initial=np.inf))
+
+        kind = held.schema["vec"].dataType.simpleString()
+        placed = staged(held.mapInPandas(place, f"row_id long, vec {kind}, y double, cell int, away double"), "cells")
+        shares = [i / RINGS for i in range(1, RINGS)]
+        sized = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi"), F.percentile_approx("away", shares, 1000).alias("at"))
+        edges, span = [np.zeros(0)] * len(pivots), np.full((len(pivots), 2), np.inf)
+        for r in sized.collect():  # one for each pivot
+            rings = min(RINGS, math.ceil(r["n"] / BLOCK))
+            edges[r["cell"]] = np.unique([r["at"][i * RINGS // rings - 1] for i in range(1, rings)])
+            span[r["cell"]] = r["lo"], r["hi"]
+
+        def ring(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                at = [int(np.searchsorted(edges[c], d)) for c, d in zip(part["cell"], part["away"])]
+                yield part.drop(columns="away").assign(ring=np.array(at, np.int32))
+
+        ringed = staged(placed.mapInPandas(ring, f"row_id long, vec {kind}, y double, cell int, ring int"), "rings")
+        deal = ringed.groupBy("cell", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
+        salt = F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int").alias("salt")
+        dealt = ringed.join(F.broadcast(deal), ["cell", "ring"])  # MOST_PIVOTS * RINGS rows at most
+        return cls(staged(dealt.select("row_id", "vec", "y", "cell", "ring", salt), "blocks"), pivots, edges, span)
+
+    def own(self, queries: DataFrame) -> DataFrame:
+        """id, vec, cell, ring and salt of the block that a query meets first: in the nearest pivot's cell, at its own distance."""
+        pivots, edges = self.pivots, self.edges
+
+        def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                away = _from_pivots(part["vec"], pivots) if len(part) else np.zeros((0, len(pivots)))
+                cell, least = away.argmin(1), away.min(1, initial=np.inf)
+                ring = [int(np.searchsorted(edges[c], d)) for c, d in zip(cell, least)]
+                yield part.assign(cell=cell.astype(np.int32), ring=np.array(ring, np.int32), salt=np.zeros(len(part), np.int32))
+
+        return queries.mapInPandas(place, f"id long, vec {queries.schema['vec'].dataType.simpleString()}, cell int, ring int, salt int")
+
+    def within_reach(self, reached: DataFrame) -> DataFrame:
+        """id, cell and ring of all rings that can hold a row as near as reach to a query (id,
+        vec, reach): by the triangle inequality, its distance from their pivot differs
+        from the query's by no more than that."""
+        pivots, edges, span = self.pivots, self.edges, self.span
+
+        def visit(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if part.empty:
+                    continue
+                away, reach, ids = _from_pivots(part["vec"], pivots), part["reach"].to_numpy(), part["id"].to_numpy()
+                slack = 1e-6 * (1 + np.abs(away))  # rounding of products and roots
+                for cell in range(len(pivots)):
+                    low, high = away[:, cell] - reach - slack[:, cell], away[:, cell] + reach + slack[:, cell]
+                    at = np.flatnonzero((low <= span[cell, 1]) & (high >= span[cell, 0]))
+                    first, last = np.searchsorted(edges[cell], low[at]), np.searchsorted(edges[cell], high[at])
+                    count = last - first + 1
+                    ring = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    yield pd.DataFrame({"id": np.repeat(ids[at], count), "cell": np.int32(cell), "ring": ring.astype(np.int32)})
+
+        return reached.mapInPandas(visit, "id long, cell int, ring int")
+
+    def met(self, asked: DataFrame, queries: int, k: int) -> DataFrame:
+        """The k nearest rows in each block that a query (id, vec, cell, ring, salt) meets.
+        Queries at a block are dealt too, so neither side of a meeting exceeds about BLOCK rows."""
+        place = ["cell", "ring", "salt", "turn"]
+        asked = asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(queries / BLOCK)))))
+        held = self.rows.join(asked.select(*place).distinct(), ["cell", "ring", "salt"]).select("row_id", "vec", "y", *[F.col(c).alias(f"at_{c}") for c in place])
+        met = asked.select("id", "vec", *place).groupBy(*place).cogroup(held.groupBy(*[f"at_{c}" for c in place]))
+        return met.applyInPandas(_meet(k), "id long, row_id long, distance double, y double")
+
+
+def block_visits(blocks: Blocks, queries: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """id, vec, cell, ring and salt of the further blocks that queries (with their own
+    block) have to meet, once the first one gave the distances in first."""
+    reach = first.groupBy("id").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+    reached = queries.join(reach, "id", "left").select("id", "vec", F.when(F.col("n") >= k, F.col("far")).otherwise(math.inf).alias("reach"))
+    salts = blocks.rows.select("cell", "ring", "salt").distinct()
+    rings = blocks.within_reach(reached).join(F.broadcast(salts.groupBy("cell", "ring").agg(F.max("salt").alias("salts"))), ["cell", "ring"])  # as many rows as rings
+    every = rings.select("id", "cell", "ring", F.explode(F.sequence(F.lit(0), F.col("salts"))).alias("salt"))
+    return every.join(queries.select("id", "vec", F.col("cell").alias("c"), F.col("ring").alias("r")), "id").where("not (cell = c and ring = r and salt = 0)").drop("c", "r")
+
+
+def nearest_rows(queries: DataFrame, train: DataFrame, k: int) -> DataFrame:
+    """queries: id, vec. train: row_id, vec, y. The k nearest rows of each query
+    (id, row_id, distance, y, place), ties to the smaller row_id; exact. A query meets the
+    block that it belongs to; how far the k-th row is there tells which other blocks can
+    hold a nearer one, and only these are met."""
+    blocks = Blocks.of(train)
+    if blocks is None:
+        return queries.sparkSession.createDataFrame([], "id long, row_id long, distance double, y double, place int")
+    asked = staged(blocks.own(queries.select("id", "vec")), "asked")
+    n = asked.count()
+    first = staged(blocks.met(asked, n, k), "first")
+    second = blocks.met(staged(block_visits(blocks, asked, first, k), "visits"), n, k)
     w = Window.partitionBy("id").orderBy("distance", "row_id")
-    return met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first.unionByName(second).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def neighbour_means(neighbours: DataFrame) -> DataFrame:
