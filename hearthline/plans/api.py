@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import valuation
+from ..operators import spatial, valuation
 
 
 def _postcode(text: str) -> Column:
@@ -77,10 +77,36 @@ def estimate(valued: DataFrame, as_of: datetime.date, ids: list[int] | None = No
     return valuation.without_model(asked) if artifact is None else valuation.with_model(asked, artifact.predict(asked), as_of)
 
 
-def responses(estimated: DataFrame) -> DataFrame:
+#: Fixed value: what an unknown id is told.
+NOT_FOUND = '{"error":"Property not found"}'
+
+
+def responses(estimated: DataFrame, ids: list[int] | None = None) -> DataFrame:
     """id and response (JSON): the estimate, its range, explanations and features;
-    where there is no price, the reduced answer."""
-    return estimated.select("id", F.to_json(valuation.response(estimated.columns), {"ignoreNullFields": "false"}).alias("response"))
+    where there is no price, the reduced answer. With ids there is a row for each of
+    them, an error for those that are unknown."""
+    told = estimated.select("id", F.to_json(valuation.response(estimated.columns), {"ignoreNullFields": "false"}).alias("response"))
+    if ids is None:
+        return told
+    asked = estimated.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id long")
+    return asked.join(told, "id", "left").select("id", F.coalesce("response", F.lit(NOT_FOUND)).alias("response"))
+
+
+def map_amenities(points: DataFrame, stations: DataFrame, schools: DataFrame) -> DataFrame:
+    """id and amenities: the nearest station and school with their places, distances and
+    labels, as a map shows them. Empty for points without finite coordinates."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) != float("inf")), F.col(c)).alias(c)
+    here = points.select("id", *[finite(c) for c in ("latitude", "longitude")])
+    found = here.select("id")
+    for kind, places, label, detail in (
+        ("station", stations, "Closest station", F.concat(F.lit("Zone "), T.or_null(F.col("detail")))),
+        ("school", schools, "Closest school", F.col("detail")),
+    ):
+        named = places.select("*", F.col("latitude").alias("at_lat"), F.col("longitude").alias("at_lon"), F.col("zone" if kind == "station" else "school_type").alias("detail"))
+        near = spatial.nearest_place(here, named, ["name", "at_lat", "at_lon", "detail"])
+        one = F.struct(F.lit(kind).alias("type"), "name", F.col("at_lat").alias("latitude"), F.col("at_lon").alias("longitude"), F.col("km").alias("distance_km"), F.lit(label).alias("label"), detail.alias("detail"))
+        found = found.join(near.select("id", one.alias(kind)), "id", "left")
+    return found.select("id", F.array_compact(F.array("station", "school")).alias("amenities"))
 
 
 def amenities(features: DataFrame) -> DataFrame:

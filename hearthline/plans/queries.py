@@ -863,6 +863,35 @@ def api7_debug_certificates(spark, sf_dir):
     return api.debug_certificates(_listed(spark, sf_dir), "SW5 3AB").select("id", "house_number")
 
 
+_LOST = "CASE id % 50 WHEN 0 THEN NULL WHEN 1 THEN CAST('NaN' AS DOUBLE) WHEN 2 THEN CAST('Infinity' AS DOUBLE) ELSE latitude END"
+
+
+def _nearest_sql(places: str, other: str) -> str:
+    """Of each dwelling the nearest of the places."""
+    body = _pairs(places).replace("FROM props p", "FROM found p")
+    for name in ("pr", "k0", "k", "u"):
+        body = body.replace(f", {name} AS", f", {name}_{other} AS").replace(f"FROM {name})", f"FROM {name}_{other})").replace(f"FROM {name} WHERE", f"FROM {name}_{other} WHERE")
+    return body + f", n_{other} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, ol, oj, src_ord) AS n FROM u_{other}) WHERE n = 1)"
+
+
+_MAP = (
+    f", found AS (SELECT * FROM (SELECT id, {_LOST} AS latitude, longitude FROM props) WHERE isfinite(latitude))" + _nearest_sql("stations", "s") + _nearest_sql("schools", "e")
+    + " SELECT p.id, s.name AS station, round(s.km, 6) AS station_km, e.name AS school, round(e.km, 6) AS school_km, round(e.latitude, 6) AS school_latitude, e.school_type AS detail, CAST((s.id IS NOT NULL)::INT + (e.id IS NOT NULL)::INT AS INT) AS n"
+    " FROM props p LEFT JOIN n_s s ON s.id = p.id LEFT JOIN n_e e ON e.id = p.id"
+)
+
+
+@query(with_proxies("props stations schools", _MAP))
+def api10_map_amenities(spark, sf_dir):
+    props = proxy(spark, sf_dir, "props").withColumn("latitude", F.expr(_LOST))
+    found = api.map_amenities(props, proxy(spark, sf_dir, "stations").withColumn("zone", F.lit("1")), proxy(spark, sf_dir, "schools"))
+    s, e = F.get("amenities", F.lit(0)), F.get("amenities", F.lit(1))
+    return found.select(
+        "id", s["name"].alias("station"), _r(s["distance_km"]).alias("station_km"), e["name"].alias("school"), _r(e["distance_km"]).alias("school_km"),
+        _r(e["latitude"]).alias("school_latitude"), e["detail"].alias("detail"), F.size("amenities").alias("n"),
+    )
+
+
 @query(with_proxies("valued", "SELECT id, CASE WHEN nearest_station_distance_km IS NOT NULL THEN 'station' END AS first_kind, CASE WHEN nearest_station_distance_km IS NOT NULL THEN 1 ELSE 0 END AS n FROM valued"))
 def api10_amenities(spark, sf_dir):
     v = proxy(spark, sf_dir, "valued").withColumn("nearest_station_name", F.when(F.col("nearest_station_distance_km").isNotNull(), F.lit("Halt")))

@@ -86,6 +86,8 @@ def served(spark, saved):
     answers = {r["id"]: json.loads(r["response"]) for r in api.responses(plain).collect()}
     assert answers[7]["price_range"] is None and answers[7]["features"]["crime_level"] is None and answers[7]["estimated_price"] is None
     assert answers[0]["price_range"] == {"min": absent[0]["price_min"], "max": absent[0]["price_max"]} and answers[0]["features"]["sale_price_source"] == "exact_matched_sale"
+    asked = {r["id"]: json.loads(r["response"]) for r in api.responses(plain, [7, 5000, 7]).collect()}
+    assert asked == {7: answers[7], 5000: {"error": "Property not found"}}
     full = json.loads(api.responses(api.estimate(valued, as_of, [14], saved)).first()["response"])
     assert full["prediction_summary"] == {"baseline_prediction": told[14]["estimated_price"], "ml_prediction": told[14]["ml_predictions"]["prediction"], "mixed_prediction": told[14]["mixed_prediction"]}
 
