@@ -16,11 +16,10 @@ meets with its full sets; union-find skips what is joined already, and only
 confirmed links leave. So every two classes of a bucket are connected by
 confirmed links or tested themselves.
 
-Buckets and groups meet in blocks of bounded weight. A bucket over BLOCK is first
-parted by a second band (at a similarity of 0.85 two texts that share a band share
-no other once in two million). What is still larger than a block is dealt into
-parts, each with the same few pivots; rows that then aren't joined with most of
-their group visit all other parts. Keys, digests and components that hold a large
+Buckets and groups meet in blocks of bounded weight. What is larger than a block, a
+bucket as well as a group, is dealt into parts, each with the same few pivots; rows that
+then aren't joined with most of their group visit all other parts, so that every two
+rows are joined or meet. Keys, digests and components that hold a large
 part of all rows are dealt over many tasks. Components of all links are joined on
 the executors.
 
@@ -274,17 +273,10 @@ def _loose_components(classes: DataFrame, percent: int) -> DataFrame:
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     rows = classes.agg(F.coalesce(F.sum(F.size("bands")), F.lit(0))).first()[0]
     buckets = materialize(keyed.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"), "buckets")
-    held = join_spread(keyed, buckets, "key", rows, "rep").join(classes.select("rep", F.col("n_shingles").alias("n"), "marks", "bands"), "rep")
-    held = materialize(held.withColumn("others", F.when(F.col("count") > BLOCK, F.array_remove("bands", F.col("key")))).drop("bands"), "held")
-    plain = held.where("others is null").select(F.col("key").alias("group"), F.col("count").alias("weight"), "rep", "n", "marks")
-    heavy = held.where("others is not null")
-    if not heavy.isEmpty():
-        parted = heavy.select(F.explode("others").alias("other"), "key", "rep", "n", "marks")
-        parted = materialize(parted.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("group"), "rep", "n", "marks").distinct(), "parted")
-        sizes = parted.groupBy("group").agg(F.count("*").alias("count")).where("count > 1")
-        again = join_spread(parted, sizes, "group", parted.count(), "rep")
-        plain = plain.unionByName(again.select("group", F.col("count").alias("weight"), "rep", "n", "marks"))
-    grouped = component_labels(_links_within(plain, loose_links, percent))
+    held = join_spread(keyed, buckets, "key", rows, "rep").withColumnsRenamed({"key": "group", "count": "weight"})
+    held = held.join(classes.select("rep", F.col("n_shingles").alias("n"), "marks"), "rep")
+    held = materialize(held.select("group", "weight", "rep", "n", "marks"), "held")
+    grouped = component_labels(_links_within(held, loose_links, percent))
     both = grouped.unionAll(grouped.select(F.col("label").alias("node"), "label").distinct())
     return both.select(F.col("node").alias("rep"), F.col("label").alias("group"))
 
