@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import average_recency_weight, month_key
 from ..functions.numbers import to_double
 from ..functions.text import clean_postcode, clean_text, index_type, or_null
+from ..sources.tables import staged
+from .quantiles import exact_quantiles
 
 #: Quantiles that part low, average and high crime.
 LOW_SHARE, HIGH_SHARE = 0.33, 0.66
@@ -36,12 +38,11 @@ def crime_by_area(wide: DataFrame, code: str = "LSOA Code", name: str = "LSOA Na
 
 def crime_levels(areas: DataFrame) -> DataFrame:
     """Monthly mean and level; an area at the lower edge is low, at the upper high."""
-    means = areas.withColumn("crime_avg_monthly_12m", F.col("crime_total_12m") / 12.0)
-    edges = means.select(F.percentile("crime_avg_monthly_12m", F.array(F.lit(LOW_SHARE), F.lit(HIGH_SHARE)))).scalar()
+    means = staged(areas.withColumn("crime_avg_monthly_12m", F.col("crime_total_12m") / 12.0), "crime")
+    found = exact_quantiles(means.select(F.lit("mean").alias("feature"), F.col("crime_avg_monthly_12m").alias("x")), [LOW_SHARE, HIGH_SHARE])
+    low, high = map(F.lit, found.get("mean", [0.0, 0.0]))
     mean = F.col("crime_avg_monthly_12m")
-    leveled = means.withColumn("edges", edges)
-    level = F.when(mean <= F.col("edges")[0], "LOW").when(mean >= F.col("edges")[1], "HIGH").otherwise("AVERAGE")
-    return leveled.withColumn("crime_level", level).drop("edges")
+    return means.withColumn("crime_level", F.when(mean <= low, "LOW").when(mean >= high, "HIGH").otherwise("AVERAGE"))
 
 
 def area_of_postcode(directory: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.tables import staged
+from .quantiles import exact_quantiles
 
 #: Rows of a block of queries or of training rows.
 BLOCK = 4096
@@ -31,22 +32,12 @@ def hash_order(key: Column) -> list[Column]:
 def numeric_statistics(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row for each column: median, and mean and population deviation after
     nulls got the median. A column without values has a median of 0, a deviation of 0 counts as 1.
-
-    The median is exact, but no task holds a column: an approximate quantile gives a
-    bracket around it that a thousandth of the values lie in, and only the distinct
-    values in it are ranked."""
+    The median is exact, and no task holds or ranks a column."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*")
-    edges = F.percentile_approx("x", F.array(F.lit(0.4995), F.lit(0.5005)), F.lit(10_000))
-    brackets = long.groupBy("feature").agg(edges.alias("edges"), F.count("x").alias("n"))  # a row for each column
-    near = long.join(F.broadcast(brackets), "feature").withColumn("low", F.col("x") < F.col("edges")[0])
-    below = near.groupBy("feature").agg(F.count_if("low").alias("below"))
-    inside = near.where(~F.col("low") & (F.col("x") <= F.col("edges")[1])).groupBy("feature", "x").agg(F.count("*").alias("here"))
-    upto = F.sum("here").over(Window.partitionBy("feature").orderBy("x"))
-    ranked = inside.withColumn("upto", upto).join(F.broadcast(below.join(brackets.select("feature", "n"), "feature")), "feature")
-    at = lambda rank: F.min(F.when(F.col("upto") > rank - F.col("below"), F.col("x")))
-    found = ranked.groupBy("feature").agg(((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2).alias("median"))
-    medians = brackets.select("feature").join(found, "feature", "left").select("feature", F.coalesce("median", F.lit(0.0)).alias("median"))
-    filled = long.join(F.broadcast(medians), "feature").withColumn("y", F.coalesce("x", "median"))
+    long = staged(long, "numbers")
+    found = exact_quantiles(long, [0.5])
+    medians = rows.sparkSession.createDataFrame([(c, found[c][0] if c in found else 0.0) for c in columns], "feature string, median double")
+    filled = long.join(F.broadcast(medians), "feature").withColumn("y", F.coalesce("x", "median"))  # a row for each column
     spread = F.stddev_pop("y")
     return filled.groupBy("feature", "median").agg(F.avg("y").alias("mean"), F.when(spread == 0, 1.0).otherwise(spread).alias("std"))
 
