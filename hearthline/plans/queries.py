@@ -13,7 +13,7 @@ from ..config import EngineConfig
 from ..functions import dates as D
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import comparables, enrichment, learning, matching, spatial, valuation
+from ..operators import comparables, enrichment, learning, matching, spatial, trees, valuation
 from ..sources import readers, tables
 from . import api
 from .training import NEIGHBOURS
@@ -621,6 +621,40 @@ def ml4_forest(spark, sf_dir):
     return learning.predict_forest(model, rows.where("l_orderkey % 5 = 0"), _FOREST_FEATURES).select("l_orderkey", "l_linenumber", "label", "prediction")
 
 
+def _two_levels(leaf: int, tried: int) -> str:
+    """A tree of depth 2 over lineitem and part: each level's quantiles, sums on either side of them, and rows in the next level."""
+    xs = ", ".join(f"{{'f': {i}, 'x': {c}::DOUBLE}}" for i, c in enumerate(_FOREST_FEATURES))
+    hashed = "(node * 1009 + f) % 1048573 * 2654435761 % 4294967296"  # of tree 0
+    shares = ", ".join(f"{s!r}::DOUBLE" for s in trees.SHARES)
+    sql = f"WITH r0 AS (SELECT 1::BIGINT AS node, l_extendedprice::DOUBLE AS y, [{xs}] AS xs FROM lineitem JOIN part ON l_partkey = p_partkey)"
+    for k in range(3):
+        sql += f", s{k} AS (SELECT node, count(*) AS n, avg(y) AS value, min(y) AS lo, max(y) AS hi FROM r{k} GROUP BY node)"
+        if k == 2:
+            break
+        sql += f""", f{k} AS (SELECT node, value, f FROM s{k}, range({len(_FOREST_FEATURES)}) t(f) WHERE n > {2 * leaf} AND lo < hi QUALIFY row_number() OVER (PARTITION BY node ORDER BY {hashed}, f) <= {tried}),
+        x{k} AS (SELECT node, f, y - value AS y, xs[f + 1].x AS x FROM r{k} JOIN f{k} USING (node)),
+        t{k} AS (SELECT DISTINCT node, f, unnest(ts) AS t FROM (SELECT node, f, quantile_cont(x, [{shares}]) AS ts FROM x{k} GROUP BY node, f)),
+        e{k} AS (SELECT node, f, t, count(*) FILTER (x <= t) AS a, count(*) FILTER (x > t) AS b, coalesce(sum(y) FILTER (x <= t), 0) AS sa, coalesce(sum(y) FILTER (x > t), 0) AS sb, sum(y * y) AS q FROM x{k} JOIN t{k} USING (node, f) GROUP BY node, f, t),
+        b{k} AS (SELECT node, f, t FROM e{k} WHERE a >= {leaf} AND b >= {leaf} QUALIFY row_number() OVER (PARTITION BY node ORDER BY round((q - sa * sa / a - sb * sb / b) / q, 9), f, t) = 1),
+        r{k + 1} AS (SELECT node * 2 + CASE WHEN xs[f + 1].x <= t THEN 0 ELSE 1 END AS node, y, xs FROM r{k} JOIN b{k} USING (node))"""
+    levels = " UNION ALL ".join(f"SELECT s.*, {'b.f, b.t' if k < 2 else 'NULL::INT AS f, NULL::DOUBLE AS t'} FROM s{k} s{f' LEFT JOIN b{k} b USING (node)' if k < 2 else ''}" for k in range(3))
+    return f"{sql} SELECT node, n, round(value, 4) AS value, f AS feature, round(t, 6) AS threshold FROM ({levels})"
+
+
+@query(_two_levels(leaf=12, tried=2))
+def ml3_tree(spark, sf_dir):
+    found = trees.grow_trees(_forest_rows(spark, sf_dir), _FOREST_FEATURES, "label", "l_orderkey", depth=2, leaf=12, tried=2, bootstrap=False)
+    return found.select("node", "n", _r(F.col("value"), 4).alias("value"), "feature", _r(F.col("threshold")).alias("threshold"))
+
+
+@query(None)
+def ml12_growing_forest(spark, sf_dir):
+    """Errors on held-out orders of a forest of our own trees, after every five of them."""
+    rows = _forest_rows(spark, sf_dir).withColumn("key", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    _, errors = trees.grow_forest(rows.where("l_orderkey % 5 <> 0"), rows.where("l_orderkey % 5 = 0"), _FOREST_FEATURES, "label", "key", trees=10, step=5, depth=4, leaf=12, tried=2)
+    return spark.createDataFrame(errors, "trees long, mape double")
+
+
 @query(None)
 def ml12_prefix_stop(spark, sf_dir):
     rows = _forest_rows(spark, sf_dir)
