@@ -14,9 +14,10 @@ nothing was learned, all with a letter are kept.
 
 Texts that are null or hold no letter are `und` with a score of 0, and so is all
 where nothing could be learned. Prototypes come from a bounded number of labelled
-texts: of the MOST_LANGUAGES most frequent languages, each gives all its texts where
-it has few, else an equal share of TRAIN_TEXTS (LANGUAGE_TEXTS at least), chosen by a
-hash of doc_id. So a rare language is learned too. Repeated rows stay repeated; an
+texts: each language gives all its texts where it has few, else an equal share of
+TRAIN_TEXTS (LANGUAGE_TEXTS at least), chosen by a hash of doc_id. So every language is
+learned. Of drawn documents that share an id (or have none) one is learned from, the
+first by language and text. In the result repeated rows stay repeated; an
 empty table gives an empty table; further columns, whatever their names, are
 kept by `keep_languages` and not read by the rest.
 """
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import column_udf, id_remainder, map_rows, sum_vectors
 
 DIMENSIONS = 1024
-TRAIN_TEXTS, LANGUAGE_TEXTS, MOST_LANGUAGES = 20_000, 500, 512
+TRAIN_TEXTS, LANGUAGE_TEXTS = 20_000, 500
 UNKNOWN = "und"
 #: Texts of fewer trigrams are never rejected by their score; bands of length are powers of two up to the last.
 SHORT, LAST_BAND = 16, 12
@@ -106,11 +107,11 @@ def _band(sizes: np.ndarray) -> np.ndarray:
 def _labelled(docs: DataFrame, may_learn: Column, train_texts: int) -> DataFrame:
     """A bounded number of documents of each language, of those with a label where may_learn holds."""
     labelled = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     each = max(LANGUAGE_TEXTS, train_texts // max(1, len(known)))
-    shares = {r["lang"]: int(min(1.0, each / r["n"]) * (1 << 30)) for r in known}
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")] if shares else F.lit(0)
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text", "lang")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in known], "lang string, share long")
+    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share"))
+    return drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang")
 
 
 def _label_sums(chosen: DataFrame) -> dict[str, np.ndarray]:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from hearthline.llm import language_id as L
 
 from . import helpers as H
 
@@ -26,3 +27,19 @@ def test_without_labels_all_with_a_letter_stay(spark):
     docs = H.awkward(spark).withColumn("lang", F.lit(None).cast("string"))
     kept = [r["doc_id"] for r in P.language(spark, docs, H.SF).collect()]
     assert sorted(map(str, kept)) == sorted(map(str, [None, 4, 5, 6, 7, 7, 8]))
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    words = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(600)}
+    rows = [(1000 * n + k, " ".join(rng.choices(words[k], k=40)), f"l{k:03}", "s", 1) for k in range(600) for n in range(2)]
+    labels, _ = learned = L.learn_prototypes(spark.createDataFrame(rows, H.SCHEMA).where("doc_id < 1000"), F.lit(True))
+    assert labels == sorted(f"l{k:03}" for k in range(600))
+    told = {r["doc_id"]: r["lang_pred"] for r in L.predict_language(spark.createDataFrame(rows, H.SCHEMA), learned).collect()}
+    assert sum(told[d] == lang for d, _, lang, _, _ in rows) >= 0.99 * len(rows)
+
+
+def test_repeated_ids_give_one_example(spark):
+    rows = [(1, f"text number {i} of one id", "en", "s", 1) for i in range(300)] + [(2, "ein anderer Text", "de", "s", 1), (None, "no id", "en", "s", 1), (None, "none either", "en", "s", 1)]
+    chosen = L._labelled(spark.createDataFrame(rows, H.SCHEMA), F.lit(True), L.TRAIN_TEXTS).collect()
+    assert sorted((r["lang"], r["text"]) for r in chosen) == [("de", "ein anderer Text"), ("en", "no id"), ("en", "text number 0 of one id")]
