@@ -3,9 +3,12 @@
 A document is its ids and an end id. What is longer than the window is first cut
 into full windows; the pieces left over are placed longest first, each into the
 open window with the tightest room, which a segment tree indexed by remaining
-capacity finds. Each task packs its own rows, in groups of bounded size, so
-nothing is shuffled; sequence ids hold the partition's number and are the same
-when a task runs again.
+capacity finds. There are two rounds. Each task packs its own rows, in groups of
+bounded size, and what it made is written to the shared folder. The pieces of
+windows that then still have room (a few of a large group, most where
+partitions are small) are dealt over blocks of bounded size and packed anew; all
+others stay where they are. Padding so doesn't follow the number of partitions.
+Sequence ids hold the partition's number, or, over SECOND_ROUND, the block's.
 
 Null and empty texts are documents of the end id alone. Ties in length keep the
 order of the rows; repeated rows are packed once each; an empty table gives an
@@ -15,6 +18,7 @@ empty table; columns other than doc_id and text are not read.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin_task, id_and_text, row_slices, ship_package, small_batches, worker_cache
+from .common import begin_task, id_and_text, materialize, row_slices, ship_package, small_batches, worker_cache
 
 WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
 GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 2_000
+#: Windows that are filled less than this are open, and about this many of their pieces are packed together
+#: in the second round, whose sequence ids begin here.
+FILLED, BLOCK_PIECES, SECOND_ROUND = 0.99, 2_000, 1 << 62
 #: Bytes of one generation of the cache of chunks; a worker keeps two. Longer chunks are not kept.
 CACHE_BYTES, LONGEST_CHUNK = 80_000_000, 64
 #: Texts whose unknown chunks are learned together.
@@ -194,7 +201,7 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
     ship_package(docs.sparkSession)
     small_batches(docs.sparkSession)
     last = pa.field("ids_crc32", pa.int64()) if checksum else pa.field("ids", pa.binary())
-    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")] + [last] + [(n, pa.int64()) for n in ("sequence_id", "offset")])
+    schema = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")] + [last] + [(n, pa.int64()) for n in ("sequence_id", "offset")] + [("open", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task(chunk_ids)
@@ -204,11 +211,13 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
 
         def placed() -> Iterator[pa.RecordBatch]:
             nonlocal made
-            which, place, count = best_fit_decreasing(np.array([p[2] for p in pieces], np.int64), window)
+            lengths = np.array([p[2] for p in pieces], np.int64)
+            which, place, count = best_fit_decreasing(lengths, window)
+            unfilled = (np.bincount(which, lengths, count) < FILLED * window)[which]
             which, made = which + first + made, made + count
             for at in range(0, len(pieces), PIECES_AT_A_TIME):
                 stop = at + PIECES_AT_A_TIME
-                columns = [*zip(*pieces[at:stop]), which[at:stop], place[at:stop]]
+                columns = [*zip(*pieces[at:stop]), which[at:stop], place[at:stop], unfilled[at:stop]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for rows in row_slices(batches):
@@ -225,7 +234,26 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
             yield from placed()
 
     columns = "doc_id long, start long, length long, doc_tokens long, " + ("ids_crc32 long" if checksum else "ids binary")
-    return id_and_text(docs).mapInArrow(run, f"{columns}, sequence_id long, offset long")
+    packed = materialize(id_and_text(docs).mapInArrow(run, f"{columns}, sequence_id long, offset long, open boolean"), "packed")
+    return packed.where("not open").drop("open").unionByName(_pack_again(packed.where("open").drop("open"), window))
+
+
+def _pack_again(pieces: DataFrame, window: int) -> DataFrame:
+    """The second round: pieces of open windows, dealt over blocks by where they
+    lie now (no two lie at one place, so no key is hot), get new places."""
+    blocks = max(1, math.ceil(pieces.count() / BLOCK_PIECES))
+    columns = pieces.columns
+
+    def again(table: pa.Table) -> pa.Table:
+        begin_task()
+        table = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        which, place, _ = best_fit_decreasing(table["length"].to_numpy(), window)
+        first = SECOND_ROUND + (table["block"][0].as_py() << 40)
+        placed = {"sequence_id": pa.array(which + first), "offset": pa.array(place)}
+        return pa.table([placed.get(c, table[c]) for c in columns], columns)
+
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("sequence_id", "offset"), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(again, pieces.schema)
 
 
 def packed_sequences(packed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hearthline.llm import packing as K
@@ -74,7 +75,37 @@ def test_tables(spark):
     assert K.pack_documents(H.empty(spark), H.path(NAME)).count() == 0
 
 
-def test_little_padding(spark):
-    packed = K.pack_documents(H.documents(spark).coalesce(1), H.path(NAME), checksum=True)
+def fill(packed):
     used, windows = packed.selectExpr("sum(length)", "count(distinct sequence_id)").first()
-    assert used / (windows * K.WINDOW) > 0.97
+    return used / (windows * K.WINDOW)
+
+
+def test_little_padding(spark):
+    assert fill(K.pack_documents(H.documents(spark).coalesce(1), H.path(NAME), checksum=True)) > 0.97
+
+
+def test_little_padding_in_many_partitions(spark):
+    """Five documents a task: windows that these can't fill are filled in the second round, whole and gapless."""
+    rows = K.pack_documents(H.documents(spark).repartition(211), H.path(NAME), checksum=True).cache()
+    assert fill(rows) > 0.97
+    lengths, windows = {}, {}
+    for r in rows.collect():
+        lengths.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert rows.where("start = 0").count() == H.documents(spark).count()
+    for runs, total in [(p, k[1]) for k, p in lengths.items()] + [(w, None) for w in windows.values()]:
+        runs.sort()
+        ends = np.cumsum([n for _, n in runs]).tolist()
+        assert [a for a, _ in runs] == [0, *ends[:-1]] and ends[-1] == (total or ends[-1])
+        assert total or ends[-1] <= K.WINDOW
+
+
+def test_second_round_in_blocks(spark, monkeypatch):
+    """Several blocks share no sequence, and nothing is lost between both rounds."""
+    monkeypatch.setattr(K, "BLOCK_PIECES", 40)
+    rows = K.pack_documents(H.documents(spark).repartition(211), H.path(NAME), checksum=True).cache()
+    whole = K.pack_documents(H.documents(spark).coalesce(1), H.path(NAME), checksum=True)
+    columns = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"]
+    assert rows.select(columns).exceptAll(whole.select(columns)).isEmpty() and rows.count() == whole.count()
+    assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > K.WINDOW).isEmpty()
+    assert rows.where(F.col("sequence_id") >= K.SECOND_ROUND).selectExpr("count(distinct shiftright(sequence_id, 40))").first()[0] > 1
