@@ -1,7 +1,8 @@
 """Secrets in texts: patterns for the plain kinds, and a character convolutional
-network over every other candidate and what surrounds it.
+network over every candidate and what surrounds it.
 
-Base kinds are `assign`, `access` and `hex`; their matches always stay. Further
+Base kinds are `assign`, `access` and `hex`; their matches always stay, and the
+network's score of their values goes with them. Further
 candidates are runs of 16 or more key characters that no base match contains: a
 run that one only touches is scored as a whole, but for a leading name and `=`.
 The network (numpy) sees each whole candidate in windows, with the characters
@@ -11,7 +12,8 @@ that are generated from a fixed seed, as many secrets as benign ones of every
 alphabet, calibrated on held-out ones, and reported on others. Each alphabet's
 threshold keeps RECALL of the held-out secrets at least: it is the largest that does,
 or where benign ones all score lower, halfway (in log odds) between both. Secrets
-of letters alone mix cases: random letters of one case are not told from words.
+of letters alone mix cases: random letters of one case are not told from words,
+so these are benign findings, as headings and compounds of any language.
 
 Null texts count as empty and have no spans. Spans are in code points, end
 exclusive, ordered by start and then kind. Repeated rows stay repeated; an empty
@@ -60,17 +62,22 @@ def _sign_table() -> np.ndarray:
     return table
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the base matches."""
+def base_matches(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, kind, end, start of the value) of the base matches."""
     found = []
     if "=" in text or ":" in text:
-        found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
+        found += [(m.start(), 0, m.end(), m.start(1)) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= ASSIGN_LEAST]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+        found += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(text)]
+    found += [(m.start(), 2, m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
+def base_spans(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the base matches."""
+    return [m[:3] for m in base_matches(text)]
+
+
 def other_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """Runs of key characters that no base match contains; of those that one touches,
     what stands behind a name. base ascends by start."""
@@ -113,7 +120,9 @@ class Network:
     """One convolution over signs, maximum and mean over places, a logistic output."""
 
     def __init__(self, rng: np.random.Generator):
-        self.w = rng.normal(0, 0.15, (WIDTH, 2 * _SIGNS, FILTERS)).astype(np.float32)
+        kinds = np.repeat(np.arange(4), (2, 26, 26, _SIGNS - 54))  # letters of one case begin alike, so that changes of case are learned soon
+        alike = rng.normal(0, 0.3, (WIDTH, 8, FILTERS))[:, np.concatenate([kinds, kinds + 4])]
+        self.w = (alike + rng.normal(0, 0.15, (WIDTH, 2 * _SIGNS, FILTERS))).astype(np.float32)
         self.b = np.zeros(FILTERS, np.float32)
         self.v = rng.normal(0, 0.15, 2 * FILTERS).astype(np.float32)
         self.c = np.zeros(1, np.float32)
@@ -148,7 +157,7 @@ class Network:
             dw[k] = seen.T @ dz
         return [dw, dz.sum(0), off @ pooled, off.sum(keepdims=True)]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 6, size: int = 128, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, rounds: int = 8, size: int = 128, rate: float = 0.01) -> None:
         """Adam over shuffled batches."""
         params = [self.w, self.b, self.v, self.c]
         mean, square, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
@@ -217,6 +226,18 @@ class _Findings:
             made += self.syllable()
         return made
 
+    def rough_word(self) -> str:
+        """A compound of few syllables that repeat, consonants in clusters."""
+        parts = [self.some("bcdfghjklmnprstvwz", int(self.rng.integers(0, 3))) + self.some("aeiou", 1) + self.pick(*SYLLABLE_ENDS) for _ in range(4)]
+        made = ""
+        while len(made) < 16 + self.rng.integers(0, 12):
+            made += self.pick(*parts)
+        return made
+
+    def accented(self, word: str) -> str:
+        """The word, its vowels now and then with an accent."""
+        return word.translate(str.maketrans("aeiou", "àéîöü")) if self.rng.integers(6) == 0 else word
+
     def cased(self, text: str) -> str:
         return self.pick(text, text.capitalize(), text.upper())
 
@@ -239,7 +260,8 @@ class _Findings:
             return self.pick((self.digest(), True), (self.digest().upper(), True), (self.pick(*runs), False))
         if group == 1:
             names = "".join(self.word().capitalize() for _ in range(self.rng.integers(3, 7)))
-            return self.pick(self.cased(self.long_word()), self.cased(self.long_word()), names, (LOWER + self.some(LOWER, 1)).upper(), self.word() * 6), False
+            rough = self.some(LOWER, int(self.rng.integers(16, 48)))  # of one case: no secret that is learned
+            return self.pick(self.cased(self.long_word()), self.cased(self.rough_word()), self.cased(rough), names, (LOWER + self.some(LOWER, 1)).upper(), self.word() * 6), False
         return self.pick(
             (self.some("-_/", 1).join(self.word() for _ in range(self.rng.integers(3, 8))), False),
             (self.some("=-_+", 1) * int(self.rng.integers(16, 60)), False),
@@ -269,14 +291,16 @@ class _Findings:
         body, told = "", False
         while len(body) < 16 or not CANDIDATE.fullmatch(body) or alphabet(body) != group:
             body, told = (self.secret(group), False) if label else self.benign(group)
-        lead = " ".join(self.word() for _ in range(self.rng.integers(0, 6)))
+        loud, between = self.rng.integers(4) == 0, self.pick(" ", " ", ", ", "! ", "!! ", ". ", " - ")  # headings, lists
+        around = lambda most: between.join(self.accented(self.word()) for _ in range(self.rng.integers(0, most)))
+        lead = around(6).upper() if loud else around(6)
         if told:
             lead += self.some(" \n", 1) + self.pick(*DIGEST_WORDS) + self.pick(": ", " = ", " ", " is ")
         elif self.rng.integers(4) == 0:
             lead += self.some(" \n", 1) + self.pick(*VALUE_WORDS) + self.pick(": ", " = ", '="', " ")
         elif lead:
             lead += self.some("  \n(\"", 1)
-        tail = self.pick("", ".", " ", ",", '"', "\n") + " ".join(self.word() for _ in range(self.rng.integers(0, 3)))
+        tail = self.pick("", ".", " ", ",", '"', "\n", "!! ") + (around(3).upper() if loud else around(3))
         if tail and CANDIDATE.match(body[-1] * 15 + tail[0]):
             tail = " " + tail
         return lead + body + tail, len(lead), len(lead) + len(body)
@@ -306,34 +330,36 @@ def network(findings: int = 9000, seed: int = 7) -> Network:
     return net
 
 
-def learned_spans(net: Network, texts: list[str], bases: list) -> list[list[tuple[int, int, int, float]]]:
-    """(start, kind, end, score) of the candidates of each text that the network accepts."""
+def scored_spans(net: Network, texts: list[str]) -> list[list[tuple[int, int, int, float]]]:
+    """(start, kind, end, score) of the base matches of each text, and of the other
+    candidates that the network accepts, in order."""
     where, rows = [], []
-    for i, (text, base) in enumerate(zip(texts, bases)):
-        for start, end in other_candidates(text, base):
-            windows = _windows(text, start, end)
+    for i, text in enumerate(texts):
+        base = base_matches(text)
+        other = [(start, 3, end, start) for start, end in other_candidates(text, [m[:3] for m in base])]
+        for start, kind, end, value in base + other:
+            windows = _windows(text, value, end)
             rows += windows
-            where.append((i, start, end, len(windows)))
+            where.append((i, start, kind, end, len(windows)))
     out: list[list] = [[] for _ in texts]
     if rows:
         p = np.concatenate([net.probabilities(np.stack(rows[at : at + 1024])) for at in range(0, len(rows), 1024)])
         at = 0
-        for i, start, end, n in where:
+        for i, start, kind, end, n in where:
             score, at = float(p[at : at + n].max()), at + n
-            if score >= net.threshold[alphabet(texts[i][start:end])]:
-                out[i].append((start, 3, end, score))
-    return out
+            if kind < 3 or score >= net.threshold[alphabet(texts[i][start:end])]:
+                out[i].append((start, kind, end, score))
+    return [sorted(found) for found in out]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end, score) of every whole text. Base
-    matches have a score of 1."""
+    matches stay whatever the score of their values."""
     net = network()
 
     def make():
         def step(rows):
-            bases = list(map(base_spans, rows["text"]))
-            spans = [sorted([(a, k, b, 1.0) for a, k, b in base] + more) for base, more in zip(bases, learned_spans(net, rows["text"], bases))]
+            spans = scored_spans(net, rows["text"])
             return {"doc_id": rows["doc_id"], "spans": [[{"kind": KINDS[k], "start": a, "end": b, "score": s} for a, k, b, s in found] for found in spans]}
 
         return step
@@ -362,12 +388,9 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     def make():
         def step(column):
             texts = column.to_pylist()
-            whole = [t or "" for t in texts]
-            bases = list(map(base_spans, whole))
-            for i, (base, more) in enumerate(zip(bases, learned_spans(net, whole, bases))):
-                spans = sorted([(a, b) for a, _, b in base] + [(a, b) for a, _, b, _ in more])
+            for i, spans in enumerate(scored_spans(net, [t or "" for t in texts])):
                 if spans:
-                    texts[i] = _redacted(texts[i], spans, mark)
+                    texts[i] = _redacted(texts[i], [(a, b) for a, _, b, _ in spans], mark)
             return texts
 
         return step

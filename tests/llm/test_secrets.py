@@ -87,3 +87,28 @@ def test_redaction(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
     kept = S.redact_secrets(H.awkward(spark))
     assert kept.columns == H.awkward(spark).columns and kept.count() == len(H.AWKWARD)
+
+
+def test_words_of_documents_are_no_secrets(spark):
+    """No span is added to the given documents, whose long words and headings are no keys."""
+    texts = [r["text"] or "" for r in H.documents(spark).collect()]
+    assert sum(len(S.other_candidates(t, S.base_spans(t))) for t in texts) > 20
+    assert not [s for spans in S.scored_spans(S.network(), texts) for s in spans if s[1] == 3]
+
+
+def test_headings_are_no_secrets():
+    """Long words of one case in headings, with marks and accents around them; a key in the same place is found."""
+    words = ["ERSCHSCHBERBERTZ", "LAAITIONELLEELLE", "DONAUDAMPFSCHIFFFAHRT", "Rechtsschutzversicherung", "internationalisation", "ANTICONSTITUTIONNELLEMENT"]
+    places = ["{}", "Ê!! QUE!! LEVIQUE!! {}!! NON", "ÜBER {}, UND", "a word: {}. more of it", "1. {}\n\nText"]
+    spans = S.scored_spans(S.network(), [p.format(w) for p in places for w in words])
+    assert spans == [[]] * len(spans)
+    assert all(len(s) == 1 for s in S.scored_spans(S.network(), [p.format(KEY) for p in places]))
+
+
+def test_values_of_base_matches_are_scored():
+    """Base spans stay, whatever the network says of their values."""
+    texts = [f'password = "{KEY}"', "password = aaaaaaaaaaaa", "sha256 " + "0123456789abcdef" * 2, "token: " + "wordwordword" * 9]
+    spans = S.scored_spans(S.network(), texts)
+    assert [[s[:3] for s in found] for found in spans] == [S.base_spans(t) for t in texts] and all(len(s) == 1 for s in spans)
+    value = S.scored_spans(S.network(), [f"password {KEY}"])[0][0]
+    assert value[1] == 3 and all(0 <= s[0][3] <= 1 for s in spans) and spans[0][0][3] > 0.9 > 0.5 > spans[1][0][3]
