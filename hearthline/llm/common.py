@@ -165,6 +165,11 @@ def bounded_rows(rows: DataFrame, key: Column, bound: int) -> DataFrame:
 HOT_PART, FEW, SALTS = 1000, 256, 64
 
 
+def is_hot(most: int, total: int) -> bool:
+    """Whether a key of this many rows is hot among total ones."""
+    return most > FEW and most * HOT_PART > total
+
+
 def join_spread(rows: DataFrame, one: DataFrame, key: str, total: int, by: str, count: str = "count", how: str = "inner") -> DataFrame:
     """Joins rows with the one row of their key, hot keys dealt over many tasks by
     the column `by`. one counts the rows of its keys, which add up to total at
