@@ -13,11 +13,11 @@ prototype). Texts of fewer than SHORT trigrams say too little and are kept; wher
 nothing was learned, all with a letter are kept.
 
 Texts that are null or hold no letter are `und` with a score of 0, and so is all
-where nothing could be learned. Prototypes come from a bounded number of labelled
-texts: each language gives all its texts where it has few, else an equal share of
-TRAIN_TEXTS (LANGUAGE_TEXTS at least), chosen by a hash of doc_id. So every language is
-learned. Of drawn documents that share an id (or have none) one is learned from, the
-first by language and text. In the result repeated rows stay repeated; an
+where nothing could be learned. Prototypes and limits come from all labelled texts. A
+caller may ask for about train_texts of them: then each language gives all its texts
+where it has few, else an equal share (LANGUAGE_TEXTS at least), chosen by a hash of
+doc_id. Every language is learned. Of documents that share an id (or have none) one is
+learned from, the first by language and text. In the result repeated rows stay repeated; an
 empty table gives an empty table; further columns, whatever their names, are
 kept by `keep_languages` and not read by the rest.
 """
@@ -25,15 +25,23 @@ kept by `keep_languages` and not read by the rest.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_udf, id_remainder, map_rows, sum_vectors
+from hearthline.operators.quantiles import exact_quantiles
+
+from .common import begin_task, column_udf, id_remainder, map_rows, materialize, row_slices, ship_package, small_batches, sum_vectors
 
 DIMENSIONS = 1024
-TRAIN_TEXTS, LANGUAGE_TEXTS = 20_000, 500
+#: How many labelled texts are learned from (None: all), and how many of a language at least where they are bounded.
+TRAIN_TEXTS: int | None = None
+LANGUAGE_TEXTS = 500
+#: Languages whose sums a task holds at a time.
+SUMS_HELD = 1024
 UNKNOWN = "und"
 #: Texts of fewer trigrams are never rejected by their score; bands of length are powers of two up to the last.
 SHORT, LAST_BAND = 16, 12
@@ -104,28 +112,51 @@ def _band(sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes < SHORT, -1, np.minimum(np.log2(np.maximum(sizes, 1)).astype(np.int64), LAST_BAND))
 
 
-def _labelled(docs: DataFrame, may_learn: Column, train_texts: int) -> DataFrame:
-    """A bounded number of documents of each language, of those with a label where may_learn holds."""
+def _labelled(docs: DataFrame, may_learn: Column, train_texts: int | None) -> DataFrame:
+    """Documents with a label where may_learn holds, one of each id: all, or a bounded number of each language."""
     labelled = docs.select(F.col("doc_id"), F.col("text"), F.col("lang").cast("string").alias("lang")).where(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
-    each = max(LANGUAGE_TEXTS, train_texts // max(1, len(known)))
-    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in known], "lang string, share long")
-    drawn = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share"))
-    return drawn.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("r.text", "r.lang")
+    if train_texts is not None:
+        known = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+        each = max(LANGUAGE_TEXTS, train_texts // max(1, len(known)))
+        shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, each / r["n"]) * (1 << 30))) for r in known], "lang string, share long")
+        labelled = labelled.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share"))
+    return _one_of_each_id(labelled)
 
 
-def _label_sums(chosen: DataFrame) -> dict[str, np.ndarray]:
-    """The sum of the unit vectors of each label that has a letter."""
+def _one_of_each_id(labelled: DataFrame) -> DataFrame:
+    """Of the rows of an id (or without one) the first by language and text. Where ids that
+    repeat are few, no text moves but theirs."""
+    counted = labelled.groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = materialize(counted.where("n > 1").select(F.col("doc_id").alias("id")), "repeated")
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    first = labelled.join(repeated, same, "left_semi").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r"))
+    return labelled.join(repeated, same, "left_anti").select("text", "lang").unionByName(first.select("r.text", "r.lang"))
 
-    def make():
-        def step(rows):
-            vectors, label = document_vectors(rows["text"]), np.array(rows["lang"], object)
-            found = sorted(set(rows["lang"]))
-            return {"lang": found, "vector": [vectors[label == x].sum(0, dtype=np.float64) for x in found]}
 
-        return step
-
-    sums = sum_vectors(map_rows(chosen, "lang string, vector array<double>", make), "lang", "vector")
+def _label_sums(chosen: DataFrame) -> dict[str, np.ndarray]:
+    """The sum of the unit vectors of each label that has a letter."""
+    ship_package(chosen.sparkSession)
+    small_batches(chosen.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin_task()
+        sums: dict[str, np.ndarray] = {}
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["lang", "vector"])
+
+        for rows in row_slices(batches):
+            vectors = document_vectors(rows["text"])
+            found, which = np.unique(np.array(rows["lang"], object), return_inverse=True)
+            for k, x in enumerate(found):
+                sums[x] = sums.get(x, 0) + vectors[which == k].sum(0, dtype=np.float64)
+            if len(sums) > SUMS_HELD:
+                yield held()
+                sums.clear()
+        if sums:
+            yield held()
+
+    sums = sum_vectors(chosen.mapInArrow(run, "lang string, vector array<double>"), "lang", "vector")
     return {k: np.array(sums[k]) for k in sorted(sums) if np.any(sums[k])}
 
 
@@ -153,18 +184,21 @@ def _limits(chosen: DataFrame, sums: dict[str, np.ndarray]) -> dict[int, float]:
 
         return step
 
-    own = map_rows(chosen, "band long, cosine double", make)
-    found = own.rollup("band").agg(F.percentile("cosine", F.lit(LOW_QUANTILE)).alias("low"), F.count("*").alias("n")).collect()
-    low = {r["band"]: max(0.0, r["low"]) for r in found if r["n"] >= FEWEST}
+    own = materialize(map_rows(chosen, "band long, cosine double", make), "cosines")  # two numbers of each text
+    number = {r["band"]: r["count"] for r in own.groupBy("band").count().collect()}
+    number[None] = sum(number.values())
+    each = own.select(F.explode(F.array(F.col("band").cast("string"), F.lit("None"))).alias("feature"), F.col("cosine").alias("x"))
+    found = exact_quantiles(each, [LOW_QUANTILE])
+    low = {b: max(0.0, found[str(b)][0]) for b, n in number.items() if n >= FEWEST}
     return {b: low.get(b, low.get(None, 0.0)) for b in range(int(np.log2(SHORT)), LAST_BAND + 1)}
 
 
-def learn_prototypes(docs: DataFrame, may_learn: Column, train_texts: int = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
+def learn_prototypes(docs: DataFrame, may_learn: Column, train_texts: int | None = TRAIN_TEXTS) -> tuple[list[str], np.ndarray]:
     """Labels, sorted, and unit prototypes, from documents with a label where may_learn holds."""
     return _prototypes(_label_sums(_labelled(docs, may_learn, train_texts)))
 
 
-def learn_prototypes_and_limits(docs: DataFrame, may_learn: Column, train_texts: int = TRAIN_TEXTS) -> tuple[tuple[list[str], np.ndarray], dict[int, float]]:
+def learn_prototypes_and_limits(docs: DataFrame, may_learn: Column, train_texts: int | None = TRAIN_TEXTS) -> tuple[tuple[list[str], np.ndarray], dict[int, float]]:
     """The prototypes, and the least score by band that keep_languages takes."""
     chosen = _labelled(docs, may_learn, train_texts)
     sums = _label_sums(chosen)

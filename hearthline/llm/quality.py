@@ -5,13 +5,15 @@ Each text gives a vector of statistics, transformed to be near normal. Each clas
 has a mean and a covariance, shrunk towards the pooled covariance and a multiple
 of the identity; the score is the logistic of the difference of log densities
 (Mahalanobis terms by cached Cholesky factors) and log class shares, calibrated
-by a scale and a shift on the rows learned from.
+by a scale and a shift on the rows learned from. All labels are learned from: sums and
+products of the statistics, in whole units of 2^-20, are added up on the executors and
+so don't depend on the order of arrival; calibration sees how many rows of each class
+have which margin, in steps of 2^-10.
 
 Null and empty texts have the statistics of a text without characters and are
 scored like any other. Where a class has no labelled text, every score is the
 share of label 1 (0.5 without any label). Labels with nulls are not learned from; of several for an id the larger counts,
 and of several documents with an id one is learned from.
-Learning takes at most about TRAIN_ROWS labels, chosen by a hash of doc_id.
 Repeated rows stay repeated; an empty table gives an empty table; further
 columns, whatever their names, are kept by `keep_quality`, never used as inputs.
 """
@@ -27,10 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, column_udf, id_remainder, map_rows
+from .common import column_udf, id_remainder, map_rows, materialize, sum_vectors
 
-TRAIN_ROWS = 40_000
 LEAST_SCORE = 0.3
+#: Statistics are added up in units of one part of UNIT, margins counted in steps of one part of STEPS.
+UNIT, STEPS = 1 << 20, 1 << 10
 #: Weights of the pooled covariance and of the identity in a class's covariance.
 TO_POOLED, TO_IDENTITY = 0.2, 0.02
 _UPPER, _LOWER, _DIGIT, _SPACE, _COMMON, _ODD = range(6)
@@ -99,28 +102,43 @@ class Discriminant:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Discriminant:
-        if len(set(y.tolist())) < 2:
-            return cls([], [], [], float(y.mean()) if len(y) else 0.5)
-        d, centred = x.shape[1], [x[y == c] - x[y == c].mean(0) for c in (0, 1)]
-        pooled = sum(c.T @ c for c in centred) / len(x)
+        of = {c: x[y == c] for c in sorted(set(y.astype(int).tolist()))}
+        out = cls.of_moments({c: (len(r), r.mean(0), (r - r.mean(0)).T @ (r - r.mean(0))) for c, r in of.items()})
+        if out.mean:
+            pairs, count = np.unique(np.stack([out.steps(x), y.astype(np.int64)]), axis=1, return_counts=True)
+            out.calibrate(pairs[0], pairs[1], count)
+        return out
+
+    @classmethod
+    def of_moments(cls, moments: dict[int, tuple[int, np.ndarray, np.ndarray]]) -> Discriminant:
+        """Not yet calibrated. moments: of each class the number of rows, their mean, and the sum of the products of what they differ from it."""
+        total = sum(n for n, _, _ in moments.values())
+        share = (moments[1][0] if 1 in moments else 0) / total if total else 0.5
+        out = cls([], [], [], share)
+        if len(moments) < 2:
+            return out
+        pooled = sum(moments[c][2] for c in (0, 1)) / total
         size = np.diag(np.maximum(np.diag(pooled), 1e-6))
-        out = cls([], [], [], float(y.mean()))
-        for label, c in enumerate(centred):
-            own = (c.T @ c + 10 * pooled) / (len(c) + 10)
-            factor = np.linalg.cholesky((1 - TO_POOLED - TO_IDENTITY) * own + TO_POOLED * pooled + TO_IDENTITY * size + 1e-9 * np.eye(d))
-            out.mean.append(x[y == label].mean(0))
+        for n, mean, scatter in (moments[0], moments[1]):
+            own = (scatter + 10 * pooled) / (n + 10)
+            factor = np.linalg.cholesky((1 - TO_POOLED - TO_IDENTITY) * own + TO_POOLED * pooled + TO_IDENTITY * size + 1e-9 * np.eye(len(mean)))
+            out.mean.append(mean)
             out.whiten.append(np.linalg.inv(factor))
-            out.constant.append(math.log(len(c) / len(x)) - float(np.log(np.diag(factor)).sum()))
-        out._calibrate(x, y)
+            out.constant.append(math.log(n / total) - float(np.log(np.diag(factor)).sum()))
         return out
 
-    def _calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Scale and shift by gradient steps on the mean log loss, kept near the plain logistic of a tenth."""
-        z, beta = self.difference(x) / 10, np.array([1.0, 0.0])
+    def steps(self, x: np.ndarray) -> np.ndarray:
+        """A tenth of the difference, in whole steps: no more than about twelve times STEPS different ones."""
+        return np.rint(self.difference(x) / 10 * STEPS).astype(np.int64)
+
+    def calibrate(self, steps: np.ndarray, y: np.ndarray, count: np.ndarray) -> None:
+        """Scale and shift by gradient steps on the mean log loss of rows that are counted by
+        step and class, kept near the plain logistic of a tenth."""
+        z, beta, weight = steps / STEPS, np.array([1.0, 0.0]), count / count.sum()
         design = np.stack([z, np.ones_like(z)], 1)
         for _ in range(300):
             p = 1 / (1 + np.exp(-(design @ beta)))
-            beta = beta - 0.3 * (design.T @ (p - y) / len(y) + 0.01 * (beta - [1.0, 0.0]))
+            beta = beta - 0.3 * (design.T @ (weight * (p - y)) + 0.01 * (beta - [1.0, 0.0]))
         self.scale, self.shift = float(max(beta[0], 0.1)) / 10, float(beta[1])
 
     def difference(self, x: np.ndarray) -> np.ndarray:
@@ -137,23 +155,52 @@ class Discriminant:
         return self.score(np.array([statistics(t) for t in texts])).tolist() if texts else []
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, train_rows: int = TRAIN_ROWS) -> Discriminant:
-    """Learns `quality` from labels of ids where may_learn (over doc_id) holds."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(may_learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
-    chosen = bounded_rows(known, F.col("doc_id"), train_rows).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    # at most about train_rows pairs of numbers: small enough to send to every executor
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+def _moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Of each quality in rows (quality, x) the number, the mean and the summed products of what x differs from it, from exact sums."""
 
     def make():
-        return lambda rows: {"doc_id": rows["doc_id"], "quality": rows["quality"], "x": [statistics(t) for t in rows["text"]]}
-
-    each = map_rows(labelled, "doc_id long, quality int, x array<double>", make)
-    # one row for each id, however many documents repeat it: no more than there are labels
-    found = each.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("one")).select("one.*").toPandas()
-    x = np.array(found["x"].tolist(), np.float64).reshape(len(found), len(statistics("")))
-    y = found["quality"].to_numpy(np.float64)
-    order = np.lexsort(np.vstack([x.T, y]))  # the sums, too, don't depend on the order of arrival
-    return Discriminant.fit(x[order], y[order])
+        def step(rows):
+            x, quality = np.rint(np.array(rows["x"]) * UNIT).astype(np.int64), np.array(rows["quality"])
+            found, vector = sorted(set(rows["quality"])), []
+            for c in found:  # a slice has 512 rows at most and statistics are below 100: no sum overflows
+                own = x[quality == c]
+                vector.append(np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()]))
+            return {"quality": found, "vector": vector}
+
+        return step
+
+    parts = map_rows(rows, "quality int, vector array<long>", make)
+    out, d = {}, len(statistics(""))
+    for c, sums in sum_vectors(parts.withColumn("vector", F.col("vector").cast("array<decimal(38,0)>")), "quality", "vector").items():
+        n, *rest = map(int, sums)
+        one, two = rest[:d], rest[d:]
+        scatter = [(n * two[i * d + j] - one[i] * one[j]) / (n * UNIT * UNIT) for i in range(d) for j in range(d)]
+        out[c] = n, np.array([v / (n * UNIT) for v in one]), np.array(scatter).reshape(d, d)
+    return out
+
+
+def learn_quality(docs: DataFrame, labels: DataFrame, may_learn: Column) -> Discriminant:
+    """Learns `quality` from all labels of ids where may_learn (over doc_id) holds."""
+    usable = may_learn & F.col("doc_id").isNotNull()
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(usable & F.col("quality").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+
+    def make():
+        return lambda rows: {"doc_id": rows["doc_id"], "x": [statistics(t) for t in rows["text"]]}
+
+    # statistics are far smaller than texts: they are what moves, one for each id, however many documents repeat it
+    each = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(usable), "doc_id long, x array<double>", make)
+    one = each.groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = materialize(one.join(known, "doc_id").select("quality", "x"), "statistics")
+    model = Discriminant.of_moments(_moments(rows))
+    if model.mean:
+
+        def measure():
+            return lambda rows: {"step": model.steps(np.array(rows["x"])), "quality": rows["quality"]}
+
+        counted = map_rows(rows, "step long, quality int", measure).groupBy("step", "quality").count().toPandas()  # bounded by the steps
+        model.calibrate(counted["step"].to_numpy(), counted["quality"].to_numpy(), counted["count"].to_numpy())
+    return model
 
 
 def score_quality(docs: DataFrame, model: Discriminant) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -43,3 +44,21 @@ def test_repeated_ids_give_one_example(spark):
     rows = [(1, f"text number {i} of one id", "en", "s", 1) for i in range(300)] + [(2, "ein anderer Text", "de", "s", 1), (None, "no id", "en", "s", 1), (None, "none either", "en", "s", 1)]
     chosen = L._labelled(spark.createDataFrame(rows, H.SCHEMA), F.lit(True), L.TRAIN_TEXTS).collect()
     assert sorted((r["lang"], r["text"]) for r in chosen) == [("de", "ein anderer Text"), ("en", "no id"), ("en", "text number 0 of one id")]
+
+
+def test_all_labelled_texts_are_learned_from(spark):
+    """Prototypes and limits are those of every labelled text, computed here again without Spark."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=12)), "en", "s", 1) for i in range(21_000)] + [(7, "aaa", "en", "s", 1), (None, "none", "en", "s", 1), (None, "no id", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, H.SCHEMA)
+    own = ["aaa" if i == 7 else t for i, t, *_ in rows[:21_000]]  # the first of the two of id 7
+    vectors, sizes = L._vectors_and_sizes(own)
+    total = vectors.sum(0, dtype=np.float64)
+    (labels, prototypes), limits = L.learn_prototypes_and_limits(docs, F.lit(True))
+    assert labels == ["de", "en"] and np.abs(prototypes[1] - total / np.linalg.norm(total)).max() < 1e-6
+    others = total - vectors
+    cosine, band = (others * vectors).sum(1) / np.linalg.norm(others, axis=1), L._band(sizes)
+    for b in set(band.tolist()) - {-1}:
+        if (band == b).sum() >= L.FEWEST:
+            assert abs(limits[b] - np.quantile(cosine[band == b], L.LOW_QUANTILE)) < 1e-6

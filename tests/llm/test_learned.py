@@ -162,3 +162,18 @@ def test_predictions_against_brute_force(spark):
         cosine = prototypes @ vectors[r["doc_id"]]
         assert abs(max(0, cosine.max()) - r["score"]) < 1e-4
         assert r["lang_pred"] == langs[cosine.argmax()] or np.sort(cosine)[-1] - np.sort(cosine)[-2] < 1e-4 or not vectors[r["doc_id"]].any()
+
+
+def test_all_labels_are_learned_from(spark):
+    """More labels than a sample would take: shares, means and covariances are those of all, computed here again."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(w) for w in rng.choice(["plain", "words", "OF", "many", "sorts!", "12"], (300, 9))]
+    rows = [(i, texts[(i * 7 + i // 300) % 300]) for i in range(41_000)]
+    quality = [int(t.count("OF") + rng.integers(0, 3) < 3) for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.learn_quality(docs, spark.createDataFrame([(i, q) for (i, _), q in zip(rows, quality)], "doc_id long, quality int"), F.lit(True))
+    known = {t: Q.statistics(t) for t in texts}
+    x, y = np.array([known[t] for _, t in rows]), np.array(quality, float)
+    want = Q.Discriminant.fit(x, y)
+    assert model.share == y.mean() and all(np.abs(a - x[y == c].mean(0)).max() < 1e-5 for c, a in enumerate(model.mean))
+    assert np.abs(model.score(x) - want.score(x)).max() < 1e-3
