@@ -4,6 +4,7 @@ caches for Python tasks."""
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -84,16 +85,33 @@ def worker_cache(f: Callable) -> Callable:
 
 
 def begin_task(*used: Callable) -> None:
-    """Lets go of what other operators left in this worker."""
+    """Lets go of what other operators left in this worker, and gives the memory back."""
     for cached in _worker_caches:
         if cached not in used:
             cached.cache_clear()
+    give_back()
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """The C library's malloc_trim, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Returns freed memory, which allocators keep, to the system: executors hold workers beside their heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Texts are long: fewer of them go to a Python worker at once than Spark's default."""
     if spark.conf.get(_BATCH_ROWS) == "10000":
-        spark.conf.set(_BATCH_ROWS, str(4 * ROWS_AT_A_TIME))
+        spark.conf.set(_BATCH_ROWS, str(ROWS_AT_A_TIME))
 
 
 def row_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -154,13 +172,6 @@ class BoundedCache(dict):
         return value
 
 
-def bounded_rows(rows: DataFrame, key: Column, bound: int) -> DataFrame:
-    """About bound rows at most, chosen by a hash of the key: all of them where
-    there are no more. Its size is proven, so it may be broadcast or learned from."""
-    share = min(1.0, bound / max(1, rows.count()))
-    return rows if share == 1.0 else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-
-
 #: A key with more than this part of all rows (and more than FEW of them) is hot; it is dealt over SALTS places.
 HOT_PART, FEW, SALTS = 1000, 256, 64
 

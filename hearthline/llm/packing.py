@@ -28,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin_task, id_and_text, materialize, row_slices, ship_package, small_batches, worker_cache
+from .common import begin_task, give_back, id_and_text, materialize, row_slices, ship_package, small_batches, worker_cache
 
 WINDOW, END_ID = 4096, 2
 #: Pieces, and bytes of them, that a task packs together.
-GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 2_000
+GROUP_PIECES, GROUP_BYTES, PIECES_AT_A_TIME = 50_000, 32_000_000, 500
 #: Windows that are filled less than this are open, and about this many of their pieces are packed together
 #: in the second round, whose sequence ids begin here.
 FILLED, BLOCK_PIECES, SECOND_ROUND = 0.99, 2_000, 1 << 62
-#: Bytes of one generation of the cache of chunks; a worker keeps two. Longer chunks are not kept.
+#: Bytes of one generation of the cache of chunks; a worker keeps two. Where pieces keep their ids, GROUP_BYTES of
+#: them take the place of as much of each generation. Longer chunks are not kept.
 CACHE_BYTES, LONGEST_CHUNK = 80_000_000, 64
 #: Texts whose unknown chunks are learned together.
 TEXTS_AT_A_TIME = 128
@@ -51,9 +52,10 @@ class ChunkIds:
     up, and those not seen yet are encoded together. The vocabulary marks the ends
     of words with </w>."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
+        self.cache_bytes = cache_bytes
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -118,7 +120,7 @@ class ChunkIds:
         distinct = set().union(*(c for c in cut if c))
         lacking = distinct.difference(self.known)
         if lacking:
-            if self.held > CACHE_BYTES:
+            if self.held > self.cache_bytes:
                 self.older, self.known, self.held = self.known, {}, 0
                 lacking = distinct
             lacking = self._learn(lacking)
@@ -133,8 +135,8 @@ class ChunkIds:
 
 
 @worker_cache
-def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+def chunk_ids(path: str, cache_bytes: int = CACHE_BYTES) -> ChunkIds:
+    return ChunkIds(path, cache_bytes)
 
 
 class RoomTree:
@@ -205,7 +207,7 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin_task(chunk_ids)
-        encode, end, size = chunk_ids(path).encode, np.array([end_id], "<u4").tobytes(), 4 * window
+        encode, end, size = chunk_ids(path, CACHE_BYTES if checksum else CACHE_BYTES - GROUP_BYTES).encode, np.array([end_id], "<u4").tobytes(), 4 * window
         made, first, held = 0, TaskContext.get().partitionId() << 40, 0
         pieces: list[tuple] = []
 
@@ -230,6 +232,7 @@ def pack_documents(docs: DataFrame, path: str, checksum: bool = False, window: i
             if len(pieces) >= GROUP_PIECES or held >= GROUP_BYTES:
                 yield from placed()
                 pieces, held = [], 0
+                give_back()
         if pieces:
             yield from placed()
 

@@ -1,7 +1,11 @@
 """Packing: ids of the library, every id in one piece, gapless windows, best fit."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -109,3 +113,31 @@ def test_second_round_in_blocks(spark, monkeypatch):
     assert rows.select(columns).exceptAll(whole.select(columns)).isEmpty() and rows.count() == whole.count()
     assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > K.WINDOW).isEmpty()
     assert rows.where(F.col("sequence_id") >= K.SECOND_ROUND).selectExpr("count(distinct shiftright(sequence_id, 40))").first()[0] > 1
+
+
+def test_what_a_worker_holds_is_bounded():
+    """The cache of a worker whose pieces keep their ids leaves room for them, and a task begins without what the last one freed."""
+    code = """
+import random, re
+import pyarrow as pa
+from hearthline.llm import common, packing as K
+from tests.llm import helpers as H
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+common.begin_task()
+first = held()
+arrow = [pa.array(["x" * 1000] * 2000) for _ in range(20)]
+values, later = [bytes(600 + i % 400) for i in range(200_000)], [bytes(700) for _ in range(10)]  # the latter lie above the former and stay
+del arrow, values
+common.begin_task()
+print(held() - first)
+small = K.chunk_ids(H.path("word_bpe_49k.json"), 100_000)
+rng, most = random.Random(1), 0
+for _ in range(40):
+    small.encode([" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(100)) for _ in range(10)])
+    most = max(most, small.held)
+print(most)
+"""
+    root = Path(__file__).resolve().parents[2]
+    rest, most = map(float, subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"PYTHONPATH": str(root)}, capture_output=True, text=True, check=True).stdout.split())
+    assert rest < 60 and most < 100_000 + 1_000 * 250
