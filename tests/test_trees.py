@@ -101,3 +101,53 @@ def test_forest(spark):
     _, again = trees.grow_forest(train, held.withColumn("id", F.lit(1)), FEATURES, "y", "id", trees=2, step=2, depth=3, leaf=4, tried=2)
     assert abs(again[0][1] - errors[0][1]) < 1e-9  # held rows of one key are rows still
     assert trees.grow_forest(train, held.limit(0), FEATURES, "y", "id", trees=2, step=2, depth=1)[1] == []
+
+
+def test_rows_of_the_same_features_are_met_once(spark, monkeypatch):
+    """After the first pass, the work follows the number of different features, not of rows."""
+    sizes, real = {}, trees.staged
+
+    def noted(df, name):
+        rows = real(df, name)
+        sizes.setdefault(name, []).append(rows.count())
+        return rows
+
+    monkeypatch.setattr(trees, "staged", noted)
+    rows = rows_of(spark, 6000)
+    model = trees.grow_trees(rows, FEATURES, "y", "id", trees=2, depth=2, leaf=12, tried=2)
+    bag = trees.bagged(rows, FEATURES, "y", "id", range(2), True).collect()
+    same_nodes(model, {t: arrays([r for r in bag if r["tree"] == t]) for t in range(2)}, 2, 12, 2)
+    assert max(sizes["bag"]) <= 2 * 41 * 8 and max(sizes["values"]) <= 4 * (41 + 8)  # 41 values of a, 7 of b or none
+
+
+def test_classes_keep_small_deviations(spark):
+    """Labels that differ little next to what they are, and one far from all others."""
+    rows = rows_of(spark, 900).withColumn("y", F.when(F.col("id") == 7, 1e9).otherwise(1e6 + F.col("y") / 1e3))
+    one = {r["xs"][0]: r for r in trees.classes(trees.bagged(rows, ["a"], "y", "id", range(1), False), 1).collect()}
+    told = {}
+    for r in rows.collect():
+        told.setdefault(float(r["a"]), []).append(r["y"])
+    assert set(one) == set(told)
+    for x, y in told.items():
+        assert (one[x]["n"], one[x]["lo"], one[x]["hi"]) == (len(y), min(y), max(y))
+        assert math.isclose(one[x]["q"], ((np.array(y) - np.mean(y)) ** 2).sum(), rel_tol=1e-6)
+
+
+def test_many_values_and_classes(spark, monkeypatch):
+    """Values are ranked in ranges and tables joined by shuffles, with the same trees and errors."""
+    rows = rows_of(spark, 400)
+    train, held = rows.where("id % 5 <> 0"), rows.where("id % 5 = 0").withColumn("a", F.when(F.col("id") % 15 == 0, -0.0).otherwise(F.col("a")))
+
+    def found():
+        model, errors = trees.grow_forest(train, held, FEATURES, "y", "id", trees=2, step=2, depth=2, leaf=4, tried=2)
+        return sorted(model.select("tree", "node", "n", "feature", F.round("threshold", 9), F.round("value", 9)).collect(), key=lambda r: r[:2]), errors
+
+    few, errors = found()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few values are in one range
+    for name, most in (("RANGE_ROWS", 20), ("MOST_SENT", 0), ("MOST_VALUES", 0)):
+        monkeypatch.setattr(trees, name, most)
+    try:
+        many, again = found()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert few == many and len(few) > 4 and np.allclose([e for _, e in errors], [e for _, e in again])
