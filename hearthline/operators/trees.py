@@ -89,11 +89,10 @@ def node_values(bag: DataFrame, nodes: DataFrame, size: int, tried: int) -> Data
     return long.groupBy(*NODE, "f", "x").agg(F.sum("n").alias("n"), F.sum("s").alias("y"), *moved, F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def thresholds(dealt: DataFrame) -> DataFrame:
-    """dealt: tree, node, f, x, n, part. Of each node and feature ts, its quantiles in ascending order, each once.
+def thresholds(counted: DataFrame) -> DataFrame:
+    """counted: tree, node, f, x, c (its rows), part. Of each node and feature ts, its quantiles in ascending order, each once.
     Parts are in the order of values, and hold so few that one task can rank what a feature has in one."""
     group = ["tree", "node", "f"]
-    counted = dealt.where("x is not null").select(*group, "x", F.col("n").alias("c"), "part")
     parts = counted.groupBy(*group, "part").agg(F.sum("c").alias("here"))
     w = Window.partitionBy(*group)
     before = F.coalesce(F.sum("here").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -117,10 +116,10 @@ def best_splits(values: DataFrame, count: int, most: int, leaf: int) -> DataFram
     """tree, node, feature, threshold and l and r, the children (n, value, lo, hi), of those nodes that can be split with
     leaf rows on both sides. values: so many values (count) of nodes and their features (most at most)."""
     group = [*NODE, "f"]
-    dealt = values.withColumn("part", F.lit(0))
+    known = values.where("x is not null").select(*group, "x", F.col("n").alias("c"))
     if count > RANGE_ROWS:
-        dealt = staged(values.repartitionByRange(*group, "x").withColumn("part", F.spark_partition_id()), "dealt")
-    ts = thresholds(dealt)
+        known = staged(known.repartitionByRange(*group, "x").withColumn("part", F.spark_partition_id()), "dealt")
+    ts = thresholds(known if count > RANGE_ROWS else known.withColumn("part", F.lit(0)))
     ts = F.broadcast(ts) if most <= MOST_SENT else staged(ts, "thresholds")
     place = F.when(F.col("x").isNull(), F.size("ts")).otherwise(F.size(F.filter("ts", lambda t: t < F.col("x"))))
     added = {c: F.sum for c in "nysq"} | {"lo": F.min, "hi": F.max}
